@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, langid
+from folioscope.llm import decontaminate, langid, topk, urlfilter, warc
 
 
 def queries() -> dict:
     return {
+        "op3_top_k": topk.op3_top_k,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op8_url_filter": urlfilter.op8_url_filter,
         "op9_language_id": langid.op9_language_id,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.SQL4}
+    return {"op3_top_k": topk.SQL3, "op4_decontaminate": decontaminate.SQL4, "op8_url_filter": urlfilter.SQL8, "op10_warc": warc.SQL10}
