@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, langid, topk, urlfilter, warc
+from folioscope.llm import decontaminate, langid, licenses, mixing, topk, urlfilter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_top_k": topk.op3_top_k,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op8_url_filter": urlfilter.op8_url_filter,
