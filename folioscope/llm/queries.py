@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, langid, licenses, mixing, topk, urlfilter, warc
+from folioscope.llm import decontaminate, langid, licenses, mixing, topk, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_license_scan": licenses.op2_license_scan,
         "op3_top_k": topk.op3_top_k,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_url_filter": urlfilter.op8_url_filter,
         "op9_language_id": langid.op9_language_id,
         "op10_warc": warc.op10_warc,
