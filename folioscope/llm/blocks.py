@@ -222,7 +222,7 @@ def sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that df's plan reads; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, langid, licenses, mixing, neardup, topk, toxicity, urlfilter, warc
+from folioscope.llm import decontaminate, langid, licenses, mixing, neardup, suffixdedup, topk, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_license_scan": licenses.op2_license_scan,
         "op3_top_k": topk.op3_top_k,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_suffix_dedup": suffixdedup.op5_suffix_dedup,
         "op6_near_duplicates": neardup.op6_near_duplicates,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_url_filter": urlfilter.op8_url_filter,
