@@ -59,7 +59,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("__row",), text="__text")
     clean = found.where(F.size("items") < 2)
-    return _retexted(clean, docs.columns, without_spans(F.col("__row.text"), F.col("byte_from"), F.col("byte_to")))
+    return _retexted(clean, docs.columns, without_spans("__row.text"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,13 +125,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     return s.select(*keep, "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.word_to - x.word_from)").alias("n_hit"), "items", *[F.col(f"spans.{c}").alias(c) for c in ("word_from", "word_to", "byte_from", "byte_to")])
 
 
-def without_spans(text, byte_from, byte_to):
-    """Column: text without its hit spans."""
-    raw = F.encode(text, "UTF-8")
-    n = F.size(byte_from)
-    piece = lambda i: F.substring(raw, F.when(i == 0, F.lit(0)).otherwise(F.element_at(byte_to, F.greatest(i, F.lit(1)))).cast("int") + 1, (F.when(i == n, F.octet_length(text).cast("long")).otherwise(F.element_at(byte_from, F.least(i + 1, F.greatest(n, F.lit(1)))) ) - F.when(i == 0, F.lit(0)).otherwise(F.element_at(byte_to, F.greatest(i, F.lit(1))))).cast("int"))
-    rest = F.aggregate(F.sequence(F.lit(0), n), F.lit(b"").cast("binary"), lambda a, i: F.concat(a, piece(i)))
-    return F.when(n == 0, text).otherwise(F.decode(rest, F.lit("UTF-8")))
+def without_spans(text: str, byte_from: str = "byte_from", byte_to: str = "byte_to"):
+    """Column: the text of that name without its hit spans."""
+    begin, end = f"if(i = 0, 0L, get({byte_to}, i - 1))", f"if(i = size({byte_from}), cast(octet_length({text}) as bigint), get({byte_from}, i))"
+    rest = f"aggregate(sequence(0, size({byte_from})), cast('' as binary), (a, i) -> concat(a, substring(encode({text}, 'UTF-8'), cast({begin} as int) + 1, cast({end} - {begin} as int))))"
+    return F.expr(f"if(size({byte_from}) = 0, {text}, decode({rest}, 'UTF-8'))")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
