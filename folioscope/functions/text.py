@@ -82,9 +82,11 @@ def matches_with_offsets(c: Column, pattern: str) -> Column:
 
 def citation_markers(c: Column) -> Column:
     """Citation candidates of a text in order of their start: array(struct(start, pass, kind, marker, end))."""
-    kinds = [(0, "author_year", AUTHOR_YEAR), (1, "numbered", NUMBERED)]
-    lists = [F.transform(matches_with_offsets(c, p), lambda m, k=k, n=n: F.struct(m["start"].alias("start"), F.lit(n).alias("pass"), F.lit(k).alias("kind"), m["marker"].alias("marker"), m["end"].alias("end"))) for n, k, p in kinds]
-    return F.array_sort(F.concat(*lists))
+
+    def found(number: int, kind: str, pattern: str) -> Column:
+        return F.transform(matches_with_offsets(c, pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("pass"), F.lit(kind).alias("kind"), m["marker"].alias("marker"), m["end"].alias("end")))
+
+    return F.array_sort(F.concat(found(0, "author_year", AUTHOR_YEAR), found(1, "numbered", NUMBERED)))
 
 
 def bibliography_like(c: Column) -> Column:

@@ -159,11 +159,6 @@ def _(r):
     return _scope(r.claims.join(r.manuscript.where("format = 'docx'"), L, "left_semi").where("c.target.docx_location IS NULL"), "claim_id")
 
 
-@rule("DOCX_PAGE_INFERRED")
-def _(r):
-    return _scope(r.docx.where("c.target.pdf_page IS NOT NULL OR c.target.print_page IS NOT NULL"), "claim_id")
-
-
 @rule("MANUSCRIPT_UNVERIFIED", "blocker")
 def _(r):
     return _scope(r.docx, "claim_id") if r.manuscript is None or r.manuscript_files is None else _empty(r)
@@ -200,31 +195,6 @@ _manuscript_rule("MANUSCRIPT_TEXT_MISMATCH", "error", lambda r, m: _joined(r, m)
 _manuscript_rule("MANUSCRIPT_BLOCK_REVIEW_PENDING", "blocker", lambda r, m: _joined(r, m).where("NOT (b.review_status <=> 'verified')"))
 
 
-@rule("CLAIM_REVIEW_PENDING", "blocker")
-def _(r):
-    return _claims(r, "NOT (c.review_status <=> 'reviewed')")
-
-
-@rule("EVIDENCE_VERSION_MISMATCH")
-def _(r):
-    return _scope(r.bound.where("e.source_sha256 <> declared"), "evidence_id")
-
-
-@rule("EVIDENCE_ATTRIBUTION_MISMATCH")
-def _(r):
-    return _scope(r.bound.where("NOT array_contains(attributed, source_id)"), "evidence_id")
-
-
-@rule("EVIDENCE_REVIEW_PENDING", "blocker")
-def _(r):
-    return _scope(r.bound.where("e.completeness_review <> 'verified' OR e.context_review <> 'verified'"), "evidence_id")
-
-
-@rule("WORD_SOURCE_PAGE_INFERRED")
-def _(r):
-    return _scope(r.bound.where("e.docx_location IS NOT NULL AND (size(e.pdf_pages) > 0 OR size(e.print_pages) > 0 OR size(e.spans) > 0)"), "evidence_id")
-
-
 @rule("WORD_SOURCE_UNVERIFIED", "blocker")
 def _(r):
     return _scope(r.bound.where("e.docx_location IS NOT NULL"), "evidence_id") if r.files is None else _empty(r)
@@ -266,26 +236,6 @@ def _(r):
     return out
 
 
-@rule("PDF_BINDING_MISSING")
-def _(r):
-    return _scope(r.paged.where("size(e.spans) = 0 OR size(e.pdf_pages) = 0"), "evidence_id")
-
-
-@rule("SEGMENT_UNKNOWN")
-def _(r):
-    return _scope(r.spans.where("g IS NULL"), "evidence_id")
-
-
-@rule("SPAN_INVALID")
-def _(r):
-    return _scope(r.known.where("NOT coalesce(inside, false)"), "evidence_id")
-
-
-@rule("SEGMENT_REVIEW_PENDING", "blocker")
-def _(r):
-    return _scope(r.good.where("g.review_status <> 'verified'"), "evidence_id")
-
-
 @rule("TRANSCRIPTION_IMAGE_UNVERIFIED", "blocker")
 def _(r):
     return _scope(r.good.where("g.verification_image <> ''"), "evidence_id") if r.images is None else _empty(r)
@@ -306,59 +256,24 @@ def _(r):
     return _scope(pairs.where("p.b.at <> p.a.at + 1 OR p.a.x.end <> p.a.len OR p.b.x.start <> 0 OR p.b.pdf_page - p.a.pdf_page NOT IN (0, 1)"), "evidence_id")
 
 
-@rule("PDF_PAGE_MISMATCH")
-def _(r):
-    return _scope(r.touched.where("t IS NOT NULL AND e.pdf_pages <> array_sort(array_distinct(t.pdf_page))"), "evidence_id")
-
-
-@rule("PRINT_PAGE_MISMATCH")
-def _(r):
-    return _scope(r.touched.where("t IS NOT NULL AND NOT (e.print_pages <=> array_distinct(t.print_page))"), "evidence_id")
-
-
 @rule("QUOTE_MISMATCH")
 def _(r):
     pieces = T.squeeze(F.coalesce(F.array_join("t.piece", ""), F.lit("")))
     return _scope(r.touched.where(T.squeeze(F.col("e.quote")) != pieces), "evidence_id")
 
 
-@rule("SUBCLAIM_COVERAGE")
-def _(r):
-    return _claims(r, "size(array_distinct(c.assessments.subclaim_id)) <> size(c.assessments) OR size(array_except(c.assessments.subclaim_id, c.subclaims.id)) > 0 OR size(array_except(c.subclaims.id, c.assessments.subclaim_id)) > 0")
-
-
-@rule("ASSESSMENT_EVIDENCE_UNKNOWN")
-def _(r):
-    return _scope(r.assessments.where("size(array_except(a.evidence_ids, c.evidence.id)) > 0"), "claim_id")
-
-
-@rule("SUPPORT_WITHOUT_EVIDENCE")
-def _(r):
-    return _scope(r.assessments.where("a.support IN ('supported', 'partial') AND size(a.evidence_ids) = 0"), "claim_id")
-
-
 @rule("SUPPORTED_BOUNDARY_UNRESOLVED")
 def _(r):
     b = "a.boundaries"
     return _scope(r.assessments.where(f"a.support = 'supported' AND NOT coalesce({b}.object_match AND {b}.time_match AND {b}.geography_match AND {b}.causal_strength_match, false)"), "claim_id")
 
 
-@rule("ORPHAN_EVIDENCE")
-def _(r):
-    return _claims(r, "size(array_except(c.evidence.id, flatten(c.assessments.evidence_ids))) > 0")
-
-
 @rule("VERDICT_CONFLICT")
 def _(r):
     every, some = "forall(c.assessments, a -> a.support = 'supported')", "exists(c.assessments, a -> a.support IN ('supported', 'partial'))"
     return _claims(r, f"(c.status = 'direct' AND NOT {every}) OR (c.status = 'partial' AND (NOT {some} OR {every})) OR (c.status = 'insufficient' AND (size(c.evidence) = 0 OR {some}))")
 
 
-@rule("NOT_FOUND_UNJUSTIFIED")
-def _(r):
-    return _claims(r, "c.status = 'not_found' AND (size(c.evidence) > 0 OR c.search.status <> 'complete' OR size(c.search.queries) = 0 OR NOT array_contains(c.search.regions, 'body') OR size(array_except(c.attributed_source_ids, c.search.source_ids)) > 0 OR exists(c.assessments, a -> a.support <> 'unsupported'))")
-
-
 @rule("NOT_FOUND_COVERAGE_INCOMPLETE")
 def _(r):
     asked = r.claims.where("c.status = 'not_found'").select(L, "claim_id", F.explode("c.attributed_source_ids").alias("source_id"))
@@ -367,21 +282,6 @@ def _(r):
     return _scope(asked.join(r.sources, [L, "source_id"]).where(poor), "claim_id")
 
 
-@rule("UNABLE_TO_VERIFY", "warning")
-def _(r):
-    return _claims(r, "c.status = 'unable'")
-
-
-@rule("VERDICT_WITHOUT_EVIDENCE")
-def _(r):
-    return _claims(r, "c.status IN ('direct', 'partial') AND size(c.evidence) = 0")
-
-
-@rule("VERBATIM_TEXT_MISSING")
-def _(r):
-    return _claims(r, "c.quotation_mode = 'verbatim' AND coalesce(c.verbatim_text, '') = ''")
-
-
 @rule("VERBATIM_NOT_CONTINUOUS")
 def _(r):
     literal = T.squeeze(F.col("c.verbatim_text"))
@@ -389,16 +289,6 @@ def _(r):
     return _scope(r.claims.where("c.quotation_mode = 'verbatim' AND c.verbatim_text <> '' AND c.status = 'direct'").where(~held), "claim_id")
 
 
-@rule("POLICY_CHECKS_MISSING")
-def _(r):
-    return _claims(r, "c.citation_role = 'policy' AND c.policy_checks IS NULL")
-
-
-@rule("POLICY_CHECKS_UNEXPECTED")
-def _(r):
-    return _claims(r, "c.citation_role <> 'policy' AND c.policy_checks IS NOT NULL")
-
-
 def _policy(r, condition: str) -> DataFrame:
     return _claims(r, f"c.citation_role = 'policy' AND c.policy_checks IS NOT NULL AND ({condition})")
 
@@ -409,33 +299,63 @@ def _(r):
     return _scope(r.bound.join(held, [L, "c_pos"]).where(F.col("level") != T.mapped(F.col("source_kind"), T.POLICY_LEVELS)), "claim_id")
 
 
-@rule("POLICY_LEVEL_MISMATCH")
-def _(r):
-    return _policy(r, "c.status = 'direct' AND c.policy_checks.claimed_level <> c.policy_checks.evidence_level")
-
-
-@rule("POLICY_DATES_PENDING", "blocker")
-def _(r):
-    return _policy(r, "NOT coalesce(c.policy_checks.dates_reviewed, false)")
-
-
-@rule("POLICY_VERBATIM_UNVERIFIED")
-def _(r):
-    return _policy(r, "c.status = 'direct' AND c.quotation_mode = 'verbatim' AND NOT coalesce(c.policy_checks.quotation_verified, false)")
+#: Rules that look at one row of a relation: code, severity, relation, scope, condition.  Those of one relation and scope share a pass over it.
+PLAIN = [
+    ("DOCX_PAGE_INFERRED", "error", "docx", "claim_id", "c.target.pdf_page IS NOT NULL OR c.target.print_page IS NOT NULL"),
+    ("CLAIM_REVIEW_PENDING", "blocker", "claims", "claim_id", "NOT (c.review_status <=> 'reviewed')"),
+    ("EVIDENCE_VERSION_MISMATCH", "error", "bound", "evidence_id", "e.source_sha256 <> declared"),
+    ("EVIDENCE_ATTRIBUTION_MISMATCH", "error", "bound", "evidence_id", "NOT array_contains(attributed, source_id)"),
+    ("EVIDENCE_REVIEW_PENDING", "blocker", "bound", "evidence_id", "e.completeness_review <> 'verified' OR e.context_review <> 'verified'"),
+    ("WORD_SOURCE_PAGE_INFERRED", "error", "bound", "evidence_id", "e.docx_location IS NOT NULL AND (size(e.pdf_pages) > 0 OR size(e.print_pages) > 0 OR size(e.spans) > 0)"),
+    ("PDF_BINDING_MISSING", "error", "paged", "evidence_id", "size(e.spans) = 0 OR size(e.pdf_pages) = 0"),
+    ("SEGMENT_UNKNOWN", "error", "spans", "evidence_id", "g IS NULL"),
+    ("SPAN_INVALID", "error", "known", "evidence_id", "NOT coalesce(inside, false)"),
+    ("SEGMENT_REVIEW_PENDING", "blocker", "good", "evidence_id", "g.review_status <> 'verified'"),
+    ("PDF_PAGE_MISMATCH", "error", "touched", "evidence_id", "t IS NOT NULL AND e.pdf_pages <> array_sort(array_distinct(t.pdf_page))"),
+    ("PRINT_PAGE_MISMATCH", "error", "touched", "evidence_id", "t IS NOT NULL AND NOT (e.print_pages <=> array_distinct(t.print_page))"),
+    ("SUBCLAIM_COVERAGE", "error", "claims", "claim_id", "size(array_distinct(c.assessments.subclaim_id)) <> size(c.assessments) OR size(array_except(c.assessments.subclaim_id, c.subclaims.id)) > 0 OR size(array_except(c.subclaims.id, c.assessments.subclaim_id)) > 0"),
+    ("ASSESSMENT_EVIDENCE_UNKNOWN", "error", "assessments", "claim_id", "size(array_except(a.evidence_ids, c.evidence.id)) > 0"),
+    ("SUPPORT_WITHOUT_EVIDENCE", "error", "assessments", "claim_id", "a.support IN ('supported', 'partial') AND size(a.evidence_ids) = 0"),
+    ("ORPHAN_EVIDENCE", "error", "claims", "claim_id", "size(array_except(c.evidence.id, flatten(c.assessments.evidence_ids))) > 0"),
+    ("NOT_FOUND_UNJUSTIFIED", "error", "claims", "claim_id", "c.status = 'not_found' AND (size(c.evidence) > 0 OR c.search.status <> 'complete' OR size(c.search.queries) = 0 OR NOT array_contains(c.search.regions, 'body') OR size(array_except(c.attributed_source_ids, c.search.source_ids)) > 0 OR exists(c.assessments, a -> a.support <> 'unsupported'))"),
+    ("UNABLE_TO_VERIFY", "warning", "claims", "claim_id", "c.status = 'unable'"),
+    ("VERDICT_WITHOUT_EVIDENCE", "error", "claims", "claim_id", "c.status IN ('direct', 'partial') AND size(c.evidence) = 0"),
+    ("VERBATIM_TEXT_MISSING", "error", "claims", "claim_id", "c.quotation_mode = 'verbatim' AND coalesce(c.verbatim_text, '') = ''"),
+    ("POLICY_CHECKS_MISSING", "error", "claims", "claim_id", "c.citation_role = 'policy' AND c.policy_checks IS NULL"),
+    ("POLICY_CHECKS_UNEXPECTED", "error", "claims", "claim_id", "c.citation_role <> 'policy' AND c.policy_checks IS NOT NULL"),
+    ("POLICY_LEVEL_MISMATCH", "error", "claims", "claim_id", "c.citation_role = 'policy' AND c.policy_checks IS NOT NULL AND (c.status = 'direct' AND c.policy_checks.claimed_level <> c.policy_checks.evidence_level)"),
+    ("POLICY_DATES_PENDING", "blocker", "claims", "claim_id", "c.citation_role = 'policy' AND c.policy_checks IS NOT NULL AND (NOT coalesce(c.policy_checks.dates_reviewed, false))"),
+    ("POLICY_VERBATIM_UNVERIFIED", "error", "claims", "claim_id", "c.citation_role = 'policy' AND c.policy_checks IS NOT NULL AND (c.status = 'direct' AND c.quotation_mode = 'verbatim' AND NOT coalesce(c.policy_checks.quotation_verified, false))"),
+    ("SECONDARY_AS_ORIGINAL", "error", "claims", "claim_id", "c.citation_role = 'policy' AND c.policy_checks IS NOT NULL AND (c.policy_checks.claims_originals_verified AND c.policy_checks.evidence_level = 'secondary')"),
+]
+
+
+def _plain(code: str, severity: str, relation: str, scope: str, condition: str) -> None:
+    @rule(code, severity)
+    def _(r):
+        return _scope(getattr(r, relation).where(condition), scope)
 
 
-@rule("SECONDARY_AS_ORIGINAL")
-def _(r):
-    return _policy(r, "c.policy_checks.claims_originals_verified AND c.policy_checks.evidence_level = 'secondary'")
+for _one in PLAIN:
+    _plain(*_one)
 
 
 def findings(r: SimpleNamespace, codes: list[str] | None = None) -> DataFrame:
     """ledger_id, severity, code, scope_id: one row a finding."""
-    out = None
-    for code in codes or RULES:
-        severity, fn = RULES[code]
-        one = fn(r).select(L, F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col("scope_id").cast("string").alias("scope_id"))
-        out = one if out is None else out.unionByName(one)
+    codes = list(codes or RULES)
+    shared: dict[tuple[str, str], list] = {}
+    for code, severity, relation, scope, condition in PLAIN:
+        if code in codes:
+            shared.setdefault((relation, scope), []).append(F.when(F.expr(condition), F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))))
+    parts = [getattr(r, relation).select(L, scope, F.explode(F.array_compact(F.array(*hits))).alias("f")).select(L, "f.severity", "f.code", F.col(scope).cast("string").alias("scope_id")) for (relation, scope), hits in shared.items()]
+    plain = {p[0] for p in PLAIN}
+    for code in codes:
+        if code not in plain:
+            severity, fn = RULES[code]
+            parts.append(fn(r).select(L, F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col("scope_id").cast("string").alias("scope_id")))
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
     return out
 
 

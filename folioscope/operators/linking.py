@@ -24,7 +24,7 @@ def note_references(text: Column) -> Column:
     groups = [F.regexp_extract_all(text, F.lit(BOOK), F.lit(i)) for i in (1, 2, 3)]
     books = F.transform(
         F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "atr", strict=True)]),
-        lambda x: F.struct(T.strip(F.element_at(F.split(x["0"], LEAD_IN), -1)).alias("authors"), _year(x["2"]).alias("year"), x["1"].alias("title")),
+        lambda x: F.struct(T.strip(F.element_at(F.split(x["a"], LEAD_IN), -1)).alias("authors"), _year(x["r"]).alias("year"), x["t"].alias("title")),
     )
     marks = T.matches_with_offsets(text, '"[^"]+"')
     titles = F.transform(

@@ -71,7 +71,13 @@ def locate_quotes(segments: DataFrame, quotes: DataFrame, strict: bool = False,
     lengths = [r["g"] for r in wanted.select("g").distinct().collect()]  # gram values at most
     if not lengths:
         lengths = [gram]
-    grams = joined.select("source_id", "grp", "whole", F.explode(F.flatten(F.array(*[F.transform(F.when(F.length("whole") >= g, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("whole") - g + 1), lambda i, g=g: F.xxhash64(F.substr(F.col("whole"), i, F.lit(g)))))).otherwise(F.expr("cast(array() as array<bigint>)")), lambda h, g=g: F.struct(F.lit(g).alias("g"), h.alias("h"))) for g in lengths]))).alias("k"))
+
+    def keys(g: int):
+        at = F.sequence(F.lit(1), F.length("whole") - g + 1)
+        found = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substr(F.col("whole"), i, F.lit(g)))))
+        return F.transform(F.when(F.length("whole") >= g, found).otherwise(F.expr("cast(array() as array<bigint>)")), lambda h: F.struct(F.lit(g).alias("g"), h.alias("h")))
+
+    grams = joined.select("source_id", "grp", F.explode(F.flatten(F.array(*[keys(g) for g in lengths]))).alias("k"))
     met = grams.select("source_id", "grp", "k.g", "k.h").join(wanted.withColumn("h", F.xxhash64(F.expr("substr(target, 1, g)"))), ["g", "h"]).select("source_id", "grp", "quote_id", "target", "m").distinct()
     pairs = met.join(joined, ["source_id", "grp"]).where(F.contains("whole", F.col("target")))
     starts = F.filter(F.sequence(F.lit(1), F.length("whole") - F.col("m") + 1), lambda i: F.substr(F.col("whole"), i, F.col("m")) == F.col("target"))
