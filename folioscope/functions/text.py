@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Character classes and patterns.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_WS = r"[^\s\x1c-\x1f\x85\p{Z}]"
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 YEAR = r"(?U)(?:19|20)\d{2}"
 YEAR_LETTER = r"(?U)(?:19|20)\d{2}[a-z]?"
 AUTHOR_YEAR = r"(?U)[（(][^()（）\n]{0,70}?\b(?:19|20)\d{2}[a-z]?[^()（）\n]{0,20}[）)]"

@@ -45,9 +45,12 @@ def _last(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def relations(ledgers: DataFrame, files: DataFrame | None = None, manuscript: DataFrame | None = None, blocks: DataFrame | None = None, manuscript_files: DataFrame | None = None, images: DataFrame | None = None, word_blocks: DataFrame | None = None) -> SimpleNamespace:
-    """files, manuscript_files, images: (path, sha256) under each root; manuscript: (ledger_id, format, sha256, locator);
+def relations(ledgers: DataFrame, files: DataFrame | None = None, manuscript: DataFrame | None = None, blocks: DataFrame | None = None, manuscript_files: DataFrame | None = None, images: DataFrame | None = None, word_blocks: DataFrame | None = None, persist: bool = True) -> SimpleNamespace:
+    """The relations of ledgers, which are kept while many rules read them (persist).
+
+    files, manuscript_files, images: (path, sha256) under each root; manuscript: (ledger_id, format, sha256, locator);
     blocks: (ledger_id, id, text, section, location, review_status); word_blocks: (path, block_id, text, location, section, region)."""
+    ledgers = ledgers.persist() if persist else ledgers
     r = SimpleNamespace(files=files, manuscript=manuscript, blocks=blocks, manuscript_files=manuscript_files, images=images, word_blocks=word_blocks)
     r.all_sources = ledgers.select(L, F.posexplode("sources").alias("s_pos", "s")).select(L, "s_pos", F.col("s.id").alias("source_id"), "s")
     r.sources = _last(r.all_sources, [L, "source_id"], "s_pos")

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MAX_BYTES = 100 << 20
@@ -114,13 +115,13 @@ def docx_diagnostics(content: bytes) -> dict[str, int]:
 
 def read_docx(files: DataFrame) -> DataFrame:
     """PARAGRAPHS of files (relative_path, content); a file that cannot be read is one row with an issue."""
-    names = [x.split(" ")[0] for x in re.split(r", (?![^<]*>)", PARAGRAPHS)]
+    shape = StructType.fromDDL(PARAGRAPHS)
+    names = shape.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(PARAGRAPHS))
+        schema = to_arrow_schema(shape)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
