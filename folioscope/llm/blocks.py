@@ -188,9 +188,10 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 
 
 def map_blocks(df: DataFrame, text: str, keep: list[str], fields: str, make: Callable[[], Callable[[Block], list]], limit: int = BLOCK_BYTES) -> DataFrame:
-    """keep's columns, and those that make()(block) returns, a list or array for each of fields."""
+    """keep's columns, and those that make()(block) returns, a list or array for each of fields; names may clash."""
     made = StructType.fromDDL(fields)
-    schema = StructType([StructField(f.name, f.dataType) for k in keep for f in [df.schema[k]]] + made.fields)
+    names = [*keep, *made.names]
+    schema = StructType([StructField(f"_{i}", t) for i, t in enumerate([df.schema[k].dataType for k in keep] + [f.dataType for f in made.fields])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -203,9 +204,9 @@ def map_blocks(df: DataFrame, text: str, keep: list[str], fields: str, make: Cal
                 cols = fn(block)
                 arrays = [batch.column(batch.schema.names.index(k)).slice(lo, hi - lo) for k in keep]
                 arrays += [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema).toDF(*names)
 
 
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -238,10 +239,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on this session sends at most so many rows at once to Python, which bounds a task's memory where rows hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage and lets several readers share it."""
+    """df written to the shared folder and read again, which cuts its lineage and lets several readers share it.
+
+    The shuffle files of the write go when it is done, and not when the driver
+    next collects garbage.
+    """
     import uuid
 
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)

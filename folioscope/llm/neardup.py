@@ -10,7 +10,7 @@ exp(-SLACK) are never made.
 
 Sets that are equal are one node (their smallest id).  BANDS bands of WIDTH
 registers deal nodes to buckets; a pair at 0.75 shares none with probability
-(1 - 0.75**4)**42 < 2e-7.  Two rounds link each node with one pivot among its
+(1 - 0.75**5)**51 = 1e-6.  Each node is held against two pivots among its
 buckets, which joins most copies; then all pairs that share a bucket but not a
 component are judged, in tiles of bounded size, in the first bucket they share.
 A joint likelihood of the registers with the known set sizes rules out pairs
@@ -26,19 +26,19 @@ rows of equal id are one node that has the links of each of them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import SOLID, Block, blocks, map_blocks, mix, stored
+from folioscope.llm.blocks import SOLID, Block, blocks, map_blocks, mix, small_batches, stored
 from folioscope.llm.groups import components, map_groups
 
 WORDS = 5
 REGISTERS = 256
-WIDTH, BANDS = 4, 42
+WIDTH, BANDS = 5, 51
 BASE = 1.08
 OFFSET = 40
 SLACK = 7.0
@@ -98,8 +98,11 @@ def registers(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band of each row."""
-    parts = np.ascontiguousarray(regs[:, : BANDS * WIDTH]).view(np.uint32).astype(np.uint64).reshape(len(regs), BANDS)
-    return mix(parts + (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(33)) * GOLD).view(np.int64)
+    parts = regs[:, : BANDS * WIDTH].reshape(len(regs), BANDS, WIDTH).astype(np.uint64)
+    word = np.zeros((len(regs), BANDS), np.uint64)
+    for i in range(WIDTH):
+        word = (word << np.uint64(8)) | parts[:, :, i]
+    return mix(word ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * GOLD)).view(np.int64)
 
 
 def _agree(x: np.ndarray) -> np.ndarray:
@@ -195,14 +198,31 @@ def full_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, bits: int =
     return source.mapInArrow(run, "id long, set binary").join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def _star_links(members: DataFrame, labels: DataFrame | None, sets: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Confirmed links of each node with one pivot among its buckets."""
-    seen = members if labels is None else members.join(labels, "id", "left")
-    comp = F.col("id") if labels is None else F.coalesce("comp", "id")
-    rank = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-    seen = seen.select("bucket", "id", comp.alias("comp"), rank.alias("rank"))
-    pivots = seen.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("p"), F.col("comp").alias("pc"), F.col("rank").alias("pr")), "rank").alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "x.*")
-    edges = seen.join(pivots, "bucket").where("comp <> pc").groupBy("id").agg(F.min_by("p", "pr").alias("p"))
+def _pivot_edges(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Each node with two of its buckets' pivots, the smallest id and the smallest hash, as far as registers do not rule them out."""
+    out = None
+    for rank in (F.col("id"), F.xxhash64("id", F.lit(1))):
+        ranked = members.select("bucket", "id", rank.alias("rank"))
+        pivots = ranked.groupBy("bucket").agg(F.min(F.struct("rank", F.col("id").alias("p"))).alias("x"))
+        edges = members.join(pivots, "bucket").where("id <> x.p").groupBy("id").agg(F.min("x").alias("x")).select("id", F.col("x.p").alias("p"))
+        out = edges if out is None else out.unionByName(edges)
+    side = lambda name, n, regs: reps.groupBy("doc_id").agg(F.first("n").alias(n), F.first("regs").alias(regs), F.count("*").alias(f"{n}_sets")).withColumnRenamed("doc_id", name)
+    seen = out.distinct().join(side("id", "n1", "r1"), "id").join(side("p", "n2", "r2"), "p").select("id", "p", "n1", "n2", "r1", "r2", ((F.col("n1_sets") > 1) | (F.col("n2_sets") > 1)).alias("several"))
+    threshold = percent / 100
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                r1, r2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in (4, 5))
+                near = (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9) & (statistic((r1 > r2).sum(1), (r1 < r2).sum(1), n1.astype(float), n2.astype(float), threshold) <= LR)
+                keep = near | batch.column(6).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "p"]).filter(pa.array(keep))
+
+    return seen.mapInArrow(far, "id long, p long")
+
+
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     judged = edges.join(sets, "id").select("id", "p", F.col("set").alias("x")).join(sets.select(F.col("id").alias("p"), F.col("set").alias("y")), "p").select("id", "p", "x", "y")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +234,7 @@ def _star_links(members: DataFrame, labels: DataFrame | None, sets: DataFrame, t
     return judged.mapInArrow(judge, "a long, b long")
 
 
-def _tiled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tiled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Confirmed links between components, over all pairs of their nodes that share a bucket."""
     seen = members.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
@@ -242,6 +262,8 @@ def _tiled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: D
             yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([ids[used].tolist()], pa.list_(pa.int64())), pa.array([comp[used].tolist()], pa.list_(pa.int64())), pa.array([np.stack([slot[a], slot[b]], 1).astype(np.int32).tobytes()], pa.binary())], names=["gid", "ids", "comps", "pairs"])
 
     found = stored(map_groups(placed, ["gid"], pairs, "gid long, ids array<long>, comps array<long>, pairs binary"), "tiles")
+    ids = found.select("gid", F.posexplode("ids").alias("pos", "id"))
+    sets = sets_of(ids.select("id").distinct())
     wanted = found.select("gid", F.posexplode("ids").alias("pos", "id")).join(sets, "id").select("gid", F.lit(1).alias("kind"), "pos", "id", F.col("set").alias("data"), F.lit(None).cast("array<long>").alias("comps"))
     heads = found.select("gid", F.lit(0).alias("kind"), F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("id"), F.col("pairs").alias("data"), "comps")
 
@@ -279,6 +301,7 @@ def _tiled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: D
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
+    small_batches(docs.sparkSession)
     made = stored(sketches(docs, key, text), "sketches")
     some = made.where("doc_id is not null and n > 0")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -295,14 +318,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     bands = reps.select("doc_id", "regs").mapInArrow(explode, "id long, bucket long, band byte")
     many = bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     members = stored(bands.join(many, "bucket").distinct(), "members")
-    sets = stored(full_sets(docs, key, text, members.select("id").distinct()), "sets")
+    sets_of = lambda ids: stored(full_sets(docs, key, text, ids), "sets")
     # rows of equal id make links of their own: their classes' representatives
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
-    labels = None
-    for turn in (0, 1):
-        links = stored(links.unionByName(_star_links(members, labels, sets, turn, percent)), "links")
-        labels = components(links)
-    links = stored(links.unionByName(_tiled_links(members, labels, reps, sets, percent)), "links")
+    edges = stored(_pivot_edges(members, reps, percent), "edges")
+    sets = sets_of(edges.select("id").union(edges.select("p")).distinct())
+    links = stored(links.unionByName(_confirmed(edges, sets, percent)), "links")
+    labels = components(links)
+    links = stored(links.unionByName(_tiled_links(members, labels, reps, sets_of, percent)), "links")
     labels = components(links)
     placed = member.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
     out = made.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
