@@ -94,8 +94,6 @@ class Chain:
         if not len(order):
             return out
         longest = int(n[order[0]])
-        first = np.ones(len(at), bool)
-        first[1:] = False
         gap = np.zeros(len(at), np.int64)
         gap[1:] = at[1:] - at[:-1] - 1
         begins = lo[n > 0]
@@ -103,16 +101,19 @@ class Chain:
         ends = hi[n > 0] - 1
         tail = np.zeros(len(at), np.int64)
         tail[ends] = bounds[1:][n > 0] - at[ends] - 1
-        inner = self._power(gap)
+        # the first token of a text has no transition before it
+        late = np.zeros(len(at), bool)
+        late[begins] = gap[begins] > 0
+        inner = self._power(gap - late)
         emit = np.stack([np.ones(len(at)), np.exp(np.clip(self.bias + weight, -30, 30))], 1)
         alpha, beta = np.zeros((len(at), 2)), np.zeros((len(at), 2))
         active = np.searchsorted(-n[order], -np.arange(1, longest + 1), "right")
         start = np.array([1.0, 1e-3])
         for step, k in enumerate(active.tolist()):
             i = lo[order[:k]] + step
-            before = np.broadcast_to(start, (k, 2)) if not step else alpha[i - 1]
+            before = alpha[i - 1] if step else np.where(late[i][:, None], start * np.array([1.0, np.exp(self.bias)]), start)
             moved = np.einsum("ni,nij->nj", before, inner[i])
-            moved = moved @ self.trans if step else np.where((gap[i] > 0)[:, None], moved @ self.trans, before)
+            moved = moved @ self.trans if step else np.where(late[i][:, None], moved @ self.trans, before)
             now = moved * emit[i]
             alpha[i] = now / now.sum(1, keepdims=True)
         for step in range(longest):
