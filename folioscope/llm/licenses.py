@@ -166,3 +166,23 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sql2() -> str:
+    """The scan in SQL: words meet template words, and alignments are counted."""
+    words, heads = [], []
+    for n, t in enumerate(templates()):
+        least = int(np.ceil(t.share * len(t.words) - 1e-9))
+        heads.append(f"({n}, '{t.label}', {str(t.base).lower()}, {len(t.words)}, {least}, {int(t.key_at.sum())})")
+        words += [f"({n}, {i}, '{w.decode()}', {str(bool(k)).lower()})" for i, (w, k) in enumerate(zip(t.words, t.key_at, strict=True))]
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t(tid, label, base, n, least, n_key) AS (VALUES {", ".join(heads)}),
+tw(tid, tpos, word, is_key) AS (VALUES {", ".join(words)}),
+dw AS (SELECT doc_id, len(w) AS n_words, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+a AS (SELECT doc_id, n_words, tid, pos - tpos AS first, count(*) AS held, count(*) FILTER (is_key) AS keys FROM dw JOIN tw ON dw.word = tw.word GROUP BY ALL),
+k AS (SELECT doc_id, first, label, base, held / n AS share FROM a JOIN t ON a.tid = t.tid WHERE held >= least AND keys = n_key AND first >= 0 AND first + n <= n_words),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.SQL3, "op4_decontaminate": decontaminate.SQL4, "op8_url_filter": urlfilter.SQL8, "op10_warc": warc.SQL10}
+    return {"op2_license_scan": licenses.sql2(), "op3_top_k": topk.SQL3, "op4_decontaminate": decontaminate.SQL4, "op5_suffix_dedup": suffixdedup.SQL5, "op6_near_duplicates": neardup.SQL6, "op8_url_filter": urlfilter.SQL8, "op10_warc": warc.SQL10}

@@ -466,3 +466,18 @@ def _to_blocks(blk: np.ndarray, name: np.ndarray, mask: np.ndarray) -> Iterator[
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL5 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, pos, b[pos:pos + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, greatest(CAST(octet_length(b) AS BIGINT) - 48, 1))) AS pos FROM d)),
+m AS (SELECT s, min(doc_id) AS first_doc FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+f AS (SELECT g.doc_id, g.pos FROM g JOIN m ON g.s = m.s AND g.doc_id > m.first_doc),
+i AS (SELECT doc_id, pos, sum(CASE WHEN pos <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM f)),
+r AS (SELECT doc_id, k, min(pos) AS lo, max(pos) + 49 AS hi FROM i GROUP BY doc_id, k),
+p AS (SELECT r.doc_id, lo, hi, hex(b[coalesce(lag(hi) OVER (PARTITION BY r.doc_id ORDER BY lo), 0) + 1:lo - 1]) AS piece FROM r JOIN d ON r.doc_id = d.doc_id),
+a AS (SELECT doc_id, sum(hi - lo + 1) AS n, count(*) AS spans, max(hi) AS last, string_agg(piece, '' ORDER BY lo) AS pieces FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN a.doc_id IS NULL THEN b ELSE unhex(pieces || hex(b[last + 1:octet_length(b)])) END) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
