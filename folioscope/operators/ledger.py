@@ -45,8 +45,8 @@ def _last(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def relations(ledgers: DataFrame, files: DataFrame | None = None, manuscript: DataFrame | None = None, blocks: DataFrame | None = None, manuscript_files: DataFrame | None = None, images: DataFrame | None = None, word_blocks: DataFrame | None = None, persist: bool = True) -> SimpleNamespace:
-    """The relations of ledgers, which are kept while many rules read them (persist).
+def relations(ledgers: DataFrame, files: DataFrame | None = None, manuscript: DataFrame | None = None, blocks: DataFrame | None = None, manuscript_files: DataFrame | None = None, images: DataFrame | None = None, word_blocks: DataFrame | None = None, persist: bool = False) -> SimpleNamespace:
+    """The relations of ledgers; persist keeps them while many rules read them, for the caller to clear.
 
     files, manuscript_files, images: (path, sha256) under each root; manuscript: (ledger_id, format, sha256, locator);
     blocks: (ledger_id, id, text, section, location, review_status); word_blocks: (path, block_id, text, location, section, region)."""
@@ -370,5 +370,13 @@ def summary(ledgers: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.col("errors") == 0).withColumn("ready_for_report", (F.col("errors") == 0) & (F.col("blockers") == 0))
 
 
+def files_checked(r: SimpleNamespace) -> DataFrame:
+    """Number of sources of each ledger whose bytes were there to compare."""
+    if r.files is None:
+        return r.claims.select(L).distinct().withColumn("files_checked", F.lit(0).cast("long"))
+    read = _located(r).where("path <> ''").where(~T.path_escapes(F.col("path"))).join(r.files.select("path").distinct(), "path", "left_semi")
+    return r.claims.select(L).distinct().join(read.groupBy(L).agg(F.count("*").alias("files_checked")), L, "left").na.fill(0, ["files_checked"])
+
+
 def counts_by_role(ledgers: DataFrame) -> DataFrame:
     return ledgers.select(L, F.explode("claims").alias("c")).groupBy(L, F.col("c.citation_role").alias("citation_role"), F.col("c.status").alias("status")).agg(F.count("*").alias("n"))

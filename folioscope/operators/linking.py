@@ -116,4 +116,5 @@ def discover(citations: DataFrame, blocks: DataFrame, notes: DataFrame | None, f
     entries = bibliography(blocks)
     dated = with_bibliography_titles(refs.where("kind = 'author_year'"), entries).unionByName(refs.where("kind <> 'author_year'"))
     matches = file_matches(dated, files)
-    return {"groups": groups, "references": dated, "bibliography": entries, "matches": matches, "unmatched": unmatched(dated, matches)}
+    occurrences = dated.groupBy("doc_id").agg(F.count("*").alias("reference_occurrences"))
+    return {"groups": groups, "references": dated, "occurrences": occurrences, "bibliography": entries, "matches": matches, "unmatched": unmatched(dated, matches)}

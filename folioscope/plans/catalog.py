@@ -339,19 +339,19 @@ def _expected() -> str:
 
 @query("ledger_findings", f"WITH {_expected()} SELECT * FROM fd")
 def _(spark, d):
-    return ledger.findings(ledger.relations(V.ledgers(spark, d)))
+    return ledger.findings(ledger.relations(V.ledgers(spark, d), persist=True))
 
 
 @query("ledger_summary", f"WITH {_expected()} SELECT CAST(doc_id AS VARCHAR) AS ledger_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS valid, count(*) FILTER (severity IN ('error', 'blocker')) = 0 AS ready_for_report FROM documents LEFT JOIN fd ON CAST(doc_id AS VARCHAR) = ledger_id GROUP BY doc_id")
 def _(spark, d):
     made = V.ledgers(spark, d)
-    return ledger.summary(made, ledger.findings(ledger.relations(made)))
+    return ledger.summary(made, ledger.findings(ledger.relations(made, persist=True)))
 
 
 @query("export_gate", f"WITH {_expected()} SELECT CAST(doc_id AS VARCHAR) AS ledger_id FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT ledger_id FROM fd WHERE severity <> 'warning')")
 def _(spark, d):
     made = V.ledgers(spark, d)
-    return report.exportable(made, ledger.findings(ledger.relations(made))).select("ledger_id")
+    return report.exportable(made, ledger.findings(ledger.relations(made, persist=True))).select("ledger_id")
 
 
 def _m(*codes: str) -> str:
