@@ -39,24 +39,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from folioscope.llm.blocks import Block, blocks, mix, raw_prefix, scan_bytes, span_hash, stored
+from folioscope.llm.blocks import Block, blocks, mix, raw_prefix, small_batches, span_hash, stored
 from folioscope.llm.groups import map_groups
 
 LENGTH = 50
 GRAM = 18
 SIDE = (LENGTH - GRAM) // 2
 SHARD = 1 << 14  # contexts
+PART = 1 << 18  # bytes of text that are hashed at once
 LAST = np.iinfo(np.int64).max
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: A context as it travels: pick, content, smallest document, its start there, strings, bytes before the pick, hashes of the sides.
-KEY = np.dtype([("fp", "<u8"), ("ch", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("left", "<u2"), ("right", "<u2")])
+#: A context as blocks and buckets know it: hashes of pick and content (48 bits each), smallest document, hashes of the sides.
+KEY = np.dtype([("fp", "<u8"), ("ch", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1")])
+#: A context as shards know it.
+PIECE = np.dtype([("name", "<u8"), ("doc", "<i8"), ("n", "u1")])
+FP_BITS, CH_BITS = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0x0000FFFFFFFFFFFF)
+# bytes of KEY that hold anything: the upper six of fp, the lower six of ch, all of doc, and the sides
+_HELD = [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, *range(16, 26)]
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Keys byte by byte, equal places together, which leaves shuffle compression little but hashes."""
+    return keys.view(np.uint8).reshape(len(keys), KEY.itemsize).T[_HELD].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(len(_HELD), -1)
+    out = np.zeros((planes.shape[1], KEY.itemsize), np.uint8)
+    out[:, _HELD] = planes.T
+    return out.view(KEY).reshape(-1)
+
+
+def names_of(fp: np.ndarray, ch: np.ndarray) -> np.ndarray:
+    return fp ^ mix(ch)
 
 
 def contexts(block: Block) -> dict[str, np.ndarray]:
     """The contexts of a block's texts: text, start (in the block), n, off, fp, ch, left, right."""
     data, offs = block.data, block.offs
     n, w = len(data), LENGTH - GRAM + 1
-    empty = {k: np.empty(0, t) for k, t in (("text", np.int64), ("start", np.int64), ("n", np.int64), ("off", np.int64), ("fp", np.uint64), ("ch", np.uint64), ("left", np.uint16), ("right", np.uint16))}
+    empty = {k: np.empty(0, t) for k, t in (("text", np.int64), ("start", np.int64), ("n", np.int64), ("off", np.int64), ("fp", np.uint64), ("ch", np.uint64), ("left", np.uint8), ("right", np.uint8))}
     if n < LENGTH:
         return empty
     prefix = raw_prefix(data)
@@ -84,10 +106,10 @@ def contexts(block: Block) -> dict[str, np.ndarray]:
     count = np.flatnonzero(stop) - start + 1
     off = pick[start] - start
     end = start + count - 1 + LENGTH
-    ch = mix(span_hash(prefix, start, end) + off.astype(np.uint64) * GOLD)
+    ch = mix(span_hash(prefix, start, end) + off.astype(np.uint64) * GOLD) & CH_BITS
     p = pick[start]
-    side = lambda lo, hi: np.where((lo >= start) & (hi <= end), span_hash(prefix, np.maximum(lo, 0), np.minimum(hi, n)) & np.uint64(0xFFFF), 0).astype(np.uint16)
-    return {"text": text[start], "start": start, "n": count, "off": off, "fp": gram[p], "ch": ch, "left": side(p - SIDE, p), "right": side(p + GRAM, p + GRAM + SIDE)}
+    side = lambda lo, hi: np.where((lo >= start) & (hi <= end), span_hash(prefix, np.maximum(lo, 0), np.minimum(hi, n)) & np.uint64(0xFF), 0).astype(np.uint8)
+    return {"text": text[start], "start": start, "n": count, "off": off, "fp": gram[p] & FP_BITS, "ch": ch, "left": side(p - SIDE, p), "right": side(p + GRAM, p + GRAM + SIDE)}
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
@@ -101,10 +123,9 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
 def _keys_of(ids: np.ndarray, block: Block) -> np.ndarray:
     found = contexts(block)
     out = np.empty(len(found["fp"]), KEY)
-    for k in ("fp", "ch", "n", "off", "left", "right"):
+    for k in ("fp", "ch", "left", "right"):
         out[k] = found[k]
     out["doc"] = ids[found["text"]]
-    out["at"] = found["start"] - block.offs[found["text"]]
     return out
 
 
@@ -206,17 +227,18 @@ def _mask(piece: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 21, shard_contexts: int = SHARD, edited: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 22, shard_contexts: int = SHARD, edited: bool = False) -> DataFrame:
     """keep's columns with n_bytes, n_removed, n_spans, kept_sha256; with edited also kept_text, what is left as text (a character cut in part goes whole)."""
-    size = scan_bytes(docs.select(key, text))
-    n_blocks = max(8, -(-size // block_bytes))
-    bits = max(4, int(n_blocks).bit_length())
+    small_batches(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    n_blocks = max(32, -(-size // block_bytes))
+    bits = int(n_blocks).bit_length() + 2
     payload = F.struct(*[F.col(c) for c in keep])
     rows = docs.select(F.pmod(F.xxhash64(key, F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), text), "UTF-8"))), F.lit(n_blocks)).cast("int").alias("blk"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text, F.lit("")).alias("t"), payload.alias("row"))
 
     def send(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = t.column("id").to_numpy()
-        found = [_keys_of(ids[lo:hi], block) for lo, hi, block in blocks(t.column("t").combine_chunks())]
+        found = [_keys_of(ids[lo:hi], block) for lo, hi, block in blocks(t.column("t").combine_chunks(), PART)]
         keys = _distinct(np.concatenate(found))
         bucket = (keys["fp"] >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -224,13 +246,13 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         blk = t.column("blk")[0].as_py()
         for lo in range(0, len(cuts), 256):
             c, e = cuts[lo : lo + 256], ends[lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[c], pa.int64()), pa.array(np.full(len(c), blk), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in zip(c, e, strict=True)], pa.binary())], names=["bucket", "blk", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[c], pa.int64()), pa.array(np.full(len(c), blk), pa.int32()), pa.array([pack(keys[a:b]) for a, b in zip(c, e, strict=True)], pa.binary())], names=["bucket", "blk", "keys"])
 
     sent = map_groups(rows.select("blk", "id", "t"), ["blk"], send, "bucket long, blk int, keys binary")
 
     def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """To blocks: contexts that others have too, with the smallest document.  To documents: contexts to compare."""
-        packs = [np.frombuffer(x.as_py(), KEY) for x in t.column("keys")]
+        packs = [unpack(x.as_py()) for x in t.column("keys")]
         keys = np.concatenate(packs)
         blk = np.repeat(t.column("blk").to_numpy(), [len(p) for p in packs])
         order = np.lexsort((keys["doc"], keys["ch"], keys["fp"]))
@@ -258,7 +280,7 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
             by = shared[np.argsort(blk[shared], kind="stable")]
             cuts = np.flatnonzero(np.diff(blk[by], prepend=-1))
             ends = np.append(cuts[1:], len(by))
-            back = np.stack([keys["fp"][by] ^ mix(keys["ch"][by]), lead["doc"][cls[by]].view(np.uint64)], 1)
+            back = np.stack([names_of(keys["fp"][by], keys["ch"][by]), lead["doc"][cls[by]].view(np.uint64)], 1)
             for lo in range(0, len(cuts), 256):
                 c, e = cuts[lo : lo + 256], ends[lo : lo + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(blk[by][c], pa.int32()), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int64()), pa.array([back[a:b].tobytes() for a, b in zip(c, e, strict=True)], pa.binary())], names=["blk", "id", "shard", "data"])
@@ -269,56 +291,52 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
             by = np.argsort(ask["doc"], kind="stable")
             x, s, b = ask[by], shard[by], blk[head][need][by]
             edge = np.flatnonzero(np.diff(x["doc"], prepend=-1) | np.diff(s, prepend=-1).astype(bool))
-            ends = np.append(edge[1:], len(x))
+            ends, names = np.append(edge[1:], len(x)), names_of(x["fp"], x["ch"])
             for lo in range(0, len(edge), 4096):
                 c, e = edge[lo : lo + 4096], ends[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(b[c], pa.int32()), pa.array(x["doc"][c], pa.int64()), pa.array(s[c], pa.int64()), pa.array([x[p:q].tobytes() for p, q in zip(c, e, strict=True)], pa.binary())], names=["blk", "id", "shard", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(b[c], pa.int32()), pa.array(x["doc"][c], pa.int64()), pa.array(s[c], pa.int64()), pa.array([names[p:q].tobytes() for p, q in zip(c, e, strict=True)], pa.binary())], names=["blk", "id", "shard", "data"])
 
     met = stored(map_groups(sent, ["bucket"], meet, "blk int, id long, shard long, data binary"), "passages")
     back = met.where("id is null").select("blk", "data")
     asked = met.where("id is not null")
 
     def cut(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """The bytes of the contexts asked for, from the block's texts."""
+        """The bytes of the contexts asked for, from the texts lent; any place of a context has the same bytes."""
         kind = t.column("kind").to_numpy()
         want = np.flatnonzero(kind == 0)
         if not len(want) or len(want) == t.num_rows:
             return
-        # of rows with one id, the one whose context has the content asked for
-        texts: dict[int, list[int]] = {}
-        ids, col = t.column("id").to_numpy(), t.column("data")
-        for r in np.flatnonzero(kind == 1).tolist():
-            texts.setdefault(int(ids[r]), []).append(r)
-        shards, out = t.column("shard").to_numpy(zero_copy_only=False), {}
-        for r in want.tolist():
-            keys = np.frombuffer(col[r].as_py(), KEY)
-            sources = [col[x].as_py() for x in texts.get(int(ids[r]), [])]
-            pool = out.setdefault(int(shards[r]), [])
-            for k in keys:
-                lo, hi = int(k["at"]), int(k["at"]) + int(k["n"]) - 1 + LENGTH
-                piece = sources[0][lo:hi]
-                if len(sources) > 1:
-                    for s in sources:
-                        raw = np.frombuffer(s[lo:hi], np.uint8)
-                        if len(raw) == hi - lo and mix(span_hash(raw_prefix(raw), np.array([0]), np.array([hi - lo])) + np.uint64(k["off"]) * GOLD)[0] == k["ch"]:
-                            piece = s[lo:hi]
-                            break
-                pool.append((k, piece))
+        table, col = {}, t.column("data")
+        lent = t.take(pa.array(np.flatnonzero(kind == 1))).column("data").combine_chunks()
+        asked_for = [np.frombuffer(col[r].as_py(), "<u8") for r in want.tolist()]
+        wanted = np.unique(np.concatenate(asked_for))
+        for _, _, block in blocks(lent, PART):
+            found = contexts(block)
+            name = names_of(found["fp"], found["ch"])
+            spot = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
+            for i in np.flatnonzero(wanted[spot] == name).tolist():
+                if (k := int(name[i])) not in table:
+                    n = int(found["n"][i])
+                    table[k] = n, block.data[found["start"][i] : found["start"][i] + n - 1 + LENGTH].tobytes()
+        shards, ids, out = t.column("shard").to_numpy(zero_copy_only=False), t.column("id").to_numpy(), {}
+        for r, names in zip(want.tolist(), asked_for, strict=True):
+            pool = out.setdefault(int(shards[r]), ([], []))
+            for k in names.tolist():
+                n, raw = table[k]
+                pool[0].append((k, int(ids[r]), n))
+                pool[1].append(raw)
         blk = t.column("blk")[0].as_py()
-        for shard, pool in out.items():
-            keys = np.array([k for k, _ in pool], KEY)
-            raw = b"".join(p for _, p in pool)
-            yield pa.RecordBatch.from_arrays([pa.array([shard >> 32], pa.int64()), pa.array([shard & 0xFFFFFFFF], pa.int64()), pa.array([blk], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([raw], pa.binary())], names=["bucket", "part", "blk", "keys", "raw"])
+        for shard, (keys, raw) in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([shard >> 32], pa.int64()), pa.array([shard & 0xFFFFFFFF], pa.int64()), pa.array([blk], pa.int32()), pa.array([np.array(keys, PIECE).tobytes()], pa.binary()), pa.array([b"".join(raw)], pa.binary())], names=["bucket", "part", "blk", "keys", "raw"])
 
-    owners = asked.select("id").distinct()
-    lent = rows.select("blk", "id", "t").join(owners, "id", "left_semi").select("blk", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("shard"), F.encode("t", "UTF-8").alias("data"))
+    lent = rows.select("blk", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("shard"), F.encode("t", "UTF-8").alias("data"))
     pieces = map_groups(asked.select("blk", F.lit(0).alias("kind"), "id", "shard", "data").unionByName(lent), ["blk"], cut, "bucket long, part long, blk int, keys binary, raw binary", order=["kind"])
     parts = asked.groupBy(F.shiftright("shard", 32).alias("bucket")).agg(F.max(F.col("shard").bitwiseAND(F.lit(0xFFFFFFFF))).alias("last"))
     pieces = pieces.join(parts, "bucket").withColumn("shard", F.col("bucket") * F.lit(1 << 32) + F.col("part"))
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """Strings of a shard that start in a smaller document; or its distinct strings by range, if the bucket has more shards."""
-        packs = [np.frombuffer(x.as_py(), KEY) for x in t.column("keys")]
+        packs = [np.frombuffer(x.as_py(), PIECE) for x in t.column("keys")]
         keys = np.concatenate(packs)
         blk = np.repeat(t.column("blk").to_numpy(), [len(p) for p in packs])
         texts = []
@@ -331,7 +349,7 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         doc = keys["doc"][piece]
         first = np.full(cls.max(initial=0) + 1, LAST)
         np.minimum.at(first, cls, doc)
-        name = keys["fp"] ^ mix(keys["ch"])
+        name = keys["name"]
         if t.column("last")[0].as_py() == 0:
             gone = doc > first[cls]
             yield from _to_blocks(blk, name, _mask(piece[gone], number[gone], len(keys)))
@@ -346,7 +364,7 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         run = np.zeros(len(order), STRING)
         run["value"], run["doc"], run["name"], run["number"], run["blk"] = value[order], doc[order], name[piece[order]], number[order], blk[piece[order]]
         ranges = t.column("last")[0].as_py() + 1
-        edges = np.searchsorted(run["value"], (np.arange(1, ranges) * (2**64 // ranges)).astype(np.uint64))
+        edges = np.searchsorted(run["value"], np.arange(1, ranges, dtype=np.uint64) * np.uint64((2**64 - 1) // ranges))
         for r, some in enumerate(np.split(run, edges)):
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([bucket * (1 << 20) + r], pa.int64()), pa.array([part], pa.int64()), pa.array([some.tobytes()], pa.binary())], names=["blk", "range", "part", "data"])
@@ -395,9 +413,9 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         table = t.take(pa.array(own))
         ids, column = table.column("id").to_numpy(), table.column("t").combine_chunks()
         kept = table.column("row").combine_chunks()
-        found = [(lo, hi, block, contexts(block)) for lo, hi, block in blocks(column)]
+        found = [(lo, hi, block, contexts(block)) for lo, hi, block in blocks(column, PART)]
         # smallest document of a context within the block
-        name = np.concatenate([c["fp"] ^ mix(c["ch"]) for *_, c in found])
+        name = np.concatenate([names_of(c["fp"], c["ch"]) for *_, c in found])
         doc = np.concatenate([ids[lo:hi][c["text"]] for lo, hi, _, c in found])
         keys, code = np.unique(name, return_inverse=True)
         first = np.full(len(keys), LAST)
