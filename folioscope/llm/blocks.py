@@ -1,6 +1,6 @@
 """Vectorised text primitives shared by the operators of this subpackage.
 
-A task walks its Arrow batches in blocks of about a mebibyte of UTF-8 (one
+A task walks its Arrow batches in blocks of 256 KiB of UTF-8 (one
 longer text is a block of its own), so memory is bounded by the block and not
 by the partition.  All hashes are polynomials modulo 2**64 taken from one
 running sum, followed by a mixing step.
@@ -8,6 +8,7 @@ running sum, followed by a mixing step.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+
+
+def _return_freed_memory() -> None:
+    """Arrays over 512 KiB go back to the system when they are freed; a worker process lives on between tasks."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_freed_memory()
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -189,6 +201,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 
 def map_blocks(df: DataFrame, text: str, keep: list[str], fields: str, make: Callable[[], Callable[[Block], list]], limit: int = BLOCK_BYTES) -> DataFrame:
     """keep's columns, and those that make()(block) returns, a list or array for each of fields; names may clash."""
+    small_batches(df.sparkSession)
     made = StructType.fromDDL(fields)
     names = [*keep, *made.names]
     schema = StructType([StructField(f"_{i}", t) for i, t in enumerate([df.schema[k].dataType for k in keep] + [f.dataType for f in made.fields])])
