@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import ALNUM, Block, block_of, lists, map_blocks, sums
+from folioscope.llm.blocks import ALNUM, Block, block_of, lists, map_blocks, stored, sums
 
 BITS = 22
 
@@ -101,15 +101,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     if shards == 1:
         table = spark.sparkContext.broadcast(WindowTable([tuple(r) for r in bench.collect()], n))
         return _one_pass(docs, list(keep), text, table)
-    numbered = docs.select(*keep, text, F.monotonically_increasing_id().alias("__row"))
+    # names by place, so that none of keep's clashes; numbered once and written, so that every pass sees the same numbers
+    own = [f"__{i}" for i in range(len(keep))]
+    numbered = stored(docs.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), "numbered")
     out = None
     for k in range(shards):
         part = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
         table = spark.sparkContext.broadcast(WindowTable([tuple(r) for r in part.collect()], n))
-        one = _one_pass(numbered, [*keep, "__row"], text, table)
+        one = _one_pass(numbered, [*own, "__row"], "__text", table)
         out = one if out is None else out.unionByName(one)
     # every shard gives a row for each text: as many rows meet in a group as there are shards
-    merged = out.groupBy(*keep, "__row").agg(
+    merged = out.groupBy("__row").agg(
+        *[F.first(o).alias(o) for o in own],
         F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("word_from", "word_to", "byte_from", "byte_to")))).alias("spans"),
@@ -122,7 +125,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
             element_at(a, -1).byte_from as byte_from, greatest(element_at(a, -1).byte_to, x.byte_to) as byte_to))), concat(a, array(x)))))"""
     )
     s = merged.withColumn("spans", joined)
-    return s.select(*keep, "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.word_to - x.word_from)").alias("n_hit"), "items", *[F.col(f"spans.{c}").alias(c) for c in ("word_from", "word_to", "byte_from", "byte_to")])
+    return s.select(*[F.col(o).alias(c) for c, o in zip(keep, own, strict=True)], "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.word_to - x.word_from)").alias("n_hit"), "items", *[F.col(f"spans.{c}").alias(c) for c in ("word_from", "word_to", "byte_from", "byte_to")])
 
 
 def without_spans(text: str, byte_from: str = "byte_from", byte_to: str = "byte_to"):

@@ -1,3 +1,4 @@
+import functools
 import random
 
 import corpus_pipeline
@@ -30,5 +31,25 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in mixed.collect()} == set(fourth)
 
 
+def test_decontamination_in_shards(spark, tmp_path, monkeypatch):
+    """Stage 4 with a benchmark over the bound of one table: the rows that one table gives, equal rows included."""
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    items = [text(20) for _ in range(9)]
+    texts = [text(40), None, "", text(9) + " " + items[0] + " " + text(9), text(9) + " " + items[3] + " " + items[5], items[8], items[7] + " " + text(4), items[7] + " " + text(4)]
+    rows = [(i, t, "en", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[3], (None, text(5), "en", 1), (None, items[2] + " end", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, n_chars long").repartition(3)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = lambda df: sorted(map(repr, df.collect()))
+    whole = seen(corpus_pipeline.decontamination(spark, docs, str(tmp_path)))
+    assert len(whole) == len(rows) - 1
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", functools.partial(corpus_pipeline.decontaminate, max_table_bytes=200))
+    cut = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert cut.columns == docs.columns and seen(cut) == whole
+    gone = [r.text for r in cut.collect() if r.text and any(i in r.text for i in items)]
+    assert not gone
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
