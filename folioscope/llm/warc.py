@@ -8,7 +8,8 @@ go out through Spark's text writer (gzip), whose line separator is the blank
 line that ends a record, so any store that Spark writes to will do; a file
 holds ``records_per_file`` records of bounded size.
 
-Reading: files are parsed record by record.  Segments meet by origin id, are
+Reading: files are parsed record by record; a gzip file may have any number of
+members, as those with one for each record.  Segments meet by origin id, are
 put in order of segment number, checked for gaps and against the total length,
 and joined; the chunked framing is then decoded and the digest compared.
 
@@ -19,9 +20,9 @@ smallest.  ``status`` is ok, gap, length, framing or digest.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -165,7 +166,7 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()
-                raw = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
                 rows = [_row(head, block, "ok", payloads) for head, block in parse(raw) if "WARC-Segment-Number" not in head]
                 yield _batch(rows)
 
@@ -173,7 +174,7 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()
-                raw = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
                 rows = [
                     (head.get("WARC-Segment-Origin-ID") or head["WARC-Record-ID"], int(head["WARC-Segment-Number"]), int(head.get("WARC-Segment-Total-Length", -1)), "\n".join(f"{k}\t{v}" for k, v in head.items()) if head["WARC-Segment-Number"] == "1" else None, block)
                     for head, block in parse(raw)

@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -206,6 +207,16 @@ def test_warc_round_trip(spark, tmp_path):
         assert again or bytes(r.payload) == raw
 
 
+def test_archives_of_several_gzip_members(spark, tmp_path):
+    bodies = [b"first", b"second" * 50, b"third" * 700]
+    raw = [[x + b"\r\n\r\n" for x in warc.records_of(f"n{i}", i, b, hashlib.sha256(b).hexdigest(), None, False, 900)] for i, b in enumerate(bodies)]
+    assert len(raw[2]) > 1
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for rows in raw for x in rows))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(raw[0])) + b"\0" * 512)
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, bytes(r.payload), r.status) for r in got) == sorted([(i, b, "ok") for i, b in enumerate(bodies)] + [(0, bodies[0], "ok")])
+
+
 def test_broken_records():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"abc", 2)
     assert warc._decoded(block, hashlib.sha256(b"abc").hexdigest()) == (b"abc", "ok")
