@@ -5,7 +5,8 @@ and returns the same columns; the last returns one row a document with the
 number of copies that the mixture takes of it.  Stages are written as Parquet
 in the shared folder and read again.
 
-Rejected or removed: texts of no language (und); all but one document of each
+Rejected or removed: texts of no language (und; null or letterless ones only,
+where no language could be learned); all but one document of each
 near-duplicate group, and all but one of rows of equal id; passages of 50 bytes
 and more that an earlier document has, and documents of which nothing else is
 left; documents with passages of two benchmark items and more; the passages of
@@ -37,7 +38,10 @@ def _retexted(found: DataFrame, columns: list[str], text) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(_packed(docs), fitted(docs), keep=("__row",), text="__text")
+    filters = fitted(docs)
+    if not filters.names:  # no labels to learn from: every text would be und
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(_packed(docs), filters, keep=("__row",), text="__text")
     return found.where(F.col("lang_pred") != "und").select("__row.*")
 
 

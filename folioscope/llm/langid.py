@@ -2,7 +2,9 @@
 
 Training counts byte n-grams of words (with their edges) by language over a
 bounded sample of labelled rows.  A language's n-grams are those it uses often
-and not far less than the language that uses them most.  One table of words of
+(MIN_COUNT times) and not far less than the language that uses them most.  A
+language with fewer than FEW n-grams that often keeps all that it has, and its
+rates, being rough, take none from other languages.  One table of words of
 ``ceil(languages / 64)`` masks holds all filters side by side: a lookup reads k
 slots and ANDs them, which leaves the bits of all languages whose filter holds
 the n-gram.  A text's counts by language, corrected for each filter's rate of
@@ -31,7 +33,8 @@ PROBES = 3
 MAX_DOCS = 1500  # of a language's rows, those with the smallest hash
 MAX_GRAMS = 20000  # of a language's n-grams, the most frequent
 MIN_SHARE = 0.15  # of the rate in the language that uses the n-gram most
-MIN_COUNT = 5
+MIN_COUNT = 5  # of an n-gram in the sample, in languages with FEW such n-grams and more
+FEW = 100
 
 
 def gram_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +157,19 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counted = sample.select("t", "l").mapInArrow(count, "l string, h long, c long, d long")
     # the most frequent of each language, by count; the bound holds what comes to the driver
     grams = counted.groupBy("l", "h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
-    top = grams.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("c"), "h"))).where((F.col("r") <= max_grams) & (F.col("c") >= MIN_COUNT)).select("l", "h", "c", "r")
+    top = grams.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("c"), "h"))).where(F.col("r") <= max_grams).select("l", "h", "c", "r")
     got = top.toPandas()
+    often = (got["c"] >= MIN_COUNT).groupby(got["l"]).sum()
+    few = set(often.index[often < FEW])
+    got = got[(got["c"] >= MIN_COUNT) | got["l"].isin(few)].copy()
     rows_of = {r["l"]: r["n"] for r in chosen.groupBy("l").agg(F.count("*").alias("n")).collect()}
     total = got.groupby("l")["c"].sum().to_dict()
     got["rate"] = got["c"] / got["l"].map(total) if len(got) else []
-    most = got.groupby("h")["rate"].max() if len(got) else None
+    most = got[~got["l"].isin(few)].groupby("h")["rate"].max()
     out = {}
     for name in total:
         own = got[got["l"] == name]
-        good = own["rate"].to_numpy() >= MIN_SHARE * most.loc[own["h"]].to_numpy()
+        good = np.ones(len(own), bool) if name in few else own["rate"].to_numpy() >= MIN_SHARE * most.loc[own["h"]].to_numpy()
         out[name] = own["h"].to_numpy(np.int64)[good].view(np.uint64)
     return Filters(out, rows_of)
 

@@ -96,6 +96,18 @@ def test_language(spark):
     assert none.select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_languages_of_few_rows(spark):
+    """A language of one short row is learned, and takes nothing from the others."""
+    rng = random.Random(90)
+    parts = {"aa": ["ka", "lo", "mi", "ru"], "bb": ["ser", "ton", "vel"]}
+    texts = [" ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(20)) for lang in ["aa", "bb"] * 80]
+    docs = docs_of(spark, [*texts, "quyx zhogg fwip", "kalomi"], langs=["aa", "bb"] * 80 + ["qq", "xx"])
+    filters = langid.fit(docs)
+    assert sorted(filters.names) == ["aa", "bb", "qq", "xx"]
+    got = langid.identify(docs_of(spark, ["zhogg quyx", *texts]), filters).orderBy("doc_id").collect()
+    assert got[0].lang_pred == "qq" and np.mean([r.lang_pred == lang for r, lang in zip(got[1:], ["aa", "bb"] * 80, strict=True)]) > 0.97
+
+
 def test_filters_have_no_false_negatives():
     grams = {"a": np.arange(1, 900, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), "b": np.arange(5000, 5400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)}
     filters = langid.Filters(grams, {"a": 2, "b": 1})

@@ -51,5 +51,11 @@ def test_decontamination_in_shards(spark, tmp_path, monkeypatch):
     assert not gone
 
 
+def test_language_without_labels(spark, tmp_path):
+    """Stage 1 with nothing to learn from: null and letterless texts go, all others stay."""
+    docs = spark.createDataFrame([(0, "plain text", None), (1, "123 !!!", None), (2, None, None), (3, "", None), (4, "\n\u4e2d", None), (5, "12 \u00df", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()) == [0, 4, 5]
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
