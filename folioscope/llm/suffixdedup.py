@@ -19,8 +19,11 @@ shard with shard, so the text is first cut where equal strings must agree:
     refinement: groups that are not yet single are sorted by the ranks h bytes
     on), the common prefixes by Kasai's rule, and so the distinct strings with
     their smallest documents.  A bucket of more contexts than shard_contexts has several
-    shards; their sorted strings are cut into ranges, and each range is merged by
-    binary search of every shard's run in the smallest-document table.
+    shards; these are not merged in suffix order: each sorts its strings by a
+    64-bit hash, the hashes are cut into ranges, and each range is merged by
+    binary search of every shard's run in the smallest-document table.  Strings
+    of different shards with equal hashes count as equal, without a look at their
+    bytes.
 4.  Blocks take back the smallest document of each context and the strings found
     at edges, mark the bytes, and cut them out.
 
