@@ -5,7 +5,8 @@ labels: in a toxic document those tokens are toxic whose word or prefixes occur
 far more often in toxic documents than in clean ones; no token of a clean
 document is.  A two-state chain is fitted to windows of tokens by gradient
 ascent on the conditional likelihood, with forward-backward for the
-expectations.  Features are the word and its prefixes of 4 to 7 bytes.
+expectations; of the sampled texts' windows at most max_windows take part, half
+of them around toxic tokens and half anywhere, both drawn at random.  Features are the word and its prefixes of 4 to 7 bytes.
 
 Scoring is exact forward-backward over the whole text.  A token without any
 known feature has the same potentials wherever it stands, so a run of them is a
@@ -33,7 +34,7 @@ MAX_DOCS = 1200  # of each class, those with the smallest hash
 MAX_BYTES = 1 << 13  # of a sampled text
 MAX_FEATURES = 1 << 16
 WINDOW = 16
-MAX_WINDOWS = 6000
+MAX_WINDOWS = 6000  # of the sampled texts' windows, those that the chain is fitted to
 STEPS = 130
 
 
@@ -209,7 +210,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Chain:
+def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5, max_windows: int = MAX_WINDOWS) -> Chain:
     """A chain from sampled texts and their labels, and the logistic fit of its scores."""
     toxic = np.asarray(toxic, bool)
     made = [token_features(block) for _, _, block in blocks(texts)]
@@ -248,7 +249,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Chain:
     rng = np.random.default_rng(seed)
     ends = bounds[owner + 1]
     at = np.flatnonzero(label)
-    starts = np.concatenate([rng.permutation(at)[: MAX_WINDOWS // 2] - rng.integers(0, WINDOW, min(len(at), MAX_WINDOWS // 2)), rng.integers(0, n_tokens, MAX_WINDOWS // 2)])
+    starts = np.concatenate([rng.permutation(at)[: max_windows // 2] - rng.integers(0, WINDOW, min(len(at), max_windows // 2)), rng.integers(0, n_tokens, max_windows // 2)])
     starts = np.maximum(starts, 0)
     cells = starts[:, None] + np.arange(WINDOW)[None, :]
     inside = cells < ends[starts][:, None]
@@ -264,14 +265,14 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Chain:
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> Chain:
-    """A chain from at most max_docs labelled rows of each class, of texts of at most MAX_BYTES."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> Chain:
+    """A chain from at most max_docs labelled rows of each class, of texts of at most MAX_BYTES, fitted to at most max_windows windows of their tokens."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).groupBy("k").agg(F.max("y").alias("y"))
     sized = docs.select(F.col(key).alias("k"), F.octet_length(text).alias("n")).where(F.col("n") <= MAX_BYTES)
     order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
     chosen = sized.join(marked, "k").select("k", "y").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_docs).select("k", "y").distinct()
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= MAX_BYTES).join(F.broadcast(chosen), "k").orderBy("k", "t").limit(2 * max_docs).toArrow()
-    return train(got.column("t").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("y").to_numpy() == 1)
+    return train(got.column("t").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("y").to_numpy() == 1, max_windows=max_windows)
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -296,6 +296,16 @@ def test_toxicity(spark):
     assert [r.score for r in empty] == [0.0]
 
 
+def test_windows_of_the_chain_are_a_parameter(spark, monkeypatch):
+    texts = ["vilex good words here " * 40 if i % 2 else "good words here only " * 40 for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
+    seen, plain = [], toxicity._fit_chain
+    monkeypatch.setattr(toxicity, "_fit_chain", lambda index, *more: seen.append(len(index)) or plain(index, *more))
+    for most in (40, 200):
+        toxicity.fit(docs_of(spark, texts), labels, max_windows=most)
+    assert seen == [40, 200]
+
+
 def test_chain_marginals_are_exact():
     rng = np.random.default_rng(70)
     chain = toxicity.Chain(np.array([1], np.uint64), np.array([1.0]), -0.7, np.array([[1.0, 0.2], [0.5, 0.9]]), np.empty(0), 0.5)
