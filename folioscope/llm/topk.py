@@ -3,8 +3,9 @@
 Vectors become integers floor(256 * x).  Candidates are dealt into groups of
 about ``group_rows`` and queries into sets of about ``query_rows``; each set
 meets each group in one task, which holds an impact-ordered index of the group:
-postings (dimension, vector, value) in segments of equal quantised impact, the
-bit length of the value.  Segments are processed by descending impact, for all
+segments of equal quantised impact, the bit length of the value.  A segment is a
+dense matrix of the group that holds zeros beside its own values, and is
+multiplied whole; there are no posting lists.  Segments are processed by descending impact, for all
 queries of a set at once.  After a segment the unprocessed rest of vector v
 cannot change a query's score by more than |q| * |rest(v)|; a query stops once
 its k-th best lower bound leaves few enough vectors whose upper bound reaches
@@ -13,7 +14,9 @@ a query but the last segment.
 
 Defined results: vectors that are null or empty or hold null or non-finite
 components take no part; of vectors with different lengths the shorter is
-padded with zeros; rows with the query's id count as its own.  Rows of equal
+padded with zeros; integers beyond 2^31 in size (components beyond 2^23) count
+as 2^31 with their sign, which is not their inner product; scores are exact while
+the sizes of a score's products sum to less than 2^53; rows with the query's id count as its own.  Rows of equal
 id are queries and candidates each for themselves.
 """
 
