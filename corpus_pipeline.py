@@ -78,7 +78,7 @@ STAGES = [
     ("mixing sources to target weights", mixing),
 ]
 
-#: Components over verified similarity, byte-exact edits and bisected weights are beyond one SQL statement; tests hold the stages against brute force.
+#: Components over verified similarity, byte-exact edits and bisected weights are beyond one SQL statement; tests hold stages 1 to 4 against brute force.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,10 @@
 import functools
+import hashlib
 import random
 
 import corpus_pipeline
 from folioscope.llm import queries
+from tests.llm.test_operators import WORD, brute5, brute6, lower, windows
 
 
 def test_stages(spark, tmp_path):
@@ -51,6 +53,55 @@ def test_decontamination_in_shards(spark, tmp_path, monkeypatch):
     assert not gone
 
 
+def brute_stage4(text, items):
+    """The text without its hit runs of words; None if two items and more are found."""
+    found = list(WORD.finditer(lower(text)))
+    w, hit, names = [m.group() for m in found], [False] * len(found), set()
+    for name, item in items:
+        for g in windows(item)[1]:
+            for i in range(len(w) - len(g) + 1):
+                if tuple(w[i : i + len(g)]) == g:
+                    hit[i : i + len(g)] = [True] * len(g)
+                    names.add(name)
+    out, at = "", 0
+    for i, m in enumerate(found):
+        if hit[i]:
+            out += text[at : m.start()] if not (i and hit[i - 1]) else ""
+            at = m.end()
+    return None if len(names) > 1 else out + text[at:]
+
+
+def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
+    """Stages 1 to 4, each on all that the one before kept: near copies, a chain of revisions, passages, nulls, a benchmark in shards."""
+    rng = random.Random(14)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    items = [(i, text(20)) for i in range(6)]
+    texts, chain, passage = [None, "", "12 34"], text(100).split(), text(30)
+    for k in range(7):
+        chain[14 * k : 14 * k + 2] = text(2).split()
+        texts.append(" ".join(chain))
+    base = text(80).split()
+    texts += [" ".join([*base[:k], "zz", *base[k:]]) for k in (0, 20, 40)] + [text(50) + " " + passage + " " + text(20) for _ in range(3)]
+    texts += [text(30) + " " + items[0][1] + ", " + text(30), text(30) + " " + items[3][1] + " " + items[5][1], items[4][1] + " " + text(40)] + [text(60) for _ in range(8)]
+    ids = rng.sample(range(1000), len(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", functools.partial(corpus_pipeline.decontaminate, max_table_bytes=300))
+    got = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        got.append({r.doc_id: r.text for r in docs.collect()})
+        assert docs.count() == len(got[-1])
+    first = {i: t for i, t in zip(ids, texts, strict=True) if t and any(c.isalpha() for c in t)}
+    second = {i: first[i] for i, _, comp in brute6(list(first), list(first.values())) if i == comp}
+    assert got[:2] == [first, second] and len(second) < len(first) - 7
+    cut = brute5(list(second), list(second.values()))
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in got[2].items()} == {i: v[0][3] for i, v in cut.items()}
+    assert sum(v[0][1] > 0 for v in cut.values()) == 2
+    fourth = {i: brute_stage4(t, items) for i, t in got[2].items()}
+    assert got[3] == {i: t for i, t in fourth.items() if t is not None} and None in fourth.values()
+
+
 def test_language_without_labels(spark, tmp_path):
     """Stage 1 with nothing to learn from: null and letterless texts go, all others stay."""
     docs = spark.createDataFrame([(0, "plain text", None), (1, "123 !!!", None), (2, None, None), (3, "", None), (4, "\n\u4e2d", None), (5, "12 \u00df", None)], "doc_id long, text string, lang string")
