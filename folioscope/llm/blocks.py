@@ -9,6 +9,7 @@ running sum, followed by a mixing step.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,16 +20,19 @@ from pyspark.sql.types import StructField, StructType
 BLOCK_BYTES = 1 << 18
 
 
-def _return_freed_memory() -> None:
-    """Arrays over 512 KiB go back to the system when they are freed; a worker process lives on between tasks."""
-    libc = ctypes.CDLL(None)
+_lean = False
+
+
+def lean() -> None:
+    """For workers: arrays over 512 KiB go back to the system when they are freed, as a worker process lives on between tasks."""
+    global _lean
+    libc = None if _lean else ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
         libc.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
         pa.set_memory_pool(pa.system_memory_pool())
+    _lean = True
 
 
-_return_freed_memory()
-
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _MULT_INV = pow(_MULT, -1, 1 << 64)
@@ -209,6 +213,7 @@ def map_blocks(df: DataFrame, text: str, keep: list[str], fields: str, make: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        lean()
         fn = make()
         kinds = [to_arrow_type(f.dataType) for f in made.fields]
         for batch in batches:
@@ -235,11 +240,14 @@ def sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of our own, if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         import tempfile
 
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
         found = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -270,4 +278,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = out, path
+    return out
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}  # of tables that stored() wrote and nobody has dropped
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of tables that stored() returned and nothing reads any more."""
+    for df in tables:
+        _, path = _PATHS.pop(id(df), (None, None))
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def held() -> set[int]:
+    """What stored tables there are, for dropped_since."""
+    return set(_PATHS)
+
+
+def dropped_since(before: set[int], but: DataFrame) -> None:
+    """Remove all tables written since then but one."""
+    dropped(*[df for k, (df, _) in list(_PATHS.items()) if k not in before and df is not but])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import stored
+from folioscope.llm.blocks import lean, stored
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
@@ -19,6 +19,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
     first = keys[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:

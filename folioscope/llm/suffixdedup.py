@@ -9,26 +9,30 @@ shard with shard, so the text is first cut where equal strings must agree:
     pick the same place make a context: its bytes, its pick, its strings.  All
     places of a string lie in contexts of the same pick.
 2.  Equal contexts need no comparison: all but those of the smallest document
-    go whole.  Documents are dealt to blocks by id; a block sends each distinct
-    context once, with its smallest document, to the bucket of its pick, so a
-    passage that everyone has arrives once from each block.
-3.  Contexts of one pick that differ can share strings at an edge, if they agree
-    in SIDE bytes on one side of the pick at least.  Only one copy of each such
-    context is read from its document and sent to a shard of the pick's bucket.
-    The shard builds the suffix array of its contexts (Larsson-Sadakane
-    refinement: groups that are not yet single are sorted by the ranks h bytes
-    on), the common prefixes by Kasai's rule, and so the distinct strings with
-    their smallest documents.  A bucket of more contexts than shard_contexts has several
-    shards; these are not merged in suffix order: each sorts its strings by a
-    64-bit hash, the hashes are cut into ranges, and each range is merged by
-    binary search of every shard's run in the smallest-document table.  Strings
-    of different shards with equal hashes count as equal, without a look at their
-    bytes.
+    go whole.  Documents are dealt to blocks by a hash of id and text; a block
+    sends each distinct context once, with its smallest document and its place
+    in the block, to the bucket of its pick, so a passage that everyone has
+    arrives once from each block.  Picks of very many contexts are found
+    beforehand on a sample of documents and dealt to buckets by context.
+3.  Contexts of one pick that differ can share strings only if they agree in
+    SIDE bytes on one side of the pick.  One copy of each such context is cut
+    from its block, at the place sent, and goes to a shard.  The shard builds
+    the suffix array of its contexts (Larsson-Sadakane refinement: groups that
+    are not yet single are sorted by the ranks h bytes on), the common prefixes
+    by Kasai's rule, and so the distinct strings with their smallest documents.
+    Where a pick's contexts may lie in several shards, each shard sends its
+    distinct strings, in suffix order and dealt by their hash into ranges; a
+    range merges the shards' runs by binary search on the strings' bytes, and
+    tells shards where another one has a smaller document.
 4.  Blocks take back the smallest document of each context and the strings found
-    at edges, mark the bytes, and cut them out.
+    in shards, both by place, mark the bytes, and cut them out.
+
+Equality of whole contexts is that of 96 bits of hash (pick and content); all
+else is decided on bytes.
 
 Defined results: null text is empty; texts under LENGTH bytes keep everything; a
-null id counts as larger than any other; rows of equal id never remove each other.
+null id counts as larger than any other; rows of equal id never remove each
+other; other columns, of whatever names, are those of keep.
 """
 
 from __future__ import annotations
@@ -42,23 +46,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from folioscope.llm.blocks import Block, blocks, mix, raw_prefix, small_batches, span_hash, stored
+from folioscope.llm.blocks import Block, blocks, buffers, lean, mix, powers, raw_prefix, small_batches, span_hash, stored
 from folioscope.llm.groups import map_groups
 
 LENGTH = 50
 GRAM = 18
 SIDE = (LENGTH - GRAM) // 2
-SHARD = 1 << 14  # contexts
+SHARD = 1 << 12  # contexts that a shard takes of one bucket
+TOGETHER = 3  # a shard takes those of 2 ** TOGETHER buckets
 PART = 1 << 18  # bytes of text that are hashed at once
+CELL = 512  # strings, or places of strings, in one row on the way
+SAMPLE = 64  # picks of very many contexts are looked for in one document of so many
+HOT = 1 << 16  # contexts that make a pick one of these
+TOP = 4096  # picks that a partition of the sample reports
 LAST = np.iinfo(np.int64).max
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: A context as blocks and buckets know it: hashes of pick and content (48 bits each), smallest document, hashes of the sides.
-KEY = np.dtype([("fp", "<u8"), ("ch", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1")])
+PLACES = np.uint64(0xFFFFFFFF)
+#: A context as blocks and buckets know it: hashes of pick and content (48 bits each), smallest document, place in the block, number of strings, hashes of the sides (0: not within the context).
+KEY = np.dtype([("fp", "<u8"), ("ch", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("n", "u1"), ("left", "u1"), ("right", "u1")])
 #: A context as shards know it.
-PIECE = np.dtype([("name", "<u8"), ("doc", "<i8"), ("n", "u1")])
+PIECE = np.dtype([("at", "<u8"), ("doc", "<i8"), ("n", "u1")])
+#: A place of a shard's string.
+PLACE = np.dtype([("sid", "<i4"), ("blk", "<i4"), ("at", "<u8"), ("doc", "<i8"), ("number", "u1")])
+#: A distinct string of a shard.
+MEMBER = np.dtype([("sid", "<i4"), ("doc", "<i8")])
 FP_BITS, CH_BITS = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0x0000FFFFFFFFFFFF)
-# bytes of KEY that hold anything: the upper six of fp, the lower six of ch, all of doc, and the sides
-_HELD = [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, *range(16, 26)]
+# bytes of KEY that hold anything: the upper six of fp, the lower six of ch, all of doc, the lower five of at, and the rest
+_HELD = [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, *range(16, 24), *range(24, 29), 32, 33, 34]
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -73,77 +87,114 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view(KEY).reshape(-1)
 
 
-def names_of(fp: np.ndarray, ch: np.ndarray) -> np.ndarray:
-    return fp ^ mix(ch)
-
-
-def contexts(block: Block) -> dict[str, np.ndarray]:
-    """The contexts of a block's texts: text, start (in the block), n, off, fp, ch, left, right."""
+def contexts(block: Block, sides: bool = True) -> dict[str, np.ndarray]:
+    """The contexts of a block's texts, by place: text, start (in the block), n, off, fp, ch, and if wanted left, right."""
     data, offs = block.data, block.offs
     n, w = len(data), LENGTH - GRAM + 1
     empty = {k: np.empty(0, t) for k, t in (("text", np.int64), ("start", np.int64), ("n", np.int64), ("off", np.int64), ("fp", np.uint64), ("ch", np.uint64), ("left", np.uint8), ("right", np.uint8))}
     if n < LENGTH:
         return empty
+    # strings within one text
+    good = np.ones(n - LENGTH + 1, bool)
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        good[max(a, b - LENGTH + 1) : b] = False
+    if not good.any():
+        return empty
     prefix = raw_prefix(data)
-    at = np.arange(n - GRAM + 1)
-    gram = span_hash(prefix, at, at + GRAM)
-    bits = np.uint64(max(20, int(n).bit_length()))
-    low = ((gram >> bits) << bits) | at.astype(np.uint64)
+    m = n - GRAM + 1
+    gram = prefix[GRAM:] - prefix[:m]
+    gram *= powers(n + 1)[1][:m]
+    # half a hash to go by, and half a place: of equal halves the first is picked
+    low = gram * GOLD
+    low &= ~PLACES
+    low |= np.arange(m, dtype=np.uint64)
     done = 1
     while done * 2 <= w:
         low = np.minimum(low[:-done], low[done:])
         done *= 2
     if done < w:
         low = np.minimum(low[: len(low) - (w - done)], low[w - done :])
-    pick = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    # strings within one text
-    text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    good = text[: len(pick)] == text[LENGTH - 1 : LENGTH - 1 + len(pick)]
-    new = good.copy()
-    new[1:] &= ~good[:-1] | (pick[1:] != pick[:-1])
+    pick = (low & PLACES).astype(np.int64)
+    turn = pick[1:] != pick[:-1]
+    new, stop = good.copy(), good.copy()
+    new[1:] &= ~good[:-1] | turn
+    stop[:-1] &= ~good[1:] | turn
     start = np.flatnonzero(new)
-    if not len(start):
-        return empty
-    stop = good.copy()
-    stop[:-1] &= ~good[1:] | (pick[1:] != pick[:-1])
     count = np.flatnonzero(stop) - start + 1
-    off = pick[start] - start
+    p = pick[start]
+    off = p - start
     end = start + count - 1 + LENGTH
     ch = mix(span_hash(prefix, start, end) + off.astype(np.uint64) * GOLD) & CH_BITS
-    p = pick[start]
-    side = lambda lo, hi: np.where((lo >= start) & (hi <= end), span_hash(prefix, np.maximum(lo, 0), np.minimum(hi, n)) & np.uint64(0xFF), 0).astype(np.uint8)
-    return {"text": text[start], "start": start, "n": count, "off": off, "fp": gram[p] & FP_BITS, "ch": ch, "left": side(p - SIDE, p), "right": side(p + GRAM, p + GRAM + SIDE)}
 
+    def side(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        value = span_hash(prefix, np.maximum(lo, 0), np.minimum(hi, n)) % np.uint64(255) + np.uint64(1)
+        return np.where((lo >= start) & (hi <= end), value, np.uint64(0)).astype(np.uint8)
 
-def _distinct(keys: np.ndarray) -> np.ndarray:
-    """One entry of each (fp, ch), that of the smallest document; in that order."""
-    keys = keys[np.lexsort((keys["doc"], keys["ch"], keys["fp"]))]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys["fp"][1:] != keys["fp"][:-1]) | (keys["ch"][1:] != keys["ch"][:-1])
-    return keys[new]
+    text = np.searchsorted(offs, start, "right") - 1
+    out = {"text": text, "start": start, "n": count, "off": off, "fp": mix(gram[p]) & FP_BITS, "ch": ch}
+    return out | {"left": side(p - SIDE, p), "right": side(p + GRAM, p + GRAM + SIDE)} if sides else out
 
 
-def _keys_of(ids: np.ndarray, block: Block) -> np.ndarray:
-    found = contexts(block)
-    out = np.empty(len(found["fp"]), KEY)
-    for k in ("fp", "ch", "left", "right"):
-        out[k] = found[k]
-    out["doc"] = ids[found["text"]]
-    return out
+def _pieces_of(column: pa.ChunkedArray) -> Iterator[tuple[int, int, int, Block]]:
+    """Row ranges of a column with the place of their first byte in it, and their blocks."""
+    row = base = 0
+    for chunk in column.chunks:
+        for lo, hi, block in blocks(chunk, PART):
+            yield row + lo, row + hi, base, block
+            base += len(block.data)
+        row += len(chunk)
+
+
+def _spread(fp: np.ndarray, ch: np.ndarray) -> np.ndarray:
+    return mix(fp ^ mix(ch))
+
+
+def _homes(fp: np.ndarray, ch: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """Bucket of each context, that of its pick or, for picks of very many, one of as many more; below it, bits that bring equal contexts together."""
+    h = _spread(fp, ch)
+    home = fp >> np.uint64(64 - bits)
+    if len(hot):
+        there = hot[np.minimum(np.searchsorted(hot, fp), len(hot) - 1)] == fp
+        home = np.where(there, np.uint64(1 << bits) + (h >> np.uint64(64 - bits)), home)
+    return (home << np.uint64(63 - bits)) | (h >> np.uint64(bits + 1))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _spans(new: np.ndarray) -> list[tuple[int, int]]:
+    """The runs that begin where new says."""
+    edges = [*np.flatnonzero(new).tolist(), len(new)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _classes(fp: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal contexts are neighbours, and where a new one begins."""
+    h = _spread(fp, ch)
+    order = np.argsort(h, kind="stable")
+    new = _changes(fp[order], ch[order])
+    if (new & ~_changes(h[order])).any():  # a hash of two contexts
+        order = np.lexsort((ch, fp))
+        new = _changes(fp[order], ch[order])
+    return order, new
 
 
 def suffix_array(data: np.ndarray, depth: int, stop: np.ndarray) -> np.ndarray:
     """Order of all suffixes by their first depth bytes up to stop, the end of the piece that each begins in, and then by place."""
     n = len(data)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = data
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word |= np.where(np.arange(i, n + i) <= stop, padded[i : i + n], np.uint64(0)) << np.uint64(56 - 8 * i)
+    word = _words(data)[:n]
+    short = np.flatnonzero(stop - np.arange(n) < 7)
+    left = (stop[short] - short + 1).astype(np.uint64) * np.uint64(8)
+    word[short] &= ~((np.uint64(1) << (np.uint64(64) - left)) - np.uint64(1))
     order = np.argsort(word, kind="stable")
-    first = word[order]
-    new = np.ones(n, bool)
-    new[1:] = first[1:] != first[:-1]
+    new = _changes(word[order])
     group = np.empty(n, np.int64)
     group[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 8
@@ -159,25 +210,37 @@ def suffix_array(data: np.ndarray, depth: int, stop: np.ndarray) -> np.ndarray:
         ahead = suffix + step
         far = np.where(ahead <= stop[suffix], group[np.minimum(ahead, n - 1)], -1)
         own = group[suffix]
-        again = np.lexsort((far, own))
+        # groups stand in order already: one sort by both ranks
+        again = np.argsort(own * (n + 1) + far + 1, kind="stable")
         order[open_] = suffix[again]
-        own, far = own[again], far[again]
-        split = np.ones(len(open_), bool)
-        split[1:] = (own[1:] != own[:-1]) | (far[1:] != far[:-1])
-        new[open_] = split
-        group = np.empty(n, np.int64)
-        group[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        new[open_] = _changes(own[again], far[again])
+        ranks = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        group[order[open_]] = ranks[open_]
         h += step
     return order
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, and one place more, the first as the highest; zeros after the end."""
+    word = np.zeros(len(data) + 8, np.uint64)
+    word[: len(data)] = data
+    for k in (1, 2, 4):
+        word[:-k] = (word[:-k] << np.uint64(8 * k)) | word[k:]
+        word[-k:] <<= np.uint64(8 * k)
+    return word[: len(data) + 1]
+
+
+_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+
+
 def kasai(data: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the array, up to its piece's end.
+    """Common prefix of each suffix with the one before it in the array, up to its piece's end, which a byte that no piece has follows.
 
     Pieces run abreast: at step k each takes its k-th suffix and begins with the
-    length that the step before it found, less one.
+    length that the step before it found, less one; eight bytes are compared at once.
     """
     n = len(data)
+    word = _words(data)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     lcp = np.zeros(n, np.int64)
@@ -190,29 +253,29 @@ def kasai(data: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndar
         i = starts[lane] + k
         here = place[i]
         j = order[np.maximum(here - 1, 0)]
+        most = ends[lane] - i
         size = np.where(here > 0, np.maximum(held[lane] - 1, 0), 0)
-        go = np.flatnonzero(here > 0)
+        go = np.flatnonzero((here > 0) & (size < most))
         while len(go):
-            a, b = i[go] + size[go], j[go] + size[go]
-            more = (a < ends[lane[go]]) & (b < n)
-            more[more] &= data[a[more]] == data[b[more]]
-            go = go[more]
-            size[go] += 1
+            x = word[i[go] + size[go]] ^ word[j[go] + size[go]]
+            size[go] += np.where(x == 0, 8, 7 - np.searchsorted(_STEPS, x, "right"))
+            go = go[(x == 0) & (size[go] < most[go])]
+        size = np.minimum(size, most)
         held[lane] = size
         lcp[i] = size
     return lcp
 
 
 def distinct_strings(pieces: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each string (the first counts[i] of LENGTH bytes of each piece): its class, piece and number."""
+    """For each string (the first counts[i] of LENGTH bytes of each piece): its class (numbered in suffix order), piece and number."""
     sizes = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     # Kasai's rule needs suffixes in full order: no piece is as long as 2 * LENGTH
     order = suffix_array(data, 2 * LENGTH, np.repeat(starts + sizes, sizes + 1))
     lcp = kasai(data, order, starts, starts + sizes)
-    number = np.concatenate([np.arange(c) for c in counts])
     piece = np.repeat(np.arange(len(pieces)), counts)
+    number = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = starts[piece] + number
     valid = np.zeros(len(data), bool)
     valid[at] = True
@@ -220,7 +283,7 @@ def distinct_strings(pieces: list[bytes], counts: np.ndarray) -> tuple[np.ndarra
     # equal strings are neighbours: all suffixes of one LENGTH-byte prefix are strings
     fresh = lcp[ranked] < LENGTH
     cls = np.empty(len(data), np.int64)
-    cls[ranked] = np.cumsum(fresh)
+    cls[ranked] = np.cumsum(fresh) - 1
     return cls[at], piece, number
 
 
@@ -230,173 +293,266 @@ def _mask(piece: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 22, shard_contexts: int = SHARD, edited: bool = False) -> DataFrame:
+def hot_picks(docs: DataFrame, key: str, text: str, least: int, sample: int = SAMPLE) -> np.ndarray:
+    """Picks of about least contexts and more, by a sample of documents; which these are decides where contexts meet, and no result."""
+    some = docs.where(F.pmod(F.xxhash64(key, text, F.lit(sample)), F.lit(sample)) == 0).select(F.col(text).alias("t"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        fps, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            for _, _, block in blocks(batch.column(0), PART):
+                found = contexts(block, sides=False)
+                order, new = _classes(found["fp"], found["ch"])
+                fps, back = np.unique(np.concatenate([fps, found["fp"][order][new]]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([n, np.ones(int(new.sum()), np.int64)])).astype(np.int64)
+                if len(fps) > 16 * TOP:
+                    top = np.sort(np.argsort(-n, kind="stable")[:TOP])
+                    fps, n = fps[top], n[top]
+        top = np.argsort(-n, kind="stable")[:TOP]
+        yield pa.RecordBatch.from_arrays([pa.array(fps[top].view(np.int64)), pa.array(n[top], pa.int64())], names=["fp", "n"])
+
+    found = some.mapInArrow(count, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least // sample)).select("fp")
+    return np.sort(np.array([r["fp"] for r in found.collect()], np.int64).view(np.uint64))  # 2 ** 20 at most, by least
+
+
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _cells(owner: np.ndarray, values: np.ndarray, most: int) -> Iterator[tuple[int, bytes]]:
+    """Each owner's values, in cells of at most so many."""
+    order = np.argsort(owner, kind="stable")
+    owner, values = owner[order], values[order]
+    for a, b in _spans(_changes(owner)):
+        for lo in range(a, b, most):
+            yield int(owner[a]), values[lo : min(lo + most, b)].tobytes()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two columns of eight bytes as one."""
+    return np.stack([a.astype(np.uint64), b.view(np.uint64)], 1).view("V16").reshape(-1)
+
+
+def _unpaired(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(cells), "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 512) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield _rows(names, kinds, held)
+            held = []
+    if held:
+        yield _rows(names, kinds, held)
+
+
+def smallest(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of distinct strings and their documents as one, with the smallest document of each: two by two, the one searched in the other."""
+    while len(runs) > 1:
+        out = []
+        for k in range(0, len(runs) - 1, 2):
+            (a, x), (b, y) = runs[k], runs[k + 1]
+            at = np.searchsorted(a, b)
+            known = np.zeros(len(b), bool)
+            inside = at < len(a)
+            known[inside] = a[at[inside]] == b[inside]
+            x = x.copy()
+            x[at[known]] = np.minimum(x[at[known]], y[known])
+            out.append((np.insert(a, at[~known], b[~known]), np.insert(x, at[~known], y[~known])))
+        runs = out + runs[len(runs) // 2 * 2 :]
+    return runs[0]
+
+
+LONG, INT, BIN = pa.int64(), pa.int32(), pa.binary()
+
+
+def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 22, shard_contexts: int = SHARD, edited: bool = False, hot_contexts: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """keep's columns with n_bytes, n_removed, n_spans, kept_sha256; with edited also kept_text, what is left as text (a character cut in part goes whole)."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n_blocks = max(32, -(-size // block_bytes))
     bits = int(n_blocks).bit_length() + 2
+    coarse = max(1, (1 << bits) >> TOGETHER)
+    hot = hot_picks(docs, key, text, max(hot_contexts, size >> 24), sample)
     payload = F.struct(*[F.col(c) for c in keep])
-    rows = docs.select(F.pmod(F.xxhash64(key, F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), text), "UTF-8"))), F.lit(n_blocks)).cast("int").alias("blk"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text, F.lit("")).alias("t"), payload.alias("row"))
+    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n_blocks)).cast("int").alias("blk"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text, F.lit("")).alias("t"), payload.alias("row"))
 
     def send(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = t.column("id").to_numpy()
-        found = [_keys_of(ids[lo:hi], block) for lo, hi, block in blocks(t.column("t").combine_chunks(), PART)]
-        keys = _distinct(np.concatenate(found))
-        bucket = (keys["fp"] >> np.uint64(64 - bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(cuts[1:], len(keys))
+        ids, found = t.column("id").to_numpy(), []
+        for lo, hi, base, block in _pieces_of(t.column("t")):
+            c = contexts(block)
+            keys = np.empty(len(c["fp"]), KEY)
+            for k in ("fp", "ch", "n", "left", "right"):
+                keys[k] = c[k]
+            keys["doc"], keys["at"] = ids[lo:hi][c["text"]], base + c["start"]
+            found.append(keys)
+        keys = np.concatenate(found) if found else np.empty(0, KEY)
+        home = _homes(keys["fp"], keys["ch"], bits, hot)
+        # rows are in order of id: the first of equal contexts is of the smallest document
+        order = np.argsort(home, kind="stable")
+        keys, home = keys[order], home[order]
+        one = _changes(keys["fp"], keys["ch"])
+        keys, bucket = keys[one], (home[one] >> np.uint64(63 - bits)).astype(np.int64)
         blk = t.column("blk")[0].as_py()
-        for lo in range(0, len(cuts), 256):
-            c, e = cuts[lo : lo + 256], ends[lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[c], pa.int64()), pa.array(np.full(len(c), blk), pa.int32()), pa.array([pack(keys[a:b]) for a, b in zip(c, e, strict=True)], pa.binary())], names=["bucket", "blk", "keys"])
+        yield from _in_batches(((int(bucket[a]), blk, pack(keys[a:b])) for a, b in _spans(_changes(bucket))), ["bucket", "blk", "keys"], [LONG, INT, BIN])
 
-    sent = map_groups(rows.select("blk", "id", "t"), ["blk"], send, "bucket long, blk int, keys binary")
+    sent = map_groups(rows.select("blk", "id", "t"), ["blk"], send, "bucket long, blk int, keys binary", order=["id", "t"])
 
     def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """To blocks: contexts that others have too, with the smallest document.  To documents: contexts to compare."""
+        """To blocks: the smallest document of contexts that a smaller one has too.  To blocks as well: contexts to compare."""
         packs = [unpack(x.as_py()) for x in t.column("keys")]
         keys = np.concatenate(packs)
         blk = np.repeat(t.column("blk").to_numpy(), [len(p) for p in packs])
-        order = np.lexsort((keys["doc"], keys["ch"], keys["fp"]))
+        order, new = _classes(keys["fp"], keys["ch"])
         keys, blk = keys[order], blk[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys["fp"][1:] != keys["fp"][:-1]) | (keys["ch"][1:] != keys["ch"][:-1])
         head = np.flatnonzero(new)
         cls = np.cumsum(new) - 1
-        size = np.diff(np.append(head, len(keys)))
-        lead = keys[head]
-        # contexts of a pick that agree on a side and have different smallest documents
-        need = np.zeros(len(head), bool)
-        for side in ("left", "right"):
-            by = np.lexsort((lead["doc"], lead[side], lead["fp"]))
-            x = lead[by]
-            cut = np.ones(len(x), bool)
-            cut[1:] = (x["fp"][1:] != x["fp"][:-1]) | (x[side][1:] != x[side][:-1])
-            start = np.flatnonzero(cut)
-            end = np.append(start[1:], len(x)) - 1
-            mixed = (x["doc"][start] != x["doc"][end]) & (start != end)
-            need[by] |= np.repeat(mixed, end - start + 1)
-        shared = np.flatnonzero((size > 1)[cls])
+        least = np.minimum.reduceat(keys["doc"], head)
+        mine = np.flatnonzero(keys["doc"] == least[cls])
+        mine = mine[_changes(cls[mine])]
+        lead, home = keys[mine], blk[mine]
         bucket = t.column("bucket")[0].as_py()
-        if len(shared):
-            by = shared[np.argsort(blk[shared], kind="stable")]
-            cuts = np.flatnonzero(np.diff(blk[by], prepend=-1))
-            ends = np.append(cuts[1:], len(by))
-            back = np.stack([names_of(keys["fp"][by], keys["ch"][by]), lead["doc"][cls[by]].view(np.uint64)], 1)
-            for lo in range(0, len(cuts), 256):
-                c, e = cuts[lo : lo + 256], ends[lo : lo + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(blk[by][c], pa.int32()), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int64()), pa.array([back[a:b].tobytes() for a, b in zip(c, e, strict=True)], pa.binary())], names=["blk", "id", "shard", "data"])
-        ask = lead[need]
-        if len(ask):
-            cut = np.arange(len(ask)) // shard_contexts
-            shard = bucket * (1 << 32) + cut
-            by = np.argsort(ask["doc"], kind="stable")
-            x, s, b = ask[by], shard[by], blk[head][need][by]
-            edge = np.flatnonzero(np.diff(x["doc"], prepend=-1) | np.diff(s, prepend=-1).astype(bool))
-            ends, names = np.append(edge[1:], len(x)), names_of(x["fp"], x["ch"])
-            for lo in range(0, len(edge), 4096):
-                c, e = edge[lo : lo + 4096], ends[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(b[c], pa.int32()), pa.array(x["doc"][c], pa.int64()), pa.array(s[c], pa.int64()), pa.array([names[p:q].tobytes() for p, q in zip(c, e, strict=True)], pa.binary())], names=["blk", "id", "shard", "data"])
-
-    met = stored(map_groups(sent, ["bucket"], meet, "blk int, id long, shard long, data binary"), "passages")
-    back = met.where("id is null").select("blk", "data")
-    asked = met.where("id is not null")
+        if bucket < 1 << bits:
+            need = np.zeros(len(lead), bool)
+            by = np.argsort(lead["fp"], kind="stable")
+            edge = np.append(_changes(lead["fp"][by]), True)
+            several = by[~(edge[:-1] & edge[1:])]
+            for side in ("left", "right"):
+                own = several[lead[side][several] > 0]
+                own = own[np.lexsort((lead["doc"][own], lead[side][own], lead["fp"][own]))]
+                start = np.flatnonzero(_changes(lead["fp"][own], lead[side][own]))
+                end = np.append(start[1:], len(own))
+                # contexts that agree on the side and have different smallest documents
+                mixed = lead["doc"][own[start]] != lead["doc"][own[end - 1]] if len(start) else np.zeros(0, bool)
+                need[own] |= np.repeat(mixed, end - start)
+        else:  # others of the same pick are in other buckets
+            need = np.ones(len(lead), bool)
+        late = keys["doc"] > least[cls]
+        answers = ((b, None, None, x) for b, x in _cells(blk[late], _pairs(keys["at"][late], least[cls][late]), 1 << 12))
+        yield from _in_batches(answers, ["blk", "shard", "n", "data"], [INT, LONG, INT, BIN])
+        ask = np.flatnonzero(need)
+        ask = ask[np.argsort(lead["fp"][ask], kind="stable")]
+        high = bucket >> TOGETHER if bucket < 1 << bits else coarse + bucket
+        pieces = np.empty(len(ask), PIECE)
+        for k in PIECE.names:
+            pieces[k] = lead[k][ask]
+        for c, lo in enumerate(range(0, len(ask), shard_contexts)):
+            part, whose = pieces[lo : lo + shard_contexts], home[ask[lo : lo + shard_contexts]]
+            wanted = ((b, (high << 32) + c, len(x) // PIECE.itemsize, x) for b, x in _cells(whose, part, CELL))
+            yield from _in_batches(wanted, ["blk", "shard", "n", "data"], [INT, LONG, INT, BIN])
+
+    met = stored(map_groups(sent, ["bucket"], meet, "blk int, shard long, n int, data binary"), "passages")
+    back = met.where("shard is null").select("blk", "data")
+    asked = met.where("shard is not null")
 
     def cut(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """The bytes of the contexts asked for, from the texts lent; any place of a context has the same bytes."""
+        """The bytes of the contexts asked for, from the block's texts."""
         kind = t.column("kind").to_numpy()
-        want = np.flatnonzero(kind == 0)
-        if not len(want) or len(want) == t.num_rows:
+        want = int((kind == 0).sum())
+        if not want or want == t.num_rows:
             return
-        table, col = {}, t.column("data")
-        lent = t.take(pa.array(np.flatnonzero(kind == 1))).column("data").combine_chunks()
-        asked_for = [np.frombuffer(col[r].as_py(), "<u8") for r in want.tolist()]
-        wanted = np.unique(np.concatenate(asked_for))
-        for _, _, block in blocks(lent, PART):
-            found = contexts(block)
-            name = names_of(found["fp"], found["ch"])
-            spot = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
-            for i in np.flatnonzero(wanted[spot] == name).tolist():
-                if (k := int(name[i])) not in table:
-                    n = int(found["n"][i])
-                    table[k] = n, block.data[found["start"][i] : found["start"][i] + n - 1 + LENGTH].tobytes()
-        shards, ids, out = t.column("shard").to_numpy(zero_copy_only=False), t.column("id").to_numpy(), {}
-        for r, names in zip(want.tolist(), asked_for, strict=True):
-            pool = out.setdefault(int(shards[r]), ([], []))
-            for k in names.tolist():
-                n, raw = table[k]
-                pool[0].append((k, int(ids[r]), n))
-                pool[1].append(raw)
+        texts = b"".join(buffers(c)[0].tobytes() for c in t.column("t").slice(want).chunks)
+        shards, data = t.column("shard").slice(0, want).to_pylist(), t.column("data").slice(0, want)
         blk = t.column("blk")[0].as_py()
-        for shard, (keys, raw) in out.items():
-            yield pa.RecordBatch.from_arrays([pa.array([shard >> 32], pa.int64()), pa.array([shard & 0xFFFFFFFF], pa.int64()), pa.array([blk], pa.int32()), pa.array([np.array(keys, PIECE).tobytes()], pa.binary()), pa.array([b"".join(raw)], pa.binary())], names=["bucket", "part", "blk", "keys", "raw"])
 
-    lent = rows.select("blk", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("shard"), F.encode("t", "UTF-8").alias("data"))
-    pieces = map_groups(asked.select("blk", F.lit(0).alias("kind"), "id", "shard", "data").unionByName(lent), ["blk"], cut, "bucket long, part long, blk int, keys binary, raw binary", order=["kind"])
-    parts = asked.groupBy(F.shiftright("shard", 32).alias("bucket")).agg(F.max(F.col("shard").bitwiseAND(F.lit(0xFFFFFFFF))).alias("last"))
-    pieces = pieces.join(parts, "bucket").withColumn("shard", F.col("bucket") * F.lit(1 << 32) + F.col("part"))
+        def bytes_of(raw: bytes) -> bytes:
+            p = np.frombuffer(raw, PIECE)
+            return b"".join([texts[a : a + n] for a, n in zip(p["at"].tolist(), (p["n"].astype(int) - 1 + LENGTH).tolist(), strict=True)])
+
+        found = ((s, blk, x.as_py(), bytes_of(x.as_py())) for s, x in zip(shards, data, strict=True))
+        yield from _in_batches(found, ["shard", "blk", "keys", "raw"], [LONG, INT, BIN, BIN], 128)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    lent = rows.select("blk", F.lit(1).alias("kind"), "id", none("long").alias("shard"), none("binary").alias("data"), "t")
+    pieces = map_groups(asked.select("blk", F.lit(0).alias("kind"), none("long").alias("id"), "shard", "data", none("string").alias("t")).unionByName(lent), ["blk"], cut, "shard long, blk int, keys binary, raw binary", order=["kind", "id", "t"])
+    domain = F.least(F.shiftright("shard", 32), F.lit(coarse).cast("long"))
+    parts = asked.select("shard", domain.alias("domain")).distinct().groupBy("domain").agg(F.count("*").alias("parts")).where("parts > 1")
+    pieces = pieces.withColumn("domain", domain).join(parts, "domain", "left")
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Strings of a shard that start in a smaller document; or its distinct strings by range, if the bucket has more shards."""
+        """Strings of a shard that start in a smaller document; or, if its picks have more shards, its distinct strings by range and their places."""
         packs = [np.frombuffer(x.as_py(), PIECE) for x in t.column("keys")]
         keys = np.concatenate(packs)
         blk = np.repeat(t.column("blk").to_numpy(), [len(p) for p in packs])
         texts = []
         for p, raw in zip(packs, t.column("raw"), strict=True):
             raw, at = raw.as_py(), 0
-            for n in p["n"].astype(int) - 1 + LENGTH:
+            for n in (p["n"].astype(int) - 1 + LENGTH).tolist():
                 texts.append(raw[at : at + n])
                 at += n
         cls, piece, number = distinct_strings(texts, keys["n"].astype(int))
         doc = keys["doc"][piece]
         first = np.full(cls.max(initial=0) + 1, LAST)
         np.minimum.at(first, cls, doc)
-        name = keys["name"]
-        if t.column("last")[0].as_py() == 0:
+        ranges = t.column("parts")[0].as_py()
+        if not ranges:
             gone = doc > first[cls]
-            yield from _to_blocks(blk, name, _mask(piece[gone], number[gone], len(keys)))
+            yield from _to_blocks(blk, keys["at"], _mask(piece[gone], number[gone], len(keys)))
             return
-        bucket, part = t.column("bucket")[0].as_py(), t.column("part")[0].as_py()
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]])
+        shard, names = t.column("shard")[0].as_py(), ["kind", "blk", "key", "part", "seq", "strings", "data"]
+        kinds = [INT, INT, LONG, LONG, INT, BIN, BIN]
         raw = np.frombuffer(b"".join(texts), np.uint8)
-        at = starts[piece] + number
-        value = span_hash(raw_prefix(raw), at, at + LENGTH)
-        # this shard's strings in order, cut at the ranges' bounds
-        order = np.argsort(value, kind="stable")
-        run = np.zeros(len(order), STRING)
-        run["value"], run["doc"], run["name"], run["number"], run["blk"] = value[order], doc[order], name[piece[order]], number[order], blk[piece[order]]
-        ranges = t.column("last")[0].as_py() + 1
-        edges = np.searchsorted(run["value"], np.arange(1, ranges, dtype=np.uint64) * np.uint64((2**64 - 1) // ranges))
-        for r, some in enumerate(np.split(run, edges)):
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([bucket * (1 << 20) + r], pa.int64()), pa.array([part], pa.int64()), pa.array([some.tobytes()], pa.binary())], names=["blk", "range", "part", "data"])
-
-    compared = stored(map_groups(pieces, ["shard"], compare, "blk int, range long, part long, data binary"), "strings")
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]])
+        some = np.zeros(len(first), np.int64)
+        some[cls] = starts[piece] + number
+        goes = (span_hash(raw_prefix(raw), some, some + LENGTH) % np.uint64(ranges)).astype(np.int64)
+        member = np.zeros(len(first), MEMBER)
+        member["sid"], member["doc"] = np.arange(len(first)), first
+
+        def runs():
+            by = np.argsort(goes, kind="stable")
+            for a, b in _spans(_changes(goes[by])):
+                key = (t.column("domain")[0].as_py() << 32) + int(goes[by[a]])
+                for seq, lo in enumerate(range(a, b, CELL)):
+                    ids = by[lo : min(lo + CELL, b)]
+                    yield 1, None, key, shard, seq, raw[some[ids][:, None] + np.arange(LENGTH)].tobytes(), member[ids].tobytes()
+
+        yield from _in_batches(runs(), names, kinds, 128)
+        places = np.zeros(len(cls), PLACE)
+        places["sid"], places["blk"], places["at"], places["doc"], places["number"] = cls, blk[piece], keys["at"][piece], doc, number
+        yield from _in_batches(((2, None, shard, None, 0, None, places[lo : lo + CELL].tobytes()) for lo in range(0, len(places), CELL)), names, kinds, 128)
+
+    compared = stored(map_groups(pieces, ["shard"], compare, "kind int, blk int, key long, part long, seq int, strings binary, data binary"), "strings")
 
     def merge(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Smallest documents over the runs of all shards, each searched in the table so far."""
-        runs = [np.frombuffer(x.as_py(), STRING) for x in t.column("data")]
-        value, doc = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for run in runs:
-            at = np.searchsorted(value, run["value"])
-            known = (at < len(value)) & (value[np.minimum(at, max(len(value) - 1, 0))] == run["value"]) if len(value) else np.zeros(len(run), bool)
-            np.minimum.at(doc, at[known], run["doc"][known])
-            fresh = run[~known]
-            head = np.ones(len(fresh), bool)
-            head[1:] = fresh["value"][1:] != fresh["value"][:-1]
-            least = np.minimum.reduceat(fresh["doc"], np.flatnonzero(head)) if len(fresh) else np.empty(0, np.int64)
-            spot = np.searchsorted(value, fresh["value"][head])
-            value, doc = np.insert(value, spot, fresh["value"][head]), np.insert(doc, spot, least)
-        every = np.concatenate(runs)
-        every = every[every["doc"] > doc[np.searchsorted(value, every["value"])]]
-        name, piece = np.unique(every["name"], return_inverse=True)
-        blk = np.zeros(len(name), np.int64)
-        blk[piece] = every["blk"]
-        for batch in _to_blocks(blk, name, _mask(piece, every["number"], len(name))):
+        """To shards: strings that another one has in a smaller document."""
+        part, strings, data = t.column("part").to_numpy(), t.column("strings"), t.column("data")
+        spans, runs, members = _spans(_changes(part)), [], []
+        for a, b in spans:
+            members.append(np.frombuffer(b"".join(x.as_py() for x in data[a:b]), MEMBER))
+            runs.append((np.frombuffer(b"".join(x.as_py() for x in strings[a:b]), f"S{LENGTH}"), members[-1]["doc"]))
+        value, doc = smallest(runs)
+        for (a, _), (own, _), member in zip(spans, runs, members, strict=True):
+            least = doc[np.searchsorted(value, own)]
+            less = np.flatnonzero(least < member["doc"])
+            found = ((int(part[a]), 0, x) for _, x in _cells(np.zeros(len(less), np.int64), _pairs(member["sid"][less], least[less]), CELL))
+            yield from _in_batches(found, ["key", "seq", "data"], [LONG, INT, BIN])
+
+    less = map_groups(compared.where("kind = 1").select("key", "part", "seq", "strings", "data"), ["key"], merge, "key long, seq int, data binary", order=["part", "seq"])
+
+    def resolve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """To blocks: the strings of a shard that start in a smaller document anywhere."""
+        told = int((t.column("seq").to_numpy() == 0).sum())
+        data = [x.as_py() for x in t.column("data")]
+        places = np.frombuffer(b"".join(data[told:]), PLACE)
+        if not len(places):
+            return
+        first = np.full(places["sid"].max() + 1, LAST)
+        np.minimum.at(first, places["sid"], places["doc"])
+        sid, least = _unpaired(data[:told])
+        first[sid.astype(np.int64)] = least.view(np.int64)
+        gone = places[places["doc"] > first[places["sid"]]]
+        gone = gone[np.lexsort((gone["at"], gone["blk"]))]
+        new = _changes(gone["blk"], gone["at"])
+        for batch in _to_blocks(gone["blk"][new], gone["at"][new], _mask(np.cumsum(new) - 1, gone["number"], int(new.sum()))):
             yield batch.select(["blk", "data"])
 
-    edges = compared.where("blk is not null").select("blk", "data").unionByName(map_groups(compared.where("blk is null").select("range", "part", "data"), ["range"], merge, "blk int, data binary"))
+    places = compared.where("kind = 2").select("key", F.lit(1).alias("seq"), "data")
+    edges = compared.where("kind = 0").select("blk", "data").unionByName(map_groups(less.unionByName(places), ["key"], resolve, "blk int, data binary", order=["seq"]))
 
     made = StructType([StructField(f.name, f.dataType) for c in keep for f in [docs.schema[c]]])
     out_fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * edited
@@ -404,85 +560,79 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
 
     def finish(t: pa.Table) -> Iterator[pa.RecordBatch]:
         kind, data = t.column("kind").to_numpy(), t.column("data")
-        own = np.flatnonzero(kind == 2)
-        if not len(own):
+        ends = [int((kind <= k).sum()) for k in range(3)]
+        if ends[1] == ends[2]:
             return
-        least = [np.frombuffer(data[r].as_py(), "<u8").reshape(-1, 2) for r in np.flatnonzero(kind == 0).tolist()]
-        least = np.concatenate(least) if least else np.empty((0, 2), np.uint64)
-        some = [np.frombuffer(data[r].as_py(), "<u8").reshape(-1, 2) for r in np.flatnonzero(kind == 1).tolist()]
-        some = np.concatenate(some) if some else np.empty((0, 2), np.uint64)
-        least = least[np.argsort(least[:, 0], kind="stable")]
-        some = some[np.argsort(some[:, 0], kind="stable")]
-        table = t.take(pa.array(own))
-        ids, column = table.column("id").to_numpy(), table.column("t").combine_chunks()
-        kept = table.column("row").combine_chunks()
-        found = [(lo, hi, block, contexts(block)) for lo, hi, block in blocks(column, PART)]
-        # smallest document of a context within the block
-        name = np.concatenate([names_of(c["fp"], c["ch"]) for *_, c in found])
-        doc = np.concatenate([ids[lo:hi][c["text"]] for lo, hi, _, c in found])
-        keys, code = np.unique(name, return_inverse=True)
-        first = np.full(len(keys), LAST)
+        told = [_unpaired([x.as_py() for x in data[a:b]]) for a, b in ((0, ends[0]), (ends[0], ends[1]))]
+        table = t.slice(ends[1])
+        ids, column = table.column("id").to_numpy(), table.column("t")
+        found = []
+        for lo, hi, base, block in _pieces_of(column):
+            c = contexts(block, sides=False)
+            found.append((lo, hi, base, {"start": c["start"], "n": c["n"], "fp": c["fp"], "ch": c["ch"], "doc": ids[lo:hi][c["text"]]}))
+        every = {k: np.concatenate([c[k] for *_, c in found]) for k in ("n", "fp", "ch", "doc")}
+        at, doc = np.concatenate([base + c["start"] for _, _, base, c in found]), every["doc"]
+        # smallest document of a context, here and elsewhere
+        order, new = _classes(every["fp"], every["ch"])
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(new) - 1
+        first = np.full(int(new.sum()), LAST)
         np.minimum.at(first, code, doc)
-        if len(keys):
-            where = np.searchsorted(keys, least[:, 0])
-            hit = (where < len(keys)) & (keys[np.minimum(where, len(keys) - 1)] == least[:, 0])
-            np.minimum.at(first, where[hit], least[hit, 1].view(np.int64))
-        mask = np.zeros(len(keys), np.uint64)
-        if len(keys) and len(some):
-            where = np.searchsorted(keys, some[:, 0])
-            hit = (where < len(keys)) & (keys[np.minimum(where, len(keys) - 1)] == some[:, 0])
-            np.bitwise_or.at(mask, where[hit], some[hit, 1])
+        place, least = told[0]
+        np.minimum.at(first, code[np.searchsorted(at, place.astype(np.int64))], least.view(np.int64))
+        mask = np.zeros(len(first), np.uint64)
+        place, strings = told[1]
+        spot = np.searchsorted(at, place.astype(np.int64))
+        own = doc[spot] == first[code[spot]]
+        np.bitwise_or.at(mask, code[spot[own]], strings[own])
+        del every, order, new
         whole, part = doc > first[code], (doc == first[code]) & (mask[code] != 0)
-        base = 0
-        for lo, hi, block, c in found:
+        row = table.column("row")
+        done = 0
+        for (lo, hi, _, c), (_, _, _, block) in zip(found, _pieces_of(column), strict=True):
             m = len(c["fp"])
             change = np.zeros(len(block.data) + 1, np.int32)
-            a = np.flatnonzero(whole[base : base + m])
+            a = np.flatnonzero(whole[done : done + m])
             np.add.at(change, c["start"][a], 1)
             np.add.at(change, c["start"][a] + c["n"][a] - 1 + LENGTH, -1)
-            for i in np.flatnonzero(part[base : base + m]).tolist():
-                bitsof = int(mask[code[base + i]])
-                for k in range(int(c["n"][i])):
-                    if bitsof >> k & 1:
-                        change[c["start"][i] + k] += 1
-                        change[c["start"][i] + k + LENGTH] -= 1
-            base += m
-            gone = np.cumsum(change[:-1]) > 0
-            removed, spans, digest, left = [], [], [], []
-            for i in range(hi - lo):
-                x, y = block.offs[i], block.offs[i + 1]
-                g = gone[x:y]
-                n = int(g.sum())
-                removed.append(n)
-                spans.append(int(g[0]) + int(((g[1:]) & ~g[:-1]).sum()) if n else 0)
-                raw = block.data[x:y][~g].tobytes() if n else block.data[x:y].tobytes()
-                digest.append(hashlib.sha256(raw).hexdigest())
-                left.append(raw.decode("utf-8", "ignore"))
-            arrays = [kept.field(f).slice(lo, hi - lo) for f in range(len(made.fields))]
-            arrays += [pa.array(np.diff(block.offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
-            arrays += [pa.array(left, pa.string())] * edited
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+            a = np.flatnonzero(part[done : done + m])
+            held = mask[code[done + a]]
+            for k in range(int(c["n"][a].max(initial=0))):
+                b = c["start"][a[(held >> np.uint64(k)) & np.uint64(1) == 1]] + k
+                np.add.at(change, b, 1)
+                np.add.at(change, b + LENGTH, -1)
+            done += m
+            arrays = [pa.chunked_array([x.field(f) for x in row.slice(lo, hi - lo).chunks], row.type.field(f).type).combine_chunks() for f in range(len(made.fields))]
+            yield pa.RecordBatch.from_arrays([*arrays, *_left(block, np.cumsum(change[:-1]) > 0, edited)], names=[f.name for f in schema.fields])
 
     row_type = rows.schema["row"].dataType
-    answer = lambda df, kind: df.select("blk", F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("id"), "data", F.lit(None).cast("string").alias("t"), F.lit(None).cast(row_type).alias("row"))
-    last = rows.select("blk", F.lit(2).alias("kind"), "id", F.lit(None).cast("binary").alias("data"), "t", "row")
-    return map_groups(answer(back, 0).unionByName(answer(edges, 1)).unionByName(last), ["blk"], finish, schema, order=["kind"])
-
-
-#: A string on its way to a merge.
-STRING = np.dtype([("value", "<u8"), ("doc", "<i8"), ("name", "<u8"), ("number", "u1"), ("blk", "<i4")])
-
-
-def _to_blocks(blk: np.ndarray, name: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
+    answer = lambda df, kind: df.select("blk", F.lit(kind).alias("kind"), none("long").alias("id"), "data", none("string").alias("t"), none(row_type).alias("row"))
+    last = rows.select("blk", F.lit(2).alias("kind"), "id", none("binary").alias("data"), "t", "row")
+    return map_groups(answer(back, 0).unionByName(answer(edges, 1)).unionByName(last), ["blk"], finish, schema, order=["kind", "id", "t"])
+
+
+def _left(block: Block, gone: np.ndarray, edited: bool) -> list[pa.Array]:
+    """Bytes, removed bytes, spans, digest and, if wanted, the text left of each of a block's texts."""
+    edge = gone.copy()
+    edge[1:] &= ~gone[:-1]
+    heads = block.offs[:-1][block.offs[:-1] < len(gone)]
+    edge[heads] = gone[heads]
+    count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[block.offs])
+    removed = count(gone)
+    digest, left, raw = [], [], memoryview(block.data)
+    for i, (x, y, cut) in enumerate(zip(block.offs[:-1].tolist(), block.offs[1:].tolist(), removed.tolist(), strict=True)):
+        rest = block.data[x:y][~gone[x:y]].tobytes() if cut else raw[x:y]
+        digest.append(hashlib.sha256(rest).hexdigest())
+        if edited:
+            left.append(rest.decode("utf-8", "ignore").encode() if cut else bytes(rest))
+    out = [pa.array(np.diff(block.offs), LONG), pa.array(removed, LONG), pa.array(count(edge), LONG), pa.array(digest, pa.string())]
+    return [*out, pa.array(left, BIN).view(pa.string())] if edited else out
+
+
+def _to_blocks(blk: np.ndarray, at: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
     some = np.flatnonzero(mask)
-    if not len(some):
-        return
-    by = some[np.argsort(blk[some], kind="stable")]
-    cuts = np.flatnonzero(np.diff(blk[by], prepend=-1))
-    ends = np.append(cuts[1:], len(by))
-    back = np.stack([name[by], mask[by]], 1)
-    n = len(cuts)
-    yield pa.RecordBatch.from_arrays([pa.array(blk[by][cuts], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([back[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["blk", "range", "part", "data"])
+    cells = ((0, b, None, None, 0, None, x) for b, x in _cells(blk[some], _pairs(at[some], mask[some]), 1 << 12))
+    yield from _in_batches(cells, ["kind", "blk", "key", "part", "seq", "strings", "data"], [INT, INT, LONG, LONG, INT, BIN, BIN])
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

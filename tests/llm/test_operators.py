@@ -414,8 +414,9 @@ def brute5(ids, texts):
     return out
 
 
-@pytest.mark.parametrize("shard", [1 << 14, 5])
-def test_repeated_passages(spark, shard):
+@pytest.mark.parametrize(("shard", "hot"), [(1 << 12, 1 << 16), (5, 1 << 16), (1 << 12, 2), (5, 2)])
+def test_repeated_passages(spark, shard, hot):
+    """Whole buckets in a shard, buckets in several, and picks of many contexts dealt by context."""
     rng = random.Random(5)
     pool = [prose(rng, rng.randrange(5, 40), 90) for _ in range(12)] + ["ab" * 60, "a" * 140, "é" * 40]
     texts = [None, "", "short", "x" * 49, "x" * 50, "x" * 50]
@@ -424,7 +425,7 @@ def test_repeated_passages(spark, shard):
         texts.append(" ".join([prose(rng, 4, 5000), *cut]))
     ids = rng.sample(range(1000), len(texts))
     ids[8], ids[9] = ids[10], None
-    got = suffixdedup.repeated_passages(docs_of(spark, texts, ids=ids), shard_contexts=shard).collect()
+    got = suffixdedup.repeated_passages(docs_of(spark, texts, ids=ids), shard_contexts=shard, hot_contexts=hot, sample=2).collect()
     rows = defaultdict(list)
     for r in got:
         rows[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
@@ -434,6 +435,34 @@ def test_repeated_passages(spark, shard):
     assert suffixdedup.repeated_passages(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_repeated_passages_in_long_texts(spark):
+    """A text of over a million bytes, one that is all one letter, rows that repeat, and a common edge of many contexts."""
+    rng = random.Random(51)
+    edge = prose(rng, 3, 80)
+    long = prose(rng, 9, 150000)
+    texts = [long, "x" + long[300000:700000], "a" * 5000, "a" * 4000, *(edge + prose(rng, 9, 40) for _ in range(60)), *["same text " * 12] * 3]
+    ids = [*range(len(texts) - 3), 900, 900, 900]
+    docs = docs_of(spark, texts, ids=ids).repartition(5)
+    got = suffixdedup.repeated_passages(docs, keep=("doc_id", "text"), shard_contexts=9, hot_contexts=8, sample=1, edited=True).collect()
+    want = brute5(ids, texts)
+    assert sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted((k, x) for k, v in want.items() for x in v)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got) and got[0].text is not None
+
+
+def test_runs_merge_by_bytes():
+    rng = np.random.default_rng(52)
+    strings = np.unique(np.frombuffer(rng.integers(0, 256, 50 * 300, dtype=np.uint8).tobytes(), "S50"))
+    runs, want = [], {}
+    for _ in range(7):
+        own = np.sort(rng.choice(strings, 90, replace=False))
+        doc = rng.integers(0, 1000, 90)
+        runs.append((own, doc))
+        for s, d in zip(own.tolist(), doc.tolist(), strict=True):
+            want[s] = min(d, want.get(s, d))
+    value, doc = suffixdedup.smallest(runs)
+    assert value.tolist() == sorted(want) and dict(zip(value.tolist(), doc.tolist(), strict=True)) == want
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(50)
     pieces = [bytes(rng.integers(97, 99, rng.integers(50, 82), dtype=np.uint8)) for _ in range(40)]
