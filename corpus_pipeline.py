@@ -54,10 +54,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = repeated_passages(_packed(docs, "doc_id"), keep=("__row",), key="__doc_id", text="__text", edited=True)
+    # the text once: not in the packed row
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    row = F.struct(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col("text").isNull().alias("void"))
+    found = repeated_passages(docs.select(row.alias("__row"), F.col("text").alias("__text"), F.col("doc_id").alias("__id")), keep=("__row",), key="__id", text="__text", edited=True)
     touched = found.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    text = F.when(F.col("n_removed") == 0, F.col("__row.text")).otherwise(F.col("kept_text"))
-    return _retexted(touched, docs.columns, text)
+    text = F.when(~F.col("__row.void"), F.col("kept_text"))
+    put = {"text": text, "n_chars": F.length(text).cast("long")}
+    return touched.select(*[put[c].alias(c) if c in put else F.col(f"__row.rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
