@@ -1,11 +1,12 @@
 """Benchmark decontamination against a broadcast hash set of n-grams.
 
-The benchmark's word windows become a sorted hash table with a bitmap in front.
-Each text's word windows are looked up in it, hits are compared word by word,
-and the words inside any hit make up the spans to remove.  The table is
-broadcast while the benchmark's text is under ``max_table_bytes``; beyond, the
-items are dealt into shards of that size, every shard makes its own pass, and
-the passes' hits are merged by text.
+The benchmark's word windows become a sorted hash table in flat arrays with a
+bitmap in front.  Each text's word windows are looked up in it, hits are compared
+word by word, and the words inside any hit make up the spans to remove.  The
+table is broadcast while it takes at most ``max_table_bytes`` (WINDOW_BYTES a
+word of the benchmark, besides its text); beyond, the items are dealt into
+shards of that size, every shard makes its own pass, and the passes' hits are
+merged by text.
 
 Defined results: a null or empty text has no words and no hits; items without
 words never occur; items of equal id count once; a null id stands as ''; rows
@@ -23,30 +24,70 @@ from pyspark.sql import functions as F
 from folioscope.llm.blocks import ALNUM, Block, block_of, lists, map_blocks, stored, sums
 
 BITS = 22
+WINDOW_BYTES = 48  # of a table's arrays, for each word of the benchmark
+#: A word before letters are lower-cased.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class WindowTable:
-    """Windows of benchmark items: hash -> (words, item ids)."""
+    """Windows of benchmark items: sorted hashes, each with the place of its words and the items that have it."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int = 8):
-        texts = [(t or "").encode() for _, t in items]
-        self.found: dict[int, dict[bytes, set[str]]] = {}
-        self.lengths: set[int] = set()
-        block = block_of(texts)
-        words = block.words(ALNUM)
-        if len(words):
-            hashes = words.hashes
-            for size in sorted({min(n, int(c)) for c in words.counts if c}):
-                grams = words.grams(hashes, size)
-                for i in np.flatnonzero((words.counts >= n) if size == n else (words.counts == size)):
-                    name = str(items[i][0]) if items[i][0] is not None else ""
-                    for at in range(words.bounds[i], words.bounds[i + 1] - size + 1):
-                        self.found.setdefault(int(grams[at]), {}).setdefault(words.bytes_of(at, at + size), set()).add(name)
-                        self.lengths.add(size)
-        self.keys = np.sort(np.fromiter(self.found, np.uint64, len(self.found)))
+        words = block_of([(t or "").encode() for _, t in items]).words(ALNUM)
+        names = ["" if i is None else str(i) for i, _ in items]
+        self.names = sorted(set(names))
+        code = np.searchsorted(np.array(self.names), names) if names else np.empty(0, np.int64)
+        self.lengths = {min(n, int(c)) for c in words.counts if c}
+        #: all words, lower-cased, a space between each
+        self.text = words.bytes_of(0, len(words))
+        start = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
+        hashes = words.hashes if len(words) else np.empty(0, np.uint64)
+        found = []
+        for size in sorted(self.lengths):
+            grams = words.grams(hashes, size)
+            at = np.flatnonzero(words.whole(size))
+            owner = np.searchsorted(words.bounds, at, "right") - 1
+            own = words.counts[owner] >= n if size == n else words.counts[owner] == size
+            found.append((grams[at[own]], start[at[own]], start[at[own] + size] - 1, code[owner[own]]))
+        key, begin, end, item = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+        order = np.lexsort((item, key))
+        key, begin, end, item = key[order], begin[order], end[order], item[order]
+        # windows of one hash: those of one text are one entry
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        entry = np.cumsum(new) - 1
+        extra: list[int] = []
+        several = np.flatnonzero(~new)
+        heads: dict[int, dict[bytes, int]] = {}
+        for i in several.tolist():
+            known = heads.get(int(entry[i]))
+            if known is None:
+                first = int(np.searchsorted(key, key[i]))
+                known = heads.setdefault(int(entry[i]), {self.text[begin[first] : end[first]]: int(entry[i])})
+            one = self.text[begin[i] : end[i]]
+            if one not in known:  # another text of the same hash
+                known[one] = int(new.sum()) + len(extra)
+                extra.append(i)
+            entry[i] = known[one]
+        head = np.concatenate([np.flatnonzero(new), np.array(extra, np.int64)])
+        order = np.argsort(key[head], kind="stable")
+        place = np.empty(len(head), np.int64)
+        place[order] = np.arange(len(head))
+        self.keys, self.begin, self.end = key[head][order], begin[head][order], end[head][order]
+        both = np.unique(place[entry] * max(1, len(self.names)) + item)
+        self.items = (both % max(1, len(self.names))).astype(np.int32)
+        self.bounds = np.searchsorted(both // max(1, len(self.names)), np.arange(len(head) + 1))
         self.front = np.zeros(1 << BITS, bool)
         self.front[self.keys >> np.uint64(64 - BITS)] = True
 
+    def items_of(self, key: np.uint64, words: bytes) -> list[str]:
+        """The items that have a window of these words."""
+        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        for e in range(int(lo), int(hi)):
+            if self.text[self.begin[e] : self.end[e]] == words:
+                return [self.names[i] for i in self.items[self.bounds[e] : self.bounds[e + 1]].tolist()]
+        return []
+
     def hits(self, block: Block) -> tuple:
         """Words, flags of words that are hit, and for each text the ids of the items found."""
         words = block.words(ALNUM)
@@ -61,8 +102,8 @@ class WindowTable:
                 at = at[self.keys[slot] == grams[at]]
                 owner = np.searchsorted(words.bounds, at, "right") - 1
                 for i, text in zip(at.tolist(), owner.tolist(), strict=True):
-                    if names := self.found[int(grams[i])].get(words.bytes_of(i, i + size)):
-                        items[text] |= names
+                    if names := self.items_of(grams[i], words.bytes_of(i, i + size)):
+                        items[text].update(names)
                         change[i] += 1
                         change[i + size] -= 1
         return words, np.cumsum(change[:-1]) > 0, items
@@ -92,11 +133,11 @@ def _one_pass(docs: DataFrame, keep: list[str], text: str, table) -> DataFrame:
     return map_blocks(docs, text, keep, "n_words long, n_hit long, items array<string>, word_from array<long>, word_to array<long>, byte_from array<long>, byte_to array<long>", make)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, max_table_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, max_table_bytes: int = 64 << 20) -> DataFrame:
     """keep's columns with n_words, n_hit, items, and the hit spans in words (word_from, word_to) and UTF-8 bytes (byte_from, byte_to)."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    total = bench.agg(F.sum(F.octet_length("t") + F.lit(16))).first()[0] or 0
+    total = bench.agg(F.sum(F.octet_length(F.coalesce("t", F.lit(""))) + F.lit(64) + F.lit(WINDOW_BYTES) * F.regexp_count(F.coalesce("t", F.lit("")), F.lit(ANY_WORD)))).first()[0] or 0
     shards = -(-total // max_table_bytes) or 1
     if shards == 1:
         table = spark.sparkContext.broadcast(WindowTable([tuple(r) for r in bench.collect()], n))
@@ -149,7 +190,7 @@ dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_tr
 hits AS (SELECT DISTINCT dw.doc_id, dw.pos, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 places AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS p FROM hits),
 c AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 """
