@@ -4,8 +4,8 @@ Every rule is a glob over the canonical form ``.host/path`` (host in lower
 case, without query and fragment).  ``*`` before the first ``/`` of a glob stays
 inside the host, after it takes anything; ``?`` takes one byte.  All globs' states lie side by side in
 64-bit words: one step shifts every word with its carry, masks it by the byte's
-literals and keeps the states whose star takes the byte.  A step runs for all
-URLs of a block that are long enough at once.
+literals and keeps the states whose star takes the byte.  A step runs at once for
+all URLs of a block that are long enough and whose states can still change.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 fits no prefix rule.  The longest fitting prefix rule decides (equal length:
@@ -59,6 +59,10 @@ class Automaton:
         begin = np.zeros(len(lit), bool)
         begin[self.start] = True
         self.begin = self._pack(begin)
+        end = np.zeros(len(lit), bool)
+        end[self.final] = True
+        #: ends that take whatever follows
+        self.settled = self._pack(end & (star == 2))
 
     def _pack(self, flags: np.ndarray) -> np.ndarray:
         bits = np.zeros(self.words * 64, bool)
@@ -71,14 +75,26 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         starts, longest = offs[:-1][order], size[order]
         state = np.repeat(self.begin[:, None], len(size), 1)
-        active = np.searchsorted(-longest, -np.arange(1, (longest[0] if len(size) else 0) + 1), "right")
-        for step, n in enumerate(active.tolist()):
-            byte = data[starts[:n] + step]
-            now = state[:, :n]
+        live, now = np.arange(len(size)), state
+        for step in range(int(longest[0]) if len(size) else 0):
+            n = int(np.searchsorted(-longest[live], -step, "left"))
+            if n < len(live):  # these texts have ended
+                state[:, live[n:]] = now[:, n:]
+                live, now = live[:n], now[:, :n]
+            if not len(live):
+                break
+            byte = data[starts[live] + step]
             moved = now << np.uint64(1)
             if self.words > 1:
                 moved[1:] |= now[:-1] >> np.uint64(63)
-            state[:, :n] = (moved & self.shift[:, byte]) | (now & self.stay[:, byte])
+            now = (moved & self.shift[:, byte]) | (now & self.stay[:, byte])
+            if step % 16 == 15:
+                # texts of which no glob is left, or none that is not settled
+                go = (now & ~self.settled[:, None]).any(0)
+                if not go.all():
+                    state[:, live[~go]] = now[:, ~go]
+                    live, now = live[go], now[:, go]
+        state[:, live] = now
         out = np.zeros((len(size), len(self.globs)), bool)
         for g, bit in enumerate(self.final):
             out[order, g] = (state[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1
