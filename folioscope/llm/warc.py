@@ -15,7 +15,9 @@ and joined; the chunked framing is then decoded and the digest compared.
 
 Defined results: null html is an empty payload.  A null id counts as larger
 than any; rows of equal id and payload are responses alike if the id is the
-smallest.  ``status`` is ok, gap, length, framing or digest.
+smallest; equal payloads whose ids are all null are responses.  ``status`` is ok,
+gap, length, framing, digest, or header where a record's own numbers make no
+sense, which costs that record only.
 """
 
 from __future__ import annotations
@@ -90,10 +92,12 @@ def records_of(name: str, page: int | None, body: bytes, digest: str, first: int
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", text: str = "html", min_revisit: int = 100, segment_bytes: int = 1 << 16, records_per_file: int = 512) -> None:
     rows = pages.select(F.col(key).cast("long").alias("page"), F.coalesce(F.encode(text, "UTF-8"), F.lit(b"")).alias("body"))
     rows = rows.withColumn("digest", F.sha2("body", 256))
-    firsts = rows.where(F.octet_length("body") >= min_revisit).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marked = rows.join(firsts, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")) & (F.octet_length("body") >= min_revisit)
-    marked = marked.select("page", "body", "digest", "first", revisit.alias("revisit"), F.monotonically_increasing_id().alias("row"))
+    # digests meet without bodies; bodies meet the revisits by page, so no frequent payload is a key of theirs
+    small = rows.where(F.octet_length("body") >= min_revisit).select("page", "digest")
+    firsts = small.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    again = small.join(firsts, "digest").where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("__page"), F.col("digest").alias("__digest"), "first").distinct()
+    marked = rows.join(again, F.col("page").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+    marked = marked.select("page", "body", "digest", "first", F.col("first").isNotNull().alias("revisit"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = uuid.uuid4().hex[:12]
@@ -115,8 +119,13 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", text: str
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record."""
+def _whole(text: str | None) -> int | None:
+    """A number that is not below zero; None for anything else."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and block of each record; no block where the headers do not tell its length, and then the next record is looked for."""
     at = 0
     while at < len(raw):
         end = raw.find(CRLF + CRLF, at)
@@ -124,7 +133,12 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        size = int(head.get("Content-Length", 0))
+        size = _whole(head.get("Content-Length"))
+        if size is None:
+            yield head, None
+            after = raw.find(CRLF + CRLF + b"WARC/", end)
+            at = after + 4 if after >= 0 else len(raw)
+            continue
         yield head, raw[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
@@ -137,15 +151,26 @@ def _decoded(block: bytes, want: str) -> tuple[bytes | None, str]:
     return body, "ok" if hashlib.sha256(body).hexdigest() == want else "digest"
 
 
+def _segment(head: dict[str, str], block: bytes | None) -> bool:
+    """Whether a record is part of a segmented one."""
+    return block is not None and _whole(head.get("WARC-Segment-Number")) is not None and ("WARC-Segment-Total-Length" not in head or _whole(head["WARC-Segment-Total-Length"]) is not None)
+
+
 OUT = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, status string"
 
 
 def _row(head: dict[str, str], block: bytes | None, status: str, payloads: bool) -> tuple:
     want = head.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-    page = int(head["WARC-Page-ID"]) if head.get("WARC-Page-ID") else None
+    name = head.get("WARC-Page-ID", "")
+    page = (-1 if name[:1] == "-" else 1) * _whole(name.lstrip("-")) if _whole(name.lstrip("-")) is not None else None
+    if block is None or name and page is None:
+        status = "header"
+    elif status == "ok" and head.get("Content-Length") and len(block) < (_whole(head["Content-Length"]) or 0) and "WARC-Segment-Number" not in head:
+        status = "length"
     if head.get("WARC-Type") == "revisit":
-        refers = head.get("WARC-Refers-To-Page-ID")
-        return page, None, int(head.get("WARC-Payload-Length", 0)), want, "revisit", int(refers) if refers else None, "ok"
+        refers = head.get("WARC-Refers-To-Page-ID", "")
+        number = _whole(refers.lstrip("-"))
+        return page, None, _whole(head.get("WARC-Payload-Length")), want, "revisit", None if number is None else -number if refers[:1] == "-" else number, status
     body, status = _decoded(block, want) if status == "ok" else (None, status)
     if body is None:
         return page, None, None, None, "response", None, status
@@ -167,7 +192,7 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
             for content in batch.column(0):
                 raw = content.as_py()
                 raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                rows = [_row(head, block, "ok", payloads) for head, block in parse(raw) if "WARC-Segment-Number" not in head]
+                rows = [_row(head, block, "ok" if "WARC-Segment-Number" not in head else "header", payloads) for head, block in parse(raw) if not _segment(head, block)]
                 yield _batch(rows)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +201,9 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
                 raw = content.as_py()
                 raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
                 rows = [
-                    (head.get("WARC-Segment-Origin-ID") or head["WARC-Record-ID"], int(head["WARC-Segment-Number"]), int(head.get("WARC-Segment-Total-Length", -1)), "\n".join(f"{k}\t{v}" for k, v in head.items()) if head["WARC-Segment-Number"] == "1" else None, block)
+                    (head.get("WARC-Segment-Origin-ID") or head.get("WARC-Record-ID", ""), int(head["WARC-Segment-Number"]), int(head.get("WARC-Segment-Total-Length", -1)), "\n".join(f"{k}\t{v}" for k, v in head.items()) if head["WARC-Segment-Number"] == "1" else None, block)
                     for head, block in parse(raw)
-                    if "WARC-Segment-Number" in head
+                    if _segment(head, block)
                 ]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["origin", "number", "total", "head", "block"])
