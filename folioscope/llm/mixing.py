@@ -82,11 +82,13 @@ def exponent(shares: Shares, target_entropy: float | None, max_repeats: float |
     return max(found, bisect(lambda a: repeats(a) <= max_repeats)) if max_repeats is not None else found
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", target_entropy: float | None = None, max_repeats: float | None = 4.0, budget_tokens: int | None = None, block_tokens: int = 1 << 14, seed: int = 17) -> DataFrame:
-    """doc_id, source, n_tokens, weight (its source's), block, n_copies of each document."""
-    counted = map_blocks(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("__text")), "__text", ["doc_id", "source"], "n_tokens long", lambda: lambda b: [b.words(ALNUM).counts])
-    counted = counted.withColumn("s", F.coalesce("source", F.lit(NULL_SOURCE))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    counted = stored(counted, "mix")
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", target_entropy: float | None = None, max_repeats: float | None = 4.0, budget_tokens: int | None = None, block_tokens: int = 1 << 14, seed: int = 17, carry: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, weight (its source's), block, n_copies of each document, and the column named by carry, as carried."""
+    own = ["doc_id", "source", "h", *["carried"] * (carry is not None)]
+    # the hash takes in the text: rows of equal or null ids lie in many blocks
+    named = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.lit(seed), key, text).alias("h"), *[F.col(carry).alias("carried") for _ in own[3:]], F.col(text).alias("__text"))
+    counted = map_blocks(named, "__text", own, "n_tokens long", lambda: lambda b: [b.words(ALNUM).counts])
+    counted = stored(counted.withColumn("s", F.coalesce("source", F.lit(NULL_SOURCE))), "mix")
     totals = stored(counted.groupBy("s").agg(F.sum("n_tokens").alias("tokens")), "mix-totals")
     shares = Shares(totals)
     a = exponent(shares, target_entropy, max_repeats, budget_tokens)
@@ -100,7 +102,6 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         budget = F.floor(weight * F.lit(float(budget_tokens))).cast("long")
     bits = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("tokens") / F.lit(float(block_tokens)), F.lit(1.0)))))).cast("int")
     plan = totals.select("s", weight.alias("weight"), bits.alias("bits"), F.when(F.col("tokens") > 0, F.floor(budget / F.greatest("tokens", F.lit(1)))).otherwise(1).cast("long").alias("passes"), F.when(F.col("tokens") > 0, budget % F.greatest("tokens", F.lit(1))).otherwise(0).alias("rest"))
-    plan = F.broadcast(plan) if shares.few else plan
     block = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(h, 64 - bits)")).otherwise(F.lit(0)).cast("long")
     placed = counted.join(plan, "s").withColumn("block", block)
     # 2 ** 16 blocks a source at most
@@ -113,7 +114,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     done = known.where("state >= 0").withColumn("more", F.col("state").cast("long"))
     out = done.unionByName(last)
     copies = F.when(F.col("n_tokens") == 0, F.lit(1)).otherwise(F.col("passes") + F.col("more"))
-    return out.select("doc_id", "source", "n_tokens", "weight", "block", copies.cast("long").alias("n_copies"))
+    return out.select("doc_id", "source", "n_tokens", "weight", "block", copies.cast("long").alias("n_copies"), *own[3:])
 
 
 def realise(plan: DataFrame, seed: int = 17) -> DataFrame:
