@@ -49,12 +49,12 @@ TEMPLATES = [
 class Template:
     def __init__(self, label: str, text: str, share: float, keys: list[str], base: bool):
         self.label, self.share, self.base = label, share, base
-        self.words = text.encode().split()
-        block = block_of([text.encode()])
-        self.hashes = block.words(ALNUM).hashes
+        own = block_of([text.encode()]).words(ALNUM)
+        self.words, self.hashes = own.bytes_of(0, len(own)).split(b" "), own.hashes
         self.key_at = np.zeros(len(self.words), bool)
         for key in keys:
-            part = key.encode().split()
+            own = block_of([key.encode()]).words(ALNUM)
+            part = own.bytes_of(0, len(own)).split(b" ")
             at = next(i for i in range(len(self.words)) if self.words[i : i + len(part)] == part)
             self.key_at[at : at + len(part)] = True
         if share >= 1:
@@ -128,8 +128,8 @@ class Index:
         return [words.counts, [len(s) for s in starts], [min(s, default=None) for s in starts], [max(s, default=None) for s in starts], [",".join(sorted(b)) for b in base], [",".join(sorted(x)) for x in labels], score]
 
 
-def templates() -> list[Template]:
-    return [Template(label, text, 1.0, [], True) for text, label in BASE] + [Template(label, text, share, keys, False) for label, text, share, keys in TEMPLATES]
+def templates(more: list[tuple[str, str, float, list[str]]] = TEMPLATES) -> list[Template]:
+    return [Template(label, text, 1.0, [], True) for text, label in BASE] + [Template(label, text, share, keys, False) for label, text, share, keys in more]
 
 
 def vocabulary_idf(docs: DataFrame, known: list[Template], text: str = "text") -> dict[int, float]:
@@ -157,9 +157,9 @@ def vocabulary_idf(docs: DataFrame, known: list[Template], text: str = "text") -
     return {int(h): float(np.log((n + 1) / (got.get(i, 0) + 1))) for i, h in enumerate(vocab)}
 
 
-def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keep's columns with n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    known = templates()
+def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", more: list[tuple[str, str, float, list[str]]] = TEMPLATES) -> DataFrame:
+    """keep's columns with n_words, n_base, first_word, last_word, base_labels, labels, score; more are templates as TEMPLATES has them, whole licence texts too."""
+    known = templates(more)
     shared = docs.sparkSession.sparkContext.broadcast(Index(known, vocabulary_idf(docs, known, text)))  # the templates' words
     return map_blocks(docs, text, list(keep), "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double", lambda: shared.value.scan)
 
