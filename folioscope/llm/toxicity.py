@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.blocks import ALNUM, Block, blocks, lists, map_blocks, span_hash
 
 PREFIXES = (4, 5, 6, 7)
-MAX_DOCS = 1200  # of each class, those with the smallest hash
+MAX_DOCS = 1200  # of each class, about, those with the smallest hash
 MAX_BYTES = 1 << 13  # of a sampled text
 MAX_FEATURES = 1 << 16
 WINDOW = 16
@@ -266,12 +266,15 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5, max_windows: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> Chain:
-    """A chain from at most max_docs labelled rows of each class, of texts of at most MAX_BYTES, fitted to at most max_windows windows of their tokens."""
+    """A chain from about max_docs labelled rows of each class (2 * max_docs at most in all), of texts of at most MAX_BYTES, fitted to at most max_windows windows of their tokens."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).groupBy("k").agg(F.max("y").alias("y"))
     sized = docs.select(F.col(key).alias("k"), F.octet_length(text).alias("n")).where(F.col("n") <= MAX_BYTES)
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = sized.join(marked, "k").select("k", "y").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_docs).select("k", "y").distinct()
-    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= MAX_BYTES).join(F.broadcast(chosen), "k").orderBy("k", "t").limit(2 * max_docs).toArrow()
+    both = sized.join(marked, "k").select("k", "y").distinct()
+    # a class's rows are those of the smallest hashes: by a bound on these, so that no class meets in one task
+    n = {r["y"]: r["n"] for r in both.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = [min(1 << 30, int((1 << 30) * max_docs / max(1, n.get(y, 0)))) for y in (0, 1)]
+    chosen = both.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= MAX_BYTES).join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "k", "t").limit(2 * max_docs).toArrow()
     return train(got.column("t").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("y").to_numpy() == 1, max_windows=max_windows)
 
 
