@@ -295,11 +295,11 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def held() -> set[int]:
+def known() -> set[int]:
     """What stored tables there are, for dropped_since."""
     return set(_PATHS)
 
 
-def dropped_since(before: set[int], but: DataFrame) -> None:
-    """Remove all tables written since then but one."""
-    dropped(*[df for k, (df, _) in list(_PATHS.items()) if k not in before and df is not but])
+def dropped_since(before: set[int], *but: DataFrame) -> None:
+    """Remove all tables written since then but these."""
+    dropped(*[df for k, (df, _) in list(_PATHS.items()) if k not in before and all(df is not x for x in but)])

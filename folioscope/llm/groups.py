@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import lean, stored
+from folioscope.llm.blocks import dropped, lean, stored
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and comp, the smallest id reachable, for every id of the edges (a, b).
+    """id and comp (and old, which is the same), the smallest id reachable, for every id of the edges (a, b).
 
     Labels point to smaller ids of the same component.  Each round hands the
     smallest label among a node's neighbours to the node and to the node that
@@ -55,6 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"), "labels")
+    before = labels
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
         step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
@@ -63,6 +64,8 @@ def components(edges: DataFrame) -> DataFrame:
         lowered = stored(given.groupBy("id").agg(F.min("old").alias("old"), F.min("comp").alias("comp")), "labels")
         hop = lowered.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         moved = stored(lowered.join(hop, "comp").select("id", "old", F.col("next").alias("comp")), "labels")
-        labels = moved.select("id", "comp")
+        dropped(before, lowered)
+        labels, before = moved.select("id", "comp"), moved
         if not moved.where("old <> comp").limit(1).count():
-            return labels
+            dropped(both)
+            return moved

@@ -12,7 +12,9 @@ Sets that are equal are one node (their smallest id).  BANDS bands of WIDTH
 registers deal nodes to buckets; a pair at 0.75 shares none with probability
 (1 - 0.75**5)**51 = 1e-6.  Each node is held against two pivots among its
 buckets, which joins most copies; then all pairs that share a bucket but not a
-component are judged, in tiles of bounded size, in the first bucket they share.
+component are judged, in tiles of bounded size, in the first bucket they share:
+a bucket's nodes outside of its largest component meet all of its nodes, and no
+two nodes within that component meet.
 A joint likelihood of the registers with the known set sizes rules out pairs
 far below the threshold (a statistic over LR, five sigma and more); all others
 are confirmed on their full sets.  No pair but a confirmed link leaves a task as a row, and
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import SOLID, Block, blocks, map_blocks, mix, small_batches, stored
+from folioscope.llm.blocks import SOLID, Block, blocks, dropped_since, known, lean, map_blocks, mix, small_batches, stored
 from folioscope.llm.groups import components, map_groups
 
 WORDS = 5
@@ -45,6 +47,7 @@ SLACK = 7.0
 LR = 26.0
 TILE = 1024
 SMALL = 48
+PAIRS = 1 << 14  # that a partition confirms
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,13 +128,11 @@ def statistic(above: np.ndarray, below: np.ndarray, n1: np.ndarray, n2: np.ndarr
     return 2 * (np.maximum(best, within) - within)
 
 
-def candidate_pairs(band: int, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of left and right rows in different components that this band is the first to bring together and that registers do not rule out."""
+def candidate_pairs(band: int, ids: np.ndarray, comp: np.ndarray, minor: np.ndarray, n: np.ndarray, regs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of left and right rows in different components that this band is the first to bring together and that registers do not rule out; of two in the minority, that from the smaller id."""
     keep_a, keep_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    same = left is right
     for i in left:
-        other = right[right > i] if same else right
-        other = other[comp[other] != comp[i]]
+        other = right[(comp[right] != comp[i]) & (~minor[right] | (ids[right] > ids[i]))]
         lo, hi = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
         other = other[lo >= threshold * hi - 1e-9]
         if not len(other):
@@ -186,6 +187,7 @@ def full_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, bits: int =
     source = source.select("id", "t", F.bitmap_bucket_number(spot("id")).alias("b"), F.bitmap_bit_position(spot("id")).alias("i"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         bitmap = shared.value
         for batch in batches:
             b, i = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -211,6 +213,7 @@ def _pivot_edges(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     threshold = percent / 100
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             if batch.num_rows:
                 n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -226,6 +229,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     judged = edges.join(sets, "id").select("id", "p", F.col("set").alias("x")).join(sets.select(F.col("id").alias("p"), F.col("set").alias("y")), "p").select("id", "p", "x", "y")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             good = [linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(x, y, strict=True)]
@@ -237,23 +241,26 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _tiled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Confirmed links between components, over all pairs of their nodes that share a bucket."""
     seen = members.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    placed = seen.join(mixed, "bucket").withColumn("u", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(F.xxhash64("bucket", F.least("u", "w"), F.greatest("u", "w")).alias("gid"), "band", "id", "comp", "u", (F.col("u") <= F.col("w")).alias("first"), (F.col("u") == F.col("w")).alias("own"))
+    held = seen.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("size")).where("size > most.k")
+    tiles = lambda c: F.ceil(c / TILE).cast("int")
+    mixed = held.select("bucket", F.col("most.comp").alias("major"), tiles(F.col("size")).alias("tiles"), tiles(F.col("size") - F.col("most.k")).alias("few"))
+    shared = seen.join(mixed, "bucket").withColumn("minor", F.col("comp") != F.col("major"))
+    spot = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # a tile: all nodes of one part of the bucket, and nodes of the minority of another
+    there = shared.select("bucket", "band", "id", "comp", "minor", F.lit(False).alias("visits"), spot("tiles", 1).alias("u"), each("few").alias("w"))
+    come = shared.where("minor").select("bucket", "band", "id", "comp", "minor", F.lit(True).alias("visits"), each("tiles").alias("u"), spot("few", 2).alias("w"))
+    placed = there.unionByName(come).select(F.xxhash64("bucket", "u", "w").alias("gid"), "band", "id", "comp", "minor", "visits")
     placed = placed.join(reps.select(F.col("doc_id").alias("id"), "n", "regs"), "id")
     threshold = percent / 100
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if t.num_rows < 2:
             return
-        col = {k: t.column(k).to_numpy() for k in ("gid", "band", "id", "comp", "n", "first", "own")}
+        col = {k: t.column(k).to_numpy() for k in ("gid", "band", "id", "comp", "n", "minor", "visits")}
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(t.num_rows, REGISTERS)
         rows = np.arange(t.num_rows)
-        if col["own"].all():
-            left = right = rows
-        else:
-            left, right = rows[col["first"]], rows[~col["first"]]
-        a, b = candidate_pairs(int(col["band"][0]), col["comp"], col["n"], regs, left, right, threshold)
+        a, b = candidate_pairs(int(col["band"][0]), col["id"], col["comp"], col["minor"], col["n"], regs, rows[col["visits"]], rows[~col["visits"]], threshold)
         if len(a):
             gid, ids, comp = int(col["gid"][0]), col["id"], col["comp"]
             used = np.unique(np.concatenate([a, b]))
@@ -262,6 +269,9 @@ def _tiled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets_of
             yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([ids[used].tolist()], pa.list_(pa.int64())), pa.array([comp[used].tolist()], pa.list_(pa.int64())), pa.array([np.stack([slot[a], slot[b]], 1).astype(np.int32).tobytes()], pa.binary())], names=["gid", "ids", "comps", "pairs"])
 
     found = stored(map_groups(placed, ["gid"], pairs, "gid long, ids array<long>, comps array<long>, pairs binary"), "tiles")
+    # the work is in the pairs and not in the bytes: partitions go by their number
+    work = found.agg(F.sum(F.octet_length("pairs"))).first()[0] or 0
+    parts = int(min(max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), work // (8 * PAIRS)), 1 << 15))
     ids = found.select("gid", F.posexplode("ids").alias("pos", "id"))
     sets = sets_of(ids.select("id").distinct())
     wanted = found.select("gid", F.posexplode("ids").alias("pos", "id")).join(sets, "id").select("gid", F.lit(1).alias("kind"), "pos", "id", F.col("set").alias("data"), F.lit(None).cast("array<long>").alias("comps"))
@@ -296,12 +306,13 @@ def _tiled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets_of
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return map_groups(heads.unionByName(wanted), ["gid"], confirm, "a long, b long", order=["kind"])
+    return map_groups(heads.unionByName(wanted), ["gid"], confirm, "a long, b long", order=["kind"], parts=parts)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     small_batches(docs.sparkSession)
+    before = known()
     made = stored(sketches(docs, key, text), "sketches")
     some = made.where("doc_id is not null and n > 0")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -327,6 +338,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     labels = components(links)
     links = stored(links.unionByName(_tiled_links(members, labels, reps, sets_of, percent)), "links")
     labels = components(links)
+    dropped_since(before, made, member, labels)
     placed = member.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
     out = made.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
