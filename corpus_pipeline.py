@@ -1,13 +1,16 @@
 """From documents to a weighted mixture, in five stages.
 
 Every stage takes all that its predecessor kept, with the columns of documents,
-and returns the same columns; the last returns one row a document with the
-number of copies that the mixture takes of it.  Stages are written as Parquet
-in the shared folder and read again.
+and returns the same columns; the last adds n_tokens, weight, block and n_copies,
+the number of copies that the mixture takes of the row (mix_n_tokens and so on,
+where documents has such a column), and mixing.realise() makes the copies in
+order.  Stages are written as Parquet in the shared folder and read again; what
+only earlier stages read is removed.
 
 Rejected or removed: texts of no language (und; null or letterless ones only,
 where no language could be learned); all but one document of each
-near-duplicate group, and all but one of rows of equal id; passages of 50 bytes
+near-duplicate group, and all but one of rows of equal id (the one of the
+longest text, then the greatest); passages of 50 bytes
 and more that an earlier document has, and documents of which nothing else is
 left; documents with passages of two benchmark items and more; the passages of
 one item.  Everything else stays.
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import stored
+from folioscope.llm.blocks import dropped_since, known, stored
 from folioscope.llm.decontaminate import decontaminate, without_spans
 from folioscope.llm.langid import fitted, identify
 from folioscope.llm.mixing import mix_sources
@@ -49,8 +52,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     judged = near_duplicates(docs)
     kept = judged.where("kept").select(F.col("doc_id").alias("__id")).distinct()
     stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    one = stay.withColumn("__n", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return one.dropDuplicates(["doc_id", "__n"]).drop("__n")
+    # of rows of equal id one, always the same: most are alone, and only the others are put in order
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = stay.select(F.struct(F.octet_length("text").alias("size"), F.struct(*columns).alias("row")).alias("best"), F.col("doc_id").alias("__id"))
+    null = packed.where("__id IS NULL").select("best")
+    one = packed.where("__id IS NOT NULL").groupBy("__id").agg(F.max("best").alias("best")).select("best")
+    return one.unionByName(null).select(*[F.col(f"best.row.`{c}`").alias(c) for c in docs.columns])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +78,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = mix_sources(docs.select("doc_id", "source", "text", row.alias("__row")), carry="__row")
+    more = []
+    for c in ("n_tokens", "weight", "block", "n_copies"):
+        name = c
+        while name in docs.columns:
+            name = "mix_" + name
+        more.append(F.col(c).alias(name))
+    return found.select(*[F.col(f"carried.`{c}`").alias(c) for c in docs.columns], *more)
 
 
 STAGES = [
@@ -88,6 +103,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = known()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped_since(before, docs)
     return docs
