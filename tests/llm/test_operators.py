@@ -63,7 +63,7 @@ def test_decontaminate(spark):
     texts = [None, "", prose(rng, 30) + " " + a[5:90] + " " + b, "x " + a.upper() + "! short, item", "short", prose(rng, 3000) + " " + a, a, a, "é" + b]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute4(texts, items)
-    for bound in (16 << 20, 60):  # one table, and shards
+    for bound in (16 << 20, 1500):  # one table, and shards
         found = decontaminate.decontaminate(docs_of(spark, texts), bench, max_table_bytes=bound).orderBy("doc_id").collect()
         assert [(r.n_words, r.n_hit, r["items"]) for r in found] == want, bound
     cleaned = decontaminate.decontaminate(docs_of(spark, texts), bench, keep=("doc_id", "text")).select("doc_id", decontaminate.without_spans("text").alias("t")).orderBy("doc_id").collect()
@@ -73,9 +73,45 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(docs_of(spark, texts).where("false"), bench).count() == 0
 
 
+def test_windows_of_one_hash(monkeypatch):
+    """Windows whose hashes are all alike are told apart by their words; those of one text share an entry."""
+    from folioscope.llm.blocks import Words, block_of
+
+    monkeypatch.setattr(Words, "grams", lambda self, hashes, n: np.full(max(0, len(hashes) - n + 1), 7, np.uint64))
+    table = decontaminate.WindowTable([("a", "one two three"), ("b", "two three four"), ("c", "One, two three!"), (None, "x y")], 3)
+    assert len(table.keys) == 3 and table.items_of(np.uint64(7), b"one two three") == ["a", "c"] and table.items_of(np.uint64(7), b"x y") == [""]
+    words, hit, items = table.hits(block_of([b"one two three four", b"y x y"]))
+    assert hit.tolist() == [True] * 4 + [False, True, True] and items == [{"a", "b", "c"}, {""}]
+
+
 # ---- 9
 
 
+def test_rates_against_counting():
+    """The filters' rates are those of looking up every n-gram by itself, over long texts and many languages too."""
+    from folioscope.llm.blocks import block_of
+
+    rng = random.Random(91)
+    texts = [prose(rng, n).encode() for n in (0, 1, 30, 20000)] + ["Ünd 12 ß".encode(), b"", b"a"]
+    for n_langs in (3, 7, 70):
+        hashes, owner = langid.gram_hashes(block_of(texts))
+        pick = np.unique(hashes)
+        filters = langid.Filters({f"l{i:02d}": pick[i % 7 :: 7 + i] for i in range(n_langs)}, {})
+        got, n = filters.rates(block_of(texts))
+        rows = [int(h) for h in hashes]
+        want = np.zeros((len(texts), n_langs))
+        for h, o in zip(rows, owner.tolist(), strict=True):
+            slots = [(h >> (langid.SLOT_BITS * k)) & ((1 << langid.SLOT_BITS) - 1) for k in range(langid.PROBES)]
+            for i in range(n_langs):
+                want[o, i] += all(int(filters.table[i // 64][s]) >> (i % 64) & 1 for s in slots)
+        assert n.tolist() == np.bincount(owner, minlength=len(texts)).tolist()
+        rate = np.maximum(want / np.maximum(n, 1)[:, None] - filters.false, 0) / (1 - filters.false)
+        assert np.allclose(got, rate)
+        if n_langs == 3:
+            grams = [w[i : i + s] for t in texts for w in re.findall(rb"\0[a-z\x80-\xff]+(?=\0)", b"\0" + re.sub(rb"[^a-z\x80-\xff]+", b"\0\0", t.lower()) + b"\0") for w in [w + b"\0"] for s in langid.SIZES for i in range(len(w) - s + 1)]
+            assert len(grams) == len(hashes)
+
+
 def test_language(spark):
     rng = random.Random(9)
     parts = {"aa": ["ka", "lo", "mi"], "bb": ["ser", "ton", "vé"], "cc": ["ul", "wh", "mi"]}
@@ -134,6 +170,9 @@ def test_licenses(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
     assert got[5].labels == "mit" and got[6].labels == "mit" and 0.75 <= got[6].score < 1 and got[7].labels == "" and "cc-by-nc" in got[4].labels
     assert licenses.scan_licenses(docs_of(spark, texts).where("false")).count() == 0
+    own = [("house", "Copyright (c) the House. All rights reserved, none given; ask first.", 0.8, ["all rights reserved"])]
+    more = licenses.scan_licenses(docs_of(spark, ["copyright c the house all rights reserved none given ask us", "all rights reserved", mit]), more=own).orderBy("doc_id").collect()
+    assert [r.labels for r in more] == ["house", "", ""]
 
 
 # ---- 3
@@ -148,7 +187,7 @@ def test_top_k(spark):
     for group in (16384, 40):
         got = topk.top_k(table, table.where("vec_id % 50 = 0"), group_rows=group, query_rows=2).collect()
         f = lambda v: [math.floor(256 * float(np.float32(x))) for x in v]
-        good = [(i, f(v)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+        good = [(i, f(v)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
         want = []
         for q, v in good:
             if q % 50 == 0:
@@ -157,6 +196,24 @@ def test_top_k(spark):
         assert sorted(map(tuple, got)) == sorted(want), group
 
 
+def test_top_k_of_large_components(spark):
+    """Exact beyond 53 and 64 bits, with ties, a null id, and repeated rows."""
+    rng = random.Random(31)
+    big = [[rng.choice([1.0, -1e7, 2e7, 3.5e6, 1e7]) * rng.choice([1, 1, 0.5]) for _ in range(6)] for _ in range(90)]
+    huge = [[rng.uniform(-1, 1) * 10.0 ** rng.randrange(25) for _ in range(6)] for _ in range(60)]
+    for vecs in (big, huge, [[1e200] * 3, [2e200, 1.0, 0.0], [-1e200] * 3, [1.0] * 3]):
+        rows = [(i * 10, v) for i, v in enumerate(vecs)] + [(77, vecs[1]), (77, vecs[1]), (None, vecs[2])]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+        got = topk.top_k(table, table.where("vec_id % 50 = 0"), group_rows=30).collect()
+        good = [(i, [math.floor(256 * int(x)) if abs(x) > 2**60 else math.floor(256 * x) for x in v]) for i, v in rows if i is not None]
+        want = []
+        for q, v in good:
+            if q % 50 == 0:
+                scored = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), i) for i, c in good if i != q)[:5]
+                want += [(q, k, i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, i) in enumerate(scored, 1)]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 # ---- 8
 
 
@@ -178,6 +235,8 @@ def test_automaton_against_regex():
     rng = random.Random(8)
     globs = ["".join(rng.choice("ab*?/") for _ in range(rng.randrange(1, 12))) for _ in range(40)]
     texts = ["".join(rng.choice("ab/") for _ in range(rng.randrange(0, 14))) for _ in range(200)] + [""]
+    texts += ["".join(rng.choice("ab/") for _ in range(rng.randrange(40, 90))) for _ in range(60)]
+    globs += ["*a/*", "a*", "*/ab*b/", "*"]
     machine = urlfilter.Automaton(globs)
 
     def regex(g):
@@ -229,6 +288,18 @@ def test_archives_of_several_gzip_members(spark, tmp_path):
     assert sorted((r.page_id, bytes(r.payload), r.status) for r in got) == sorted([(i, b, "ok") for i, b in enumerate(bodies)] + [(0, bodies[0], "ok")])
 
 
+def test_records_with_bad_headers(spark, tmp_path):
+    """A record whose numbers make no sense is a row with a status, and the next ones are read."""
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    whole = lambda i, b: b"".join(x + b"\r\n\r\n" for x in warc.records_of(f"n{i}", i, b, sha(b), None, False, 900))
+    bad = [whole(1, b"one").replace(b"Content-Length: ", b"Content-Length: x"), whole(2, b"two").replace(b"WARC-Page-ID: 2", b"WARC-Page-ID: two"), whole(3, b"3" * 2000).replace(b"Segment-Number: 1", b"Segment-Number: first"), b"WARC/1.1\r\nWARC-Type: revisit\r\n\r\n\r\n\r\n"]
+    (tmp_path / "a.warc").write_bytes(b"".join([bad[0], whole(4, b"four"), bad[1], whole(5, b"five"), bad[3], whole(6, b"six"), bad[2], whole(7, b"seven")]) + whole(8, b"eight")[:-20])
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert {(r.page_id, bytes(r.payload)) for r in got if r.status == "ok"} == {(i, w) for i, w in ((4, b"four"), (5, b"five"), (6, b"six"), (7, b"seven"))}
+    states = [r.status for r in got if r.status != "ok"]
+    assert states.count("header") == 4 and "length" in states and "gap" in states
+
+
 def test_broken_records():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"abc", 2)
     assert warc._decoded(block, hashlib.sha256(b"abc").hexdigest()) == (b"abc", "ok")
@@ -266,6 +337,8 @@ def test_mixing(spark):
     assert mixing.realise(few).count() == few.agg(F.sum("n_copies")).first()[0]
     assert mixing.mix_sources(docs.where("false")).count() == 0
     assert mixing.mix_sources(docs_of(spark, ["a b", "a b"], ids=[1, 1])).count() == 2
+    same = mixing.mix_sources(docs_of(spark, [f"w{i} b c" for i in range(200)], ids=[None] * 100 + [1] * 100), block_tokens=30, carry="lang")
+    assert same.select("block").distinct().count() > 4 and {r.carried for r in same.select("carried").collect()} == {"en"}
 
 
 # ---- 7

@@ -1,5 +1,6 @@
 import functools
 import hashlib
+import math
 import random
 
 import corpus_pipeline
@@ -30,7 +31,56 @@ def test_stages(spark, tmp_path):
     assert set(third) == set(second) and passage not in third[47] and passage in third[46] and third[5] == texts[5]
     assert set(third) - set(fourth) == {44} and items[0] not in fourth[45] and fourth[5] == texts[5]
     mixed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in mixed.collect()} == set(fourth)
+    assert {r.doc_id: r.text for r in mixed.collect()} == fourth
+    assert mixed.columns == [*docs.columns, "n_tokens", "weight", "block", "n_copies"]
+
+
+def brute_mix(rows, most=4.0):
+    """Tokens that each source's budget takes, without a budget: whole passes, and a rest that fewer than one block misses."""
+    totals = {}
+    for s, t in rows:
+        totals[s] = totals.get(s, 0) + len(WORD.findall(lower(t)))
+    full = {s: n for s, n in totals.items() if n}
+    high, low = max(full.values()), min(full.values())
+    a = max(0.0, 1 - math.log(most) / math.log(high / low)) if high > low else 0.0
+    return totals, {s: max(n, round(n * (high / n) ** (1 - a))) for s, n in full.items()}
+
+
+def test_mixing_stage_against_brute_force(spark, tmp_path):
+    """The last stage: every row with all its columns, and copies that make up the budgets; null sources, texts without words, clashing names."""
+    rng = random.Random(15)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, text(rng.randrange(40)), s, float(i)) for i, s in enumerate(["big"] * 120 + ["mid"] * 30 + ["low"] * 6 + [None] * 4)] + [(900, None, "mid", 0.5), (None, "... !", "void", 1.0), (901, "", "low", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double").repartition(3)
+    got = corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text, r.source, r.weight) for r in got))) == sorted(map(repr, rows))
+    totals, budget = brute_mix([(s, t) for _, t, s, _ in rows])
+    for s, n in budget.items():
+        own = [r for r in got if r.source == s]
+        assert all(r.n_tokens == len(WORD.findall(lower(r.text))) for r in own)
+        taken = sum(r.n_tokens * r.n_copies for r in own)
+        assert budget[s] - max(r.n_tokens for r in own) < taken <= budget[s], s
+        copies = {r.n_copies for r in own if r.n_tokens}
+        passes = n // totals[s]
+        assert copies <= {passes, passes + 1} and abs(own[0].mix_weight - n / sum(budget.values())) < 0.01, s
+    assert all(r.n_copies == 1 for r in got if not r.n_tokens)
+    assert abs(sum({r.source: r.mix_weight for r in got}.values()) - 1) < 1e-9
+
+
+def test_rows_of_equal_id(spark, tmp_path):
+    """Of rows of one id the stage keeps one, the same whatever the partitions; rows without id all stay."""
+    rows = [(1, "a b c d e f g", "s"), (1, "a b c d e f g h i j k l m", "s"), (1, None, "z"), (2, "x", "s"), (2, "x", "t"), (None, "q", "s"), (None, "q", "s")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got = corpus_pipeline.near_duplicate(spark, docs, str(tmp_path)).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[1], rows[4], rows[5], rows[6]]))
+
+
+def test_empty_table_in_each_stage(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "some words of an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
 
 
 def test_decontamination_in_shards(spark, tmp_path, monkeypatch):
@@ -46,7 +96,7 @@ def test_decontamination_in_shards(spark, tmp_path, monkeypatch):
     seen = lambda df: sorted(map(repr, df.collect()))
     whole = seen(corpus_pipeline.decontamination(spark, docs, str(tmp_path)))
     assert len(whole) == len(rows) - 1
-    monkeypatch.setattr(corpus_pipeline, "decontaminate", functools.partial(corpus_pipeline.decontaminate, max_table_bytes=200))
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", functools.partial(corpus_pipeline.decontaminate, max_table_bytes=4000))
     cut = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert cut.columns == docs.columns and seen(cut) == whole
     gone = [r.text for r in cut.collect() if r.text and any(i in r.text for i in items)]
@@ -86,7 +136,7 @@ def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
     ids = rng.sample(range(1000), len(texts))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    monkeypatch.setattr(corpus_pipeline, "decontaminate", functools.partial(corpus_pipeline.decontaminate, max_table_bytes=300))
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", functools.partial(corpus_pipeline.decontaminate, max_table_bytes=3000))
     got = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path)).cache()
