@@ -22,67 +22,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import ALNUM, Block, blocks, map_blocks, mix, span_hash
+from folioscope.llm.blocks import ALNUM, LOWER, Block, blocks, dropped, lean, map_blocks, mix, powers, raw_prefix, stored
 
 SIZES = (2, 3, 4, 5)
 SLOT_BITS = 18
 PROBES = 3
-MAX_DOCS = 1500  # of a language's rows, those with the smallest hash
+MAX_DOCS = 1500  # of a language's rows, about, those with the smallest hash
+MAX_LANGS = 200  # languages, those of most rows
 MAX_GRAMS = 20000  # of a language's n-grams, the most frequent
 MIN_SHARE = 0.15  # of the rate in the language that uses the n-gram most
 MIN_COUNT = 5  # of an n-gram in the sample, in languages with FEW such n-grams and more
 FEW = 100
 
 
-def gram_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of letters, and the text of each.
+class Grams:
+    """N-grams of a block's runs of letters.
 
     A run of letters is padded with one byte on either side, so that beginnings
-    and ends count as such.
+    and ends count as such.  Texts lie one after the other, each behind one
+    such byte; an n-gram belongs to the text in which it begins.
     """
-    low, offs = block.low, block.offs
-    kind = ALNUM.copy()
-    kind[48:58] = False
-    inside = kind[low]
-    # pad each text with a separator: the n-gram may begin one byte before a run and end one byte after it
-    n = len(low)
-    at_text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    pos = np.arange(n) + at_text + 1
-    wide = np.zeros(n + len(offs), np.uint8)
-    wide[pos] = np.where(inside, low, 0)
-    solid = np.zeros(len(wide), bool)
-    solid[pos] = inside
-    from folioscope.llm.blocks import raw_prefix
-
-    prefix = raw_prefix(wide)
-    sep = np.zeros(len(wide) + 1, np.int32)
-    np.cumsum(~solid, out=sep[1:])
-    owner = np.zeros(len(wide), np.int64)
-    owner[pos] = at_text
-    out, whose = [], []
-    for size in SIZES:
-        m = len(wide) - size + 1
-        if m <= 0:
-            continue
-        # inner bytes all letters; the outer two may be separators
-        good = (sep[size - 1 : size - 1 + m] - sep[1 : 1 + m]) == 0
+
+    def __init__(self, block: Block):
+        low, offs = block.low, block.offs
+        letters = LETTERS[low]
+        self.starts = offs + np.arange(len(offs))
+        wide = np.zeros(len(low) + len(offs), np.uint8)
+        if len(block) * 64 < len(low):
+            for a, b, to in zip(offs[:-1].tolist(), offs[1:].tolist(), self.starts.tolist(), strict=False):
+                wide[to + 1 : to + 1 + b - a] = letters[a:b]
+        else:
+            wide[np.arange(len(low)) + np.repeat(np.arange(1, len(block) + 1), np.diff(offs))] = letters
+        self.solid = wide > 0
+        self.prefix = raw_prefix(wide)
+        self.inside = self.solid
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """A hash for each place, and whether an n-gram begins there: inner bytes all letters, the outer two perhaps not."""
+        m = max(0, len(self.solid) - size + 1)
+        h = self.prefix[size : size + m] - self.prefix[:m]
+        h *= powers(len(self.prefix))[1][:m]
+        h += np.uint64(size)
+        good = np.ones(m, bool)
+        for k in range(1, size - 1):
+            good &= self.solid[k : k + m]
         if size == 2:
-            good &= solid[:m] | solid[1 : 1 + m]
+            good = self.solid[:m] | self.solid[1 : 1 + m]
+        return mix(h), good
+
+
+def gram_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of letters, and the text of each."""
+    grams, out, whose = Grams(block), [], []
+    for size in SIZES:
+        h, good = grams.of(size)
         at = np.flatnonzero(good)
-        out.append(span_hash(prefix, at, at + size))
-        whose.append(np.where(solid[at], owner[at], owner[np.minimum(at + 1, len(wide) - 1)]))
-    if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        out.append(h[at])
+        whose.append(np.searchsorted(grams.starts, at, "right") - 1)
     return np.concatenate(out), np.concatenate(whose)
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
-    h2 = mix(h ^ np.uint64(0x5851F42D4C957F2D))
     low = np.uint64((1 << SLOT_BITS) - 1)
-    return [(h & low).astype(np.int64), ((h >> np.uint64(SLOT_BITS)) & low).astype(np.int64), (h2 & low).astype(np.int64), ((h2 >> np.uint64(SLOT_BITS)) & low).astype(np.int64)][:PROBES]
+    return [((h >> np.uint64(SLOT_BITS * k)) & low).view(np.int64) for k in range(PROBES)]
+
+
+#: Bits 0 to 3, and 4 to 7, of a byte as four numbers of 16 bits.
+_LANES = [sum(((np.arange(256, dtype=np.uint64) >> np.uint64(4 * half + k)) & np.uint64(1)) << np.uint64(16 * k) for k in range(4)) for half in (0, 1)]
+
+
+#: Letters, and bytes beyond ASCII, as they are when lower-cased; zero for anything else.
+LETTERS = np.where(ALNUM, LOWER, 0).astype(np.uint8)
+LETTERS[48:58] = 0
+
+
+def _sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums between one cut and the next."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:], dtype=np.uint64)
+    return total[cut[1:]] - total[cut[:-1]]
 
 
 class Filters:
@@ -102,17 +123,32 @@ class Filters:
 
     def rates(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Corrected rates by text and language, and the n-grams of each text."""
-        hashes, owner = gram_hashes(block)
-        slots = _slots(hashes)
-        n = np.bincount(owner, minlength=len(block)).astype(float)
-        out = np.zeros((len(block), len(self.names)))
-        for w in range(self.words):
-            mask = self.table[w][slots[0]]
-            for s in slots[1:]:
-                mask &= self.table[w][s]
-            for b, i in enumerate(range(w * 64, min(len(self.names), w * 64 + 64))):
-                held = (mask >> mask.dtype.type(b)) & mask.dtype.type(1)
-                out[:, i] = np.bincount(owner, weights=held, minlength=len(block))
+        grams = Grams(block)
+        out, n = np.zeros((len(block), len(self.names))), np.zeros(len(block))
+        # stretches of at most 2 ** 15 places, whose counts fit 16 bits
+        edges = np.unique(np.concatenate([grams.starts, np.arange(0, len(grams.solid), 1 << 15)]))
+        owner = np.searchsorted(grams.starts, edges[:-1], "right") - 1
+        for size in SIZES:
+            h, good = grams.of(size)
+            if not len(h):
+                continue
+            cut = np.minimum(edges, len(h))
+            n += np.bincount(owner, weights=_sums(good, cut), minlength=len(block))
+            slots = _slots(h)
+            for w in range(self.words):
+                mask = self.table[w][slots[0]]
+                for s in slots[1:]:
+                    mask &= self.table[w][s]
+                mask *= good
+                first = w * 64
+                if mask.dtype == np.uint8:
+                    for half in range(1 + (len(self.names) > 4)):
+                        packed = _sums(_LANES[half][mask], cut)
+                        for k, i in enumerate(range(4 * half, min(len(self.names), 4 * half + 4))):
+                            out[:, i] += np.bincount(owner, weights=(packed >> np.uint64(16 * k)) & np.uint64(0xFFFF), minlength=len(block))
+                    continue
+                for b, i in enumerate(range(first, min(len(self.names), first + 64))):
+                    out[:, i] += np.bincount(owner, weights=_sums((mask >> np.uint64(b)) & np.uint64(1), cut), minlength=len(block))
         rate = out / np.maximum(n, 1)[:, None]
         return np.maximum(rate - self.false, 0) / (1 - self.false), n
 
@@ -137,14 +173,17 @@ LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, max_bytes: int = 1 << 18) -> Filters:
-    """Filters from at most max_docs rows of a language, texts of at most max_bytes; rows without language or text take no part."""
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.where(F.octet_length("t") <= max_bytes).select("k", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_docs).select("k", "l").distinct()
-    sample = rows.where(F.octet_length("t") <= max_bytes).join(F.broadcast(chosen), ["k", "l"])  # max_docs rows a language at most
+def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, max_bytes: int = 1 << 18, max_langs: int = MAX_LANGS) -> Filters:
+    """Filters of the max_langs languages of most rows, each from about max_docs of its rows, texts of at most max_bytes; rows without language or text take no part."""
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes)).select(F.xxhash64(key, text).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    spark = rows.sparkSession
+    rows_of = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    # a language's rows are those of the smallest hashes, by a bound on these; of equal rows one
+    shares = spark.createDataFrame([(name, min(1 << 30, int((1 << 30) * max_docs / n))) for name, n in rows_of.items()], "l string, share long")
+    sample = rows.join(F.broadcast(shares), "l").where(F.pmod("k", F.lit(1 << 30)) < F.col("share")).groupBy("l", "k").agg(F.first("t").alias("t"))  # max_langs rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for lo, _, block in blocks(batch.column(0)):
@@ -152,17 +191,20 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 for name in set(langs[lo : lo + len(block)]):
                     own = np.array([x == name for x in langs[lo : lo + len(block)]])
                     h, c = np.unique(hashes[own[owner]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c, pa.int64()), pa.array([int(own.sum())] + [0] * (len(h) - 1) if len(h) else [], pa.int64())], names=["l", "h", "c", "d"])
-
-    counted = sample.select("t", "l").mapInArrow(count, "l string, h long, c long, d long")
-    # the most frequent of each language, by count; the bound holds what comes to the driver
-    grams = counted.groupBy("l", "h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
-    top = grams.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("c"), "h"))).where(F.col("r") <= max_grams).select("l", "h", "c", "r")
-    got = top.toPandas()
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["l", "h", "c"])
+
+    counted = sample.select("t", "l").mapInArrow(count, "l string, h long, c long")
+    grams = stored(counted.groupBy("l", "h").agg(F.sum("c").alias("c")), "grams")
+    # the most frequent of each language: how many n-grams have each count tells from which count on they are few enough
+    rank = grams.groupBy("l", "c").agg(F.count("*").alias("n")).toPandas().sort_values(["l", "c"], ascending=[True, False])
+    rank["upto"] = rank.groupby("l")["n"].cumsum()
+    least = rank[(rank["upto"] <= max_grams) | (rank["upto"] == rank["n"])].groupby("l")["c"].min()
+    cuts = spark.createDataFrame([(str(k), int(c)) for k, c in least.items()], "l string, least long")
+    got = grams.join(F.broadcast(cuts), "l").where("c >= least").select("l", "h", "c").toPandas()  # max_grams a language, and as many languages as max_langs
+    dropped(grams)
     often = (got["c"] >= MIN_COUNT).groupby(got["l"]).sum()
     few = set(often.index[often < FEW])
     got = got[(got["c"] >= MIN_COUNT) | got["l"].isin(few)].copy()
-    rows_of = {r["l"]: r["n"] for r in chosen.groupBy("l").agg(F.count("*").alias("n")).collect()}
     total = got.groupby("l")["c"].sum().to_dict()
     got["rate"] = got["c"] / got["l"].map(total) if len(got) else []
     most = got[~got["l"].isin(few)].groupby("h")["rate"].max()
@@ -177,7 +219,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep's columns with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOT_BITS slots
-    return map_blocks(docs, text, list(keep), "lang_pred string, score double", lambda: shared.value.predict, limit=1 << 18)
+    return map_blocks(docs, text, list(keep), "lang_pred string, score double", lambda: shared.value.predict, limit=1 << 17)
 
 
 def held_out(key="doc_id"):
