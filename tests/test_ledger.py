@@ -84,10 +84,28 @@ def test_schema(spark):
     got = {(r.ledger_id, r.path, r.fault) for r in schema_check.schema_findings(docs).collect()}
     e = "$.claims[0].evidence[0].pdf_pages"
     assert got == {
-        ("bad", "$.extra", "unexpected field"), ("bad", e, "duplicate items"), ("bad", e + "[2]", "expected integer"), ("bad", e + "[3]", "expected integer"), ("bad", "$.claims[0].id", "pattern mismatch"), ("bad", "$.sources[0].title", "required"), ("broken", "$", "unparseable"), ("none", "$", "unparseable"),
+        ("bad", "$.extra", "unknown field"), ("bad", e, "an item twice"), ("bad", e + "[2]", "wrong type, wanted integer"), ("bad", e + "[3]", "wrong type, wanted integer"), ("bad", "$.claims[0].id", "not of the form wanted"), ("bad", "$.sources[0].title", "missing"), ("broken", "$", "unparseable"), ("none", "$", "unparseable"),
     }
 
 
+def test_schema_keywords(spark):
+    """Each keyword of a schema of its own, null among the types, and nothing below a value of the wrong type."""
+    s = schema_check
+    node = s.obj({"name": s.text("^[a-z]+$", least=2), "kind": s.one_of("x", "y"), "n": s.whole(1, null=True), "on": s.flag(), "list": s.arr(s.whole(0), 1, True)}, {"sub": s.obj({"t": s.text(None, null=True)}, null=True)})
+    good = {"name": "ab", "kind": "x", "n": 1, "on": True, "list": [1, 2]}
+    cases = {
+        "good": (good, set()), "null": (good | {"n": None, "sub": None}, set()), "sub": (good | {"sub": {"t": None}}, set()), "enum": (good | {"kind": "z"}, {("$.kind", "not one of the values allowed")}),
+        "short": (good | {"name": "a"}, {("$.name", "too short")}), "both": (good | {"name": "A"}, {("$.name", "too short"), ("$.name", "not of the form wanted")}), "least": (good | {"n": 0}, {("$.n", "less than the minimum")}),
+        "float": (good | {"n": 1.0}, {("$.n", "wrong type, wanted integer or null")}), "bool": (good | {"n": True}, {("$.n", "wrong type, wanted integer or null")}), "flag": (good | {"on": 1}, {("$.on", "wrong type, wanted boolean")}), "few": (good | {"list": []}, {("$.list", "not enough items")}),
+        "twice": (good | {"list": [3, 3, -1]}, {("$.list", "an item twice"), ("$.list[2]", "less than the minimum")}), "list": (good | {"list": {"a": 1}}, {("$.list", "wrong type, wanted array")}), "deep": (good | {"sub": {"t": 1, "u": 2}}, {("$.sub.t", "wrong type, wanted string or null"), ("$.sub.u", "unknown field")}),
+        "none": ({}, {("$." + k, "missing") for k in good}), "top": ([1], {("$", "wrong type, wanted object")}), "big": (good | {"n": 10**30}, set()),
+    }
+    docs = spark.createDataFrame([(k, json.dumps(v)) for k, (v, _) in cases.items()], "ledger_id string, json string")
+    rows = s.schema_findings(docs, schema=node).collect()
+    for name, (_, want) in cases.items():
+        assert {(r.path, r.fault) for r in rows if r.ledger_id == name} == want, name
+
+
 def test_report(spark):
     docs = table(spark, [document()])
     row = report.report_rows(docs).first()
