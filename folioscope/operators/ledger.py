@@ -35,10 +35,6 @@ def rule(code: str, severity: str = "error"):
     return put
 
 
-def _flat(df: DataFrame, array: str, name: str, pos: str) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != array], F.posexplode(array).alias(pos, name))
-
-
 def _last(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """The last of rows of equal keys, as lookups take it."""
     w = Window.partitionBy(*keys).orderBy(F.desc(pos))
@@ -46,12 +42,13 @@ def _last(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
 
 
 def relations(ledgers: DataFrame, files: DataFrame | None = None, manuscript: DataFrame | None = None, blocks: DataFrame | None = None, manuscript_files: DataFrame | None = None, images: DataFrame | None = None, word_blocks: DataFrame | None = None, persist: bool = False) -> SimpleNamespace:
-    """The relations of ledgers; persist keeps them while many rules read them, for the caller to clear.
+    """The relations of ledgers; persist keeps them, and what is joined from them, while many rules read them; release() gives the memory back.
 
     files, manuscript_files, images: (path, sha256) under each root; manuscript: (ledger_id, format, sha256, locator);
     blocks: (ledger_id, id, text, section, location, review_status); word_blocks: (path, block_id, text, location, section, region)."""
-    ledgers = ledgers.persist() if persist else ledgers
-    r = SimpleNamespace(files=files, manuscript=manuscript, blocks=blocks, manuscript_files=manuscript_files, images=images, word_blocks=word_blocks)
+    kept = (lambda df: df.persist()) if persist else (lambda df: df)
+    ledgers = kept(ledgers)
+    r = SimpleNamespace(persisted=[],files=files, manuscript=manuscript, blocks=blocks, manuscript_files=manuscript_files, images=images, word_blocks=word_blocks)
     r.all_sources = ledgers.select(L, F.posexplode("sources").alias("s_pos", "s")).select(L, "s_pos", F.col("s.id").alias("source_id"), "s")
     r.sources = _last(r.all_sources, [L, "source_id"], "s_pos")
     r.pages = r.sources.select(L, "source_id", F.posexplode("s.pages").alias("p_pos", "p"))
@@ -63,14 +60,18 @@ def relations(ledgers: DataFrame, files: DataFrame | None = None, manuscript: Da
     r.evidence = _last(r.all_evidence, [L, "c_pos", "evidence_id"], "e_pos")
     # evidence of unknown sources takes no further part
     r.bound = r.evidence.join(r.sources.select(L, "source_id", F.col("s.sha256").alias("declared"), F.col("s.kind").alias("source_kind"), F.col("s.origin.locator").alias("locator")), [L, "source_id"])
+    r.bound = kept(r.bound)
     r.paged = r.bound.where("e.docx_location IS NULL")
     spans = r.paged.select(L, "c_pos", "e_pos", "evidence_id", "source_id", F.col("e.section").alias("wanted"), F.posexplode("e.spans").alias("n", "x")).withColumn("segment_id", F.col("x.segment_id"))
     r.spans = spans.join(r.segments.select(L, "source_id", "segment_id", "g", "at", "pdf_page", "print_page"), [L, "source_id", "segment_id"], "left")
+    r.spans = kept(r.spans)
     inside = (F.col("x.start") >= 0) & (F.col("x.start") < F.col("x.end")) & (F.col("x.end") <= F.length("g.text"))
     r.known = r.spans.where("g IS NOT NULL").withColumn("inside", inside)
     r.good = r.known.where("inside")
     one = F.struct("n", "x", "at", "pdf_page", "print_page", F.length("g.text").alias("len"), F.expr("substring(g.text, cast(x.start as int) + 1, cast(x.end - x.start as int))").alias("piece"))
     r.touched = r.paged.join(r.good.groupBy(L, "c_pos", "e_pos").agg(F.sort_array(F.collect_list(one)).alias("t")), [L, "c_pos", "e_pos"], "left")
+    r.touched = kept(r.touched)
+    r.persisted = [ledgers, r.bound, r.spans, r.touched] if persist else []
     r.used = r.claims.select(L, F.explode("c.attributed_source_ids").alias("source_id")).union(r.claims.select(L, F.explode("c.search.source_ids"))).union(r.all_evidence.select(L, "source_id")).distinct()
     r.used_sources = r.sources.join(r.used, [L, "source_id"])
     r.path = F.when(F.col("s.origin.kind") == "web", F.col("s.origin.snapshot_path")).otherwise(F.col("s.origin.locator"))
@@ -79,6 +80,12 @@ def relations(ledgers: DataFrame, files: DataFrame | None = None, manuscript: Da
     return r
 
 
+def release(r: SimpleNamespace) -> None:
+    """Give back what relations(persist=True) keeps."""
+    for df in r.persisted:
+        df.unpersist()
+
+
 def _scope(df: DataFrame, scope: str) -> DataFrame:
     return df.select(L, F.col(scope).alias("scope_id"))
 

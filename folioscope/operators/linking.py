@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators.containment import containing
 
 # Patterns of references in notes, and scores of file matches.
 BOOK = r"([^；;\n]{1,100}?)[:：][\s\x1c-\x1f\x85\p{Z}]*《([^》]+)》([^；;\n]*)"
 LEAD_IN = "参见|讨论，|应用，"
 EDGE = " ,，"
 TITLE_SCORE, YEAR_SCORE, AUTHOR_SCORE = 1.0, 0.8, 0.6
-MAX_BROADCAST_FILES = 100_000
 
 
 def _year(c: Column, pattern: str = T.YEAR) -> Column:
@@ -73,24 +73,27 @@ def with_bibliography_titles(references: DataFrame, entries: DataFrame) -> DataF
 def file_matches(references: DataFrame, files: DataFrame) -> DataFrame:
     """Every file that may be a reference's source: ref columns, relative_path, match_score, rank.
 
-    Containment has no key to join on; files go to every reference while they
-    are few enough, and in parts of that number beyond.
+    Distinct titles and first authors meet distinct names of files by their
+    beginnings (containing); references and files join these by equality.
     """
     first = T.strip(F.replace(F.element_at(F.split("authors", r"(?U)[、，,]|\band\b|\bet al\b"), 1), F.lit("等"), F.lit("")))
     asked = references.withColumn("__t", T.letters_digits(F.coalesce("title", F.lit("")))).withColumn("__a", T.letters_digits(first))
     named = files.select("relative_path", F.col("title").alias("__raw"), T.letters_digits(F.col("title")).alias("__n"))
-    by_title = (F.col("__t") != "") & (F.contains("__n", F.col("__t")) | F.contains("__t", F.col("__n")))
-    by_author = (F.col("__a") != "") & F.contains("__n", F.col("__a"))
-    parts = max(1, -(-files.count() // MAX_BROADCAST_FILES))
-    out = None
-    for k in range(parts):
-        some = named if parts == 1 else named.where(F.pmod(F.xxhash64("relative_path"), F.lit(parts)) == k)
-        one = asked.join(F.broadcast(some), by_title | by_author)
-        out = one if out is None else out.unionByName(one)
-    score = F.when(by_title, TITLE_SCORE).when(F.coalesce(F.contains("__raw", F.col("year")), F.lit(False)) & F.col("year").isNotNull(), YEAR_SCORE).otherwise(AUTHOR_SCORE)
+    names, titles, authors = named.select("__n").distinct(), asked.select("__t").where("__t <> ''").distinct(), asked.select("__a").distinct()
+    held = containing(names, ["__n"], "__n", titles, "__t")
+    holding = containing(titles, ["__t"], "__t", names, "__n").select("__n", "__t")
+    # a name without letters lies in every title
+    void = titles.withColumn("__n", F.lit("")).join(names.where("__n = ''"), "__n").select("__n", "__t")
+    by_title = held.union(holding).union(void).distinct().join(named, "__n")
+    by_author = containing(names, ["__n"], "__n", authors, "__a").join(named, "__n")
+    columns = references.columns
+    found = asked.join(by_title.select("__t", "relative_path", "__raw"), "__t").select(*columns, "relative_path", "__raw", F.lit(True).alias("__titled"))
+    found = found.unionByName(asked.join(by_author.select("__a", "relative_path", "__raw"), "__a").select(*columns, "relative_path", "__raw", F.lit(False).alias("__titled")))
+    out = found.groupBy(*columns, "relative_path").agg(F.max("__titled").alias("__titled"), F.first("__raw").alias("__raw"))
+    score = F.when(F.col("__titled"), TITLE_SCORE).when(F.coalesce(F.contains("__raw", F.col("year")), F.lit(False)) & F.col("year").isNotNull(), YEAR_SCORE).otherwise(AUTHOR_SCORE)
     out = out.withColumn("match_score", score).withColumn("candidate_only", F.lit(True))
     best = Window.partitionBy("doc_id", "ref_id").orderBy(F.desc("match_score"), "relative_path")
-    return out.withColumn("rank", F.row_number().over(best)).drop("__t", "__a", "__raw", "__n")
+    return out.withColumn("rank", F.row_number().over(best)).drop("__titled", "__raw")
 
 
 def unmatched(references: DataFrame, matches: DataFrame) -> DataFrame:

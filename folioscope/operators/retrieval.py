@@ -6,16 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators.containment import containing
 
 # Fixed values of the score.
 TF_CAP, LENGTH_POWER, DIGITS, TOP = 3, 0.3, 4, 8
-MAX_BROADCAST_TERMS = 100_000
-
-
-def postings(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Inverted index: keys, term, tf, and the segment's number of distinct terms."""
-    counted = segments.select(*keys, F.explode(T.terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    return counted.withColumn("n_terms", F.count("*").over(Window.partitionBy(*keys)))
+MAX_TERMS = 10_000  # of queries, that a segment's own are held against before they leave its row
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -27,15 +22,14 @@ def search(segments: DataFrame, queries: DataFrame, limit: int = TOP) -> DataFra
     """The best segments of region body or unknown for each query (query_id, query).
 
     segments: source_id, pdf_page, segment_id, region and text.  Only terms of
-    the queries are counted, and the number of a segment's terms is taken from
+    the queries leave a segment's row and are counted, and the number of a segment's terms is taken from
     its own row, so the shuffle carries matches and not the index.
     """
     keys = ["source_id", "pdf_page", "segment_id"]
     asked = query_terms(queries)
-    n = asked.count()
-    asked = F.broadcast(asked) if n <= MAX_BROADCAST_TERMS else asked
+    known = [r[0] for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
     eligible = segments.where(F.col("region").isin("body", "unknown")).select(*keys, T.terms(F.col("text")).alias("__all"))
-    each = eligible.select(*keys, F.size(F.array_distinct("__all")).alias("n_terms"), F.explode("__all").alias("term"))
+    each = eligible.select(*keys, F.size(F.array_distinct("__all")).alias("n_terms"), F.explode(F.filter("__all", lambda x: x.isin(known)) if len(known) <= MAX_TERMS else F.col("__all")).alias("term"))
     hits = each.join(asked, "term").groupBy("query_id", *keys, "term").agg(F.count("*").alias("tf"), F.first("weight").alias("weight"), F.first("n_terms").alias("n_terms"))
     scored = hits.groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.least("tf", F.lit(TF_CAP))).alias("s"), F.first("n_terms").alias("n"), F.array_join(F.sort_array(F.collect_set("term")), " ").alias("matched_terms"))
     score = F.bround(F.col("s") / F.greatest(F.lit(1.0), F.pow(F.col("n").cast("double"), F.lit(LENGTH_POWER))), DIGITS)
@@ -57,42 +51,34 @@ def contiguous_groups(segments: DataFrame, strict: bool = False) -> DataFrame:
 def locate_quotes(segments: DataFrame, quotes: DataFrame, strict: bool = False, gram: int = 12) -> DataFrame:
     """All places of each quote (quote_id, quote) in body text, white space aside, over segment and page bounds.
 
-    Quotes meet runs of segments by equal hashes of their first gram letters, so
-    no quote is compared with a run that does not hold its beginning.
+    Quotes meet runs of segments by their first gram letters (containing).
+    source_sha256 and print_pages are null where segments has no sha256 and no
+    print_page.
     """
     runs = contiguous_groups(segments, strict)
     w = Window.partitionBy("source_id", "grp").orderBy("pdf_page", "seg_pos")
     runs = runs.withColumn("norm", T.squeeze(F.col("text"))).withColumn("n", F.length("norm"))
     runs = runs.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     joined = runs.groupBy("source_id", "grp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("before", "pdf_page", "seg_pos", "norm"))), lambda x: x["norm"]), "").alias("whole"))
-    wanted = quotes.select("quote_id", T.squeeze(F.col("quote")).alias("target")).where("target <> ''").withColumn("m", F.length("target"))
-    # short quotes are looked up by their whole; each length that occurs makes its own keys
-    wanted = wanted.withColumn("g", F.least("m", F.lit(gram)))
-    lengths = [r["g"] for r in wanted.select("g").distinct().collect()]  # gram values at most
-    if not lengths:
-        lengths = [gram]
-
-    def keys(g: int):
-        at = F.sequence(F.lit(1), F.length("whole") - g + 1)
-        found = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substr(F.col("whole"), i, F.lit(g)))))
-        return F.transform(F.when(F.length("whole") >= g, found).otherwise(F.expr("cast(array() as array<bigint>)")), lambda h: F.struct(F.lit(g).alias("g"), h.alias("h")))
-
-    grams = joined.select("source_id", "grp", F.explode(F.flatten(F.array(*[keys(g) for g in lengths]))).alias("k"))
-    met = grams.select("source_id", "grp", "k.g", "k.h").join(wanted.withColumn("h", F.xxhash64(F.expr("substr(target, 1, g)"))), ["g", "h"]).select("source_id", "grp", "quote_id", "target", "m").distinct()
-    pairs = met.join(joined, ["source_id", "grp"]).where(F.contains("whole", F.col("target")))
-    starts = F.filter(F.sequence(F.lit(1), F.length("whole") - F.col("m") + 1), lambda i: F.substr(F.col("whole"), i, F.col("m")) == F.col("target"))
-    hits = pairs.select("source_id", "grp", "quote_id", "m", F.explode(starts).alias("at")).withColumn("at", F.col("at") - 1)
-    parts = runs.select("source_id", "grp", "pdf_page", "seg_pos", "segment_id", "section", "review_status", "text", "before", "n", *(["print_page"] if "print_page" in runs.columns else []))
+    wanted = quotes.select("quote_id", "quote", T.squeeze(F.col("quote")).alias("target")).where("target <> ''").withColumn("m", F.length("target"))
+    met = containing(joined, ["source_id", "grp"], "whole", wanted, "target", gram)
+    pairs = met.join(joined, ["source_id", "grp"]).join(wanted, "target")
+    # places that may overlap: as many as the text has, each looked for behind the one before
+    literal = F.concat(F.lit("(?s)(?=\\Q"), F.replace(F.col("target"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    many = F.sequence(F.lit(1), F.regexp_count("whole", literal))
+    starts = F.aggregate(many, F.array().cast("array<int>"), lambda found, _: F.concat(found, F.array(F.call_function("locate", F.col("target"), F.col("whole"), F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0)) + 1))))
+    hits = pairs.select("source_id", "grp", "quote_id", "quote", "m", F.explode(starts).alias("at")).withColumn("at", F.col("at") - 1)
+    parts = runs.select("source_id", "grp", "pdf_page", "seg_pos", "segment_id", "section", "review_status", "text", "before", "n", *[(F.col(c) if c in runs.columns else F.lit(None).cast("string")).alias(c) for c in ("print_page", "sha256")])
     spans = hits.join(parts, ["source_id", "grp"]).where((F.col("before") < F.col("at") + F.col("m")) & (F.col("before") + F.col("n") > F.col("at")) & (F.col("n") > 0))
-    solid = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: ~F.substr(F.col("text"), i, F.lit(1)).rlike(T.WS))
+    solid = F.array_compact(F.transform(F.split("text", ""), lambda c, i: F.when((c != "") & ~c.rlike(T.WS), i + 1)))
     opens, closes = F.col("at") >= F.col("before"), F.col("at") + F.col("m") <= F.col("before") + F.col("n")
     spans = spans.withColumn("__s", solid)
     start = F.when(opens, F.element_at("__s", (F.col("at") - F.col("before") + 1).cast("int")) - 1).otherwise(0)
     end = F.when(closes, F.element_at("__s", (F.col("at") + F.col("m") - F.col("before")).cast("int"))).otherwise(F.length("text"))
-    one = F.struct("pdf_page", "seg_pos", "segment_id", start.cast("int").alias("start"), end.cast("int").alias("end"), "section", F.col("review_status").alias("review"))
-    found = spans.groupBy("source_id", "quote_id", "grp", "at").agg(F.sort_array(F.collect_list(one)).alias("s"))
+    one = F.struct("pdf_page", "seg_pos", "segment_id", start.cast("int").alias("start"), end.cast("int").alias("end"), "section", F.col("review_status").alias("review"), "print_page", "sha256")
+    found = spans.groupBy("source_id", "quote_id", "quote", "grp", "at").agg(F.sort_array(F.collect_list(one)).alias("s"))
     return found.select(
-        "source_id", "quote_id", F.col("s")[0]["section"].alias("section"), F.array_distinct("s.pdf_page").alias("pdf_pages"),
+        "source_id", F.col("s")[0]["sha256"].alias("source_sha256"), "quote_id", "quote", F.col("s")[0]["section"].alias("section"), F.array_distinct("s.pdf_page").alias("pdf_pages"), F.array_distinct("s.print_page").alias("print_pages"),
         F.transform("s", lambda x: F.struct(x["segment_id"].alias("segment_id"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
         F.forall("s", lambda x: x["review"] == "verified").alias("segments_reviewed"), F.lit("pending").alias("completeness_review"), F.lit("pending").alias("context_review"), F.col("at"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import layout, ledger, linking, manuscript, report, retrieval, segments
+from folioscope.operators import layout, ledger, linking, manuscript, report, retrieval, schema_check, segments
 from folioscope.plans import views as V
 from folioscope.sources import files as FILES
 
@@ -80,14 +80,16 @@ def _quote_sql(strict: bool) -> str:
     p AS (SELECT *, length(norm) AS n, coalesce(sum(length(norm)) OVER (PARTITION BY source_id, grp ORDER BY pdf_page, seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
     wh AS (SELECT source_id, grp, string_agg(norm, '' ORDER BY pdf_page, seg_pos) AS whole FROM p GROUP BY ALL),
     q AS (SELECT item_id AS quote_id, {SQUEEZE.format("text")} AS target FROM benchmark),
-    m AS (SELECT source_id, grp, quote_id, length(target) AS m, unnest(list_filter(range(0, length(whole) - length(target) + 1), lambda i: substr(whole, i + 1, length(target)) = target)) AS pos FROM wh JOIN q ON contains(whole, target) AND target <> '')
-    SELECT m.source_id, m.quote_id, CAST(m.pos AS BIGINT) AS pos, count(*) AS n_spans, string_agg(p.segment_id, ',' ORDER BY p.pdf_page, p.seg_pos) AS segments
-    FROM m JOIN p ON m.source_id = p.source_id AND m.grp = p.grp AND p.before < m.pos + m.m AND p.before + p.n > m.pos AND p.n > 0 GROUP BY m.source_id, m.grp, m.quote_id, m.pos"""
+    m AS (SELECT source_id, grp, quote_id, length(target) AS m, unnest(list_filter(range(0, length(whole) - length(target) + 1), lambda i: substr(whole, i + 1, length(target)) = target)) AS pos FROM wh JOIN q ON contains(whole, target) AND target <> ''),
+    r AS (SELECT m.*, p.pdf_page, p.seg_pos, p.segment_id, p.before, p.n, segs.text, list_filter(range(1, length(segs.text) + 1), lambda i: {SQUEEZE.format("substr(segs.text, i, 1)")} <> '') AS solid
+      FROM m JOIN p ON m.source_id = p.source_id AND m.grp = p.grp AND p.before < m.pos + m.m AND p.before + p.n > m.pos AND p.n > 0 JOIN segs ON segs.source_id = p.source_id AND segs.pdf_page = p.pdf_page AND segs.segment_id = p.segment_id)
+    SELECT source_id, quote_id, CAST(pos AS BIGINT) AS pos, count(*) AS n_spans, string_agg(segment_id || ':' || CAST(CASE WHEN pos >= before THEN solid[CAST(pos - before + 1 AS BIGINT)] - 1 ELSE 0 END AS VARCHAR) || '-' || CAST(CASE WHEN pos + m <= before + n THEN solid[CAST(pos + m - before AS BIGINT)] ELSE length(text) END AS VARCHAR), ',' ORDER BY pdf_page, seg_pos) AS segments
+    FROM r GROUP BY source_id, grp, quote_id, pos"""
 
 
 def _quotes(spark, d, strict):
     found = retrieval.locate_quotes(V.segments(spark, d), V.table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), strict)
-    return found.select("source_id", "quote_id", F.col("at").cast("long").alias("pos"), F.size("spans").cast("long").alias("n_spans"), F.array_join("spans.segment_id", ",").alias("segments"))
+    return found.select("source_id", "quote_id", F.col("at").cast("long").alias("pos"), F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat(x["segment_id"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias("segments"))
 
 
 @query("locate_quote", _quote_sql(False))
@@ -109,7 +111,7 @@ def _(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.quality(F.col("text")).alias("q")).select("doc_id", "q.ok", "q.reason")
 
 
-@query("page_text_quality")
+@query("page_text_quality", f"SELECT page_id, r = 'text_layer_candidate' AS ok, r AS reason FROM (SELECT page_id, {QUALITY_SQL} AS r FROM (SELECT page_id, {SQUEEZE.format("regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')")} AS c FROM pages))")
 def _(spark, d):
     plain = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]*>", " ")
     return V.table(spark, d, "pages").select("page_id", T.quality(plain).alias("q")).select("page_id", "q.ok", "q.reason")
@@ -271,19 +273,21 @@ FILES_SQL = "fl AS (SELECT source || ' ' || y || ' v' || v AS title FROM (SELECT
 
 
 def _match_sql(tail: str) -> str:
-    return f"""WITH {FILES_SQL}, rf AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, CAST(2000 + doc_id % 20 AS VARCHAR) AS year FROM documents),
-    m AS (SELECT doc_id, 'lib/' || title || '.pdf' AS relative_path, CASE WHEN contains(title, year) THEN 8 ELSE 6 END AS score FROM rf JOIN fl ON contains({ALNUM.format('title')}, {ALNUM.format('source')})) {tail}"""
+    return f"""WITH {FILES_SQL}, rf AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 11 = 4 THEN 'Nobody' ELSE source END AS source, CAST(2000 + doc_id % 20 AS VARCHAR) AS year,
+      CASE WHEN doc_id % 7 = 2 THEN source || ': ' || (2000 + doc_id % 20) || ', V1' WHEN doc_id % 7 = 5 THEN 'On ' || source || ' ' || (2000 + doc_id % 20) || ' v2 again' END AS wanted FROM documents),
+    n AS (SELECT *, {ALNUM.format("coalesce(wanted, '')")} AS t, {ALNUM.format('source')} AS a FROM rf), fn AS (SELECT title, {ALNUM.format('title')} AS n FROM fl),
+    m AS (SELECT doc_id, 'lib/' || title || '.pdf' AS relative_path, CASE WHEN t <> '' AND (contains(fn.n, t) OR contains(t, fn.n)) THEN 10 WHEN contains(title, year) THEN 8 ELSE 6 END AS score FROM n JOIN fn ON t <> '' AND (contains(fn.n, t) OR contains(t, fn.n)) OR a <> '' AND contains(fn.n, a)) {tail}"""
 
 
 @query("file_matches", _match_sql("SELECT doc_id, count(*) AS n, CAST(max(score) AS BIGINT) AS best_score, arg_min(relative_path, (-score, relative_path)) AS best FROM m GROUP BY doc_id"))
 def _(spark, d):
-    found = linking.file_matches(V.references(spark, d), V.files(spark, d))
+    found = linking.file_matches(V.titled(spark, d), V.files(spark, d))
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.round(F.col("match_score") * 10).cast("long")).alias("best_score"), F.min_by("relative_path", "rank").alias("best"))
 
 
 @query("unmatched_refs", _match_sql("SELECT doc_id FROM rf WHERE doc_id NOT IN (SELECT doc_id FROM m)"))
 def _(spark, d):
-    refs = V.references(spark, d)
+    refs = V.titled(spark, d)
     return linking.unmatched(refs, linking.file_matches(refs, V.files(spark, d))).select("doc_id")
 
 
@@ -323,17 +327,11 @@ def _(spark, d):
 
 # ---- ledgers and reports
 
-SCOPES = {"S": {"SOURCE_DIGEST_MISMATCH", "PAGE_ORDER", "SOURCE_FILE_UNVERIFIED"}, "E": {"EVIDENCE_VERSION_MISMATCH", "EVIDENCE_REVIEW_PENDING", "SECTION_MISMATCH", "NON_BODY_EVIDENCE", "SEGMENT_UNKNOWN", "SPAN_INVALID", "SEGMENT_REVIEW_PENDING", "TRANSCRIPTION_IMAGE_UNVERIFIED", "PDF_PAGE_MISMATCH", "PRINT_PAGE_MISMATCH", "QUOTE_MISMATCH", "PDF_BINDING_MISSING", "EVIDENCE_ATTRIBUTION_MISMATCH"}, "S/issued": {"DATE_INVALID"}, "Z": {"SOURCE_UNKNOWN"}, "claims/C": {"DUPLICATE_ID"}}
+SCOPES = {"S": {"SOURCE_DIGEST_MISMATCH", "PAGE_ORDER", "SOURCE_FILE_UNVERIFIED", "SOURCE_SNAPSHOT_MISSING", "SOURCE_PATH_OUTSIDE_ROOT", "SOURCE_FILE_MISSING"}, "E": {*V.WORD, "TRANSCRIPTION_IMAGE_UNAVAILABLE", "NONCONTIGUOUS_QUOTE", "EVIDENCE_VERSION_MISMATCH", "EVIDENCE_REVIEW_PENDING", "SECTION_MISMATCH", "NON_BODY_EVIDENCE", "SEGMENT_UNKNOWN", "SPAN_INVALID", "SEGMENT_REVIEW_PENDING", "TRANSCRIPTION_IMAGE_UNVERIFIED", "PDF_PAGE_MISMATCH", "PRINT_PAGE_MISMATCH", "QUOTE_MISMATCH", "PDF_BINDING_MISSING", "EVIDENCE_ATTRIBUTION_MISMATCH"}, "S/issued": {"DATE_INVALID"}, "Z": {"SOURCE_UNKNOWN"}, "claims/C": {"DUPLICATE_ID"}}
 
 
-def _expected() -> str:
-    rows = []
-    for k, code in enumerate(V.MUTATIONS):
-        if code:
-            scope = next((s for s, codes in SCOPES.items() if code in codes), "C")
-            rows.append((k, ledger.RULES[code][0], code, scope))
-            rows += [(k, *extra) for extra in V.EXTRA.get(code, [])]
-    values = ", ".join(f"({k}, '{s}', '{c}', '{x}')" for k, s, c, x in rows)
+def _expected(rooted: bool = False) -> str:
+    values = ", ".join(f"({k}, '{s}', '{c}', '{x}')" for k, s, c, x in V.expected(SCOPES, rooted))
     return f"x(m, severity, code, scope_id) AS (VALUES {values}), fd AS (SELECT CAST(doc_id AS VARCHAR) AS ledger_id, severity, code, scope_id FROM documents JOIN x ON doc_id % 64 = m)"
 
 
@@ -342,6 +340,16 @@ def _(spark, d):
     return ledger.findings(ledger.relations(V.ledgers(spark, d), persist=True))
 
 
+@query("ledger_findings_with_roots", f"WITH {_expected(True)} SELECT * FROM fd")
+def _(spark, d):
+    return ledger.findings(ledger.relations(V.ledgers(spark, d), **V.roots(spark, d), persist=True))
+
+
+@query("files_checked", f"SELECT CAST(doc_id AS VARCHAR) AS ledger_id, CASE WHEN doc_id % 64 = {V.MUTATIONS.index('SOURCE_FILE_UNVERIFIED')} THEN 1 ELSE 0 END AS files_checked FROM documents")
+def _(spark, d):
+    return ledger.files_checked(ledger.relations(V.ledgers(spark, d), **V.roots(spark, d)))
+
+
 @query("ledger_summary", f"WITH {_expected()} SELECT CAST(doc_id AS VARCHAR) AS ledger_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS valid, count(*) FILTER (severity IN ('error', 'blocker')) = 0 AS ready_for_report FROM documents LEFT JOIN fd ON CAST(doc_id AS VARCHAR) = ledger_id GROUP BY doc_id")
 def _(spark, d):
     made = V.ledgers(spark, d)
@@ -374,8 +382,8 @@ def _(spark, d):
     return report.verdict_counts(claims)
 
 
-@query("report_rows", f"""SELECT CAST(doc_id AS VARCHAR) AS ledger_id, left(string_split(text, chr(10))[1], 42) AS heading, CASE WHEN bare OR k = 1 THEN NULL ELSE CASE WHEN {_m('SOURCE_UNKNOWN')} THEN 'Z' ELSE 'S' END END AS source_id,
- CASE WHEN bare OR k = 1 THEN NULL WHEN {_m('PRINT_PAGE_MISMATCH')} THEN 'iv' ELSE 'i' END AS print_page FROM (SELECT *, {_m('NOT_FOUND_COVERAGE_INCOMPLETE', 'VERDICT_WITHOUT_EVIDENCE')} AS bare FROM documents), range(2) t(k) WHERE k = 0 OR {_m('DUPLICATE_ID')}""")
+@query("report_rows", f"""SELECT CAST(doc_id AS VARCHAR) AS ledger_id, left(string_split(text, chr(10))[1], 42) AS heading, CASE WHEN bare OR k = 1 AND {_m('DUPLICATE_ID')} THEN NULL ELSE CASE WHEN {_m('SOURCE_UNKNOWN')} THEN 'Z' ELSE 'S' END END AS source_id,
+ CASE WHEN bare OR k = 1 AND {_m('DUPLICATE_ID')} OR {_m(*V.WORD)} THEN NULL WHEN {_m('PRINT_PAGE_MISMATCH')} THEN 'iv' WHEN {_m('NONCONTIGUOUS_QUOTE')} THEN 'i—ii' ELSE 'i' END AS print_page FROM (SELECT *, {_m('NOT_FOUND_COVERAGE_INCOMPLETE', 'VERDICT_WITHOUT_EVIDENCE')} AS bare FROM documents), range(2) t(k) WHERE k = 0 OR {_m('DUPLICATE_ID', 'ORPHAN_EVIDENCE')}""")
 def _(spark, d):
     return report.report_rows(V.ledgers(spark, d)).select("ledger_id", "heading", "source_id", "print_page")
 
@@ -392,9 +400,9 @@ def _(spark, d):
 
 
 def _rule(code: str) -> None:
-    @query("rule_" + code.lower(), f"WITH {_expected()} SELECT * FROM fd WHERE code = '{code}'")
+    @query("rule_" + code.lower(), f"WITH {_expected(code in V.ROOTED)} SELECT * FROM fd WHERE code = '{code}'")
     def _(spark, d, code=code):
-        return ledger.findings(ledger.relations(V.ledgers(spark, d)), [code])
+        return ledger.findings(ledger.relations(V.ledgers(spark, d), **(V.roots(spark, d) if code in V.ROOTED else {})), [code])
 
 
 for _code in ledger.RULES:

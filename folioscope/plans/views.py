@@ -43,6 +43,14 @@ def references(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("R"), "doc_id").alias("ref_id"), F.concat("source", F.lit(" and others")).alias("authors"), year.alias("year"), F.lit(None).cast("string").alias("title"))
 
 
+def titled(spark, sf_dir: str) -> DataFrame:
+    """References some of which name a file's title, hold one, or name an author that no file has."""
+    d, year = F.col("doc_id"), (F.lit(2000) + F.col("doc_id") % 20).cast("string")
+    authors = F.when(d % 11 == 4, F.lit("Nobody and others")).otherwise(F.concat("source", F.lit(" and others")))
+    title = F.when(d % 7 == 2, F.concat("source", F.lit(": "), year, F.lit(", V1"))).when(d % 7 == 5, F.concat(F.lit("On "), "source", F.lit(" "), year, F.lit(" v2 again")))
+    return table(spark, sf_dir, "documents").select(d.cast("string").alias("doc_id"), F.concat(F.lit("R"), d.cast("string")).alias("ref_id"), authors.alias("authors"), year.alias("year"), title.alias("title"))
+
+
 def entries(spark, sf_dir: str) -> DataFrame:
     """Two bibliography blocks a document: one of its own source and year, one of the next."""
     y = lambda k: (F.lit(2000 + k) + F.col("doc_id") % 20).cast("string")
@@ -110,19 +118,63 @@ MUTATIONS = [
     "NON_BODY_EVIDENCE", "SEGMENT_UNKNOWN", "SPAN_INVALID", "SEGMENT_REVIEW_PENDING", "TRANSCRIPTION_IMAGE_UNVERIFIED", "PDF_PAGE_MISMATCH", "PRINT_PAGE_MISMATCH", "QUOTE_MISMATCH", "SUBCLAIM_COVERAGE", "ASSESSMENT_EVIDENCE_UNKNOWN",
     "SUPPORT_WITHOUT_EVIDENCE", "SUPPORTED_BOUNDARY_UNRESOLVED", "VERDICT_CONFLICT", "UNABLE_TO_VERIFY", "VERBATIM_TEXT_MISSING", "VERBATIM_NOT_CONTINUOUS", "POLICY_CHECKS_MISSING", "POLICY_CHECKS_UNEXPECTED", "POLICY_LEVEL_METADATA_CONFLICT", "POLICY_LEVEL_MISMATCH",
     "POLICY_DATES_PENDING", "POLICY_VERBATIM_UNVERIFIED", "SECONDARY_AS_ORIGINAL", "NOT_FOUND_UNJUSTIFIED", "NOT_FOUND_COVERAGE_INCOMPLETE", "DUPLICATE_ID", "SOURCE_FILE_UNVERIFIED", "PDF_BINDING_MISSING", "EVIDENCE_ATTRIBUTION_MISMATCH", "VERDICT_WITHOUT_EVIDENCE",
+    "SOURCE_SNAPSHOT_MISSING", "SOURCE_PATH_OUTSIDE_ROOT", "SOURCE_FILE_MISSING", "DOCX_LOCATION_MISSING", "MANUSCRIPT_PATH_OUTSIDE_ROOT", "MANUSCRIPT_FILE_MISSING", "MANUSCRIPT_DIGEST_MISMATCH", "MANUSCRIPT_VERSION_MISMATCH", "MANUSCRIPT_BLOCK_UNKNOWN", "MANUSCRIPT_LOCATION_MISMATCH",
+    "MANUSCRIPT_TEXT_MISMATCH", "MANUSCRIPT_BLOCK_REVIEW_PENDING", "WORD_SOURCE_UNVERIFIED", "WORD_SOURCE_PAGE_INFERRED", "WORD_SOURCE_UNAVAILABLE", "WORD_SOURCE_LOCATION_MISMATCH", "TRANSCRIPTION_IMAGE_UNAVAILABLE", "NONCONTIGUOUS_QUOTE", "ORPHAN_EVIDENCE",
 ]
+#: Ledgers of a manuscript, and those whose evidence lies in a Word source.
+BOUND = [c for c in MUTATIONS if c and c.startswith("MANUSCRIPT_")]
+PAPER = ["DOCX_LOCATION_MISSING", *BOUND]
+WORD = [c for c in MUTATIONS if c and c.startswith("WORD_")]
+
+
+def _is(*codes: str):
+    return F.col("m").isin([MUTATIONS.index(c) for c in codes])
+
+
+def _paper_sha():
+    return F.sha2(F.concat(F.lit("manuscript "), F.col("doc_id").cast("string")), 256)
+
+
+def _place(n: int):
+    return F.struct(F.lit("paragraph").alias("kind"), F.lit(n).alias("paragraph_index"), *[F.lit(None).alias(k) for k in ("table_index", "row_index", "cell_index", "note_id")]).cast(ledger_rules.LOCATION)
+
+
+def _named(kind: str):
+    """A file of a ledger's own."""
+    return F.concat(F.lit(kind), F.col("doc_id").cast("string"), F.lit(".docx"))
+
+
+def roots(spark, sf_dir: str) -> dict[str, DataFrame]:
+    """What the ledgers' paths lead to: source files, manuscripts with their blocks and files, Word sources' blocks, images."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("ledger_id"), F.split("text", "\n")[0].alias("one"), (F.col("doc_id") % 64).cast("int").alias("m"))
+    s = lambda x: F.lit(x)
+    on = lambda code, then, other: F.when(_is(code), then).otherwise(other)
+    word = docs.where(_is(*WORD) & ~_is("WORD_SOURCE_UNAVAILABLE"))
+    files = word.select(_named("s").alias("path"), s("6" * 64).alias("sha256")).unionByName(spark.createDataFrame([("s.pdf", "5" * 64)], "path string, sha256 string"))
+    paper = docs.where(_is(*PAPER))
+    locator = on("MANUSCRIPT_PATH_OUTSIDE_ROOT", s("../m.docx"), on("MANUSCRIPT_FILE_MISSING", s("gone.docx"), _named("m")))
+    blocks = docs.where(_is(*BOUND) & ~_is("MANUSCRIPT_BLOCK_UNKNOWN"))
+    text = on("MANUSCRIPT_TEXT_MISMATCH", s("#"), F.concat(s("before "), "one", s(" after")))
+    return {
+        "files": files,
+        "manuscript": paper.select("ledger_id", s("docx").alias("format"), on("MANUSCRIPT_VERSION_MISMATCH", s("4" * 64), _paper_sha()).alias("sha256"), locator.alias("locator")),
+        "blocks": blocks.select("ledger_id", s("P000001").alias("id"), text.alias("text"), on("MANUSCRIPT_LOCATION_MISMATCH", s("Other"), s("Body")).alias("section"), _place(1).alias("location"), on("MANUSCRIPT_BLOCK_REVIEW_PENDING", s("pending"), s("verified")).alias("review_status")),
+        "manuscript_files": paper.select(_named("m").alias("path"), on("MANUSCRIPT_DIGEST_MISMATCH", s("3" * 64), _paper_sha()).alias("sha256")),
+        "images": spark.createDataFrame([("scan.png", "7" * 64)], "path string, sha256 string"),
+        "word_blocks": word.select(_named("s").alias("path"), s("P000002").alias("block_id"), on("WORD_SOURCE_LOCATION_MISMATCH", s("x"), F.col("one")).alias("text"), _place(2).alias("location"), s("Body").alias("section"), s("body").alias("region")),
+    }
 
 
 def ledgers(spark, sf_dir: str) -> DataFrame:
     """A ledger for each document: its first line quoted from page 1 of a source made of its lines, changed as MUTATIONS says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls"), (F.col("doc_id") % 64).cast("int").alias("m"))
-    is_ = lambda *codes: F.col("m").isin([MUTATIONS.index(c) for c in codes])
+    is_ = _is
     on = lambda code, then, other: F.when(is_(code), then).otherwise(other)
     first, rest = F.col("ls")[0], F.array_join("ls", "\n")
     base = docs.withColumn("one", first).withColumn("all", rest).withColumn("sum", F.sha2(F.concat_ws("\n", F.lit("Abstract"), "one", "all"), 256))
     s = lambda x: F.lit(x)
     null = F.lit(None).cast("string")
-    segment = lambda i, region, text, review: F.struct(s(i).alias("id"), region.alias("region"), s("Body").alias("section"), text.alias("text"), s("text_layer").alias("extraction"), review.alias("review_status"), (on("TRANSCRIPTION_IMAGE_UNVERIFIED", s("scan.png"), null) if i == "p1.s2" else null).alias("verification_image"))
+    segment = lambda i, region, text, review: F.struct(s(i).alias("id"), region.alias("region"), s("Body").alias("section"), text.alias("text"), s("text_layer").alias("extraction"), review.alias("review_status"), (on("TRANSCRIPTION_IMAGE_UNVERIFIED", s("scan.png"), on("TRANSCRIPTION_IMAGE_UNAVAILABLE", s("gone.png"), null)) if i == "p1.s2" else null).alias("verification_image"))
     kind = F.when(is_("POLICY_LEVEL_METADATA_CONFLICT"), "other").when(is_("POLICY_LEVEL_MISMATCH", "POLICY_DATES_PENDING", "POLICY_VERBATIM_UNVERIFIED"), "policy_document").otherwise("academic_article")
     pages = F.array(
         F.struct(F.lit(1).cast("long").alias("pdf_page"), s("i").alias("print_page"), F.array(segment("p1.s1", s("abstract"), s("Abstract"), s("verified")), segment("p1.s2", on("NON_BODY_EVIDENCE", s("other"), s("body")), F.col("one"), on("SEGMENT_REVIEW_PENDING", s("unverified"), s("verified")))).alias("segments")),
@@ -130,18 +182,23 @@ def ledgers(spark, sf_dir: str) -> DataFrame:
     )
     source = F.struct(
         s("S").alias("id"), s("Title").alias("title"), kind.alias("kind"), on("SOURCE_DIGEST_MISMATCH", s("0" * 64), F.col("sum")).alias("sha256"), on("NOT_FOUND_COVERAGE_INCOMPLETE", s("partial"), s("full")).alias("coverage"),
-        F.struct(on("SOURCE_FILE_UNVERIFIED", s("local"), s("synthetic")).alias("kind"), s("s.pdf").alias("locator"), null.alias("snapshot_path")).alias("origin"),
+        F.struct(
+            F.when(is_("SOURCE_FILE_UNVERIFIED", "SOURCE_PATH_OUTSIDE_ROOT", "SOURCE_FILE_MISSING"), "local").when(is_("SOURCE_SNAPSHOT_MISSING"), "web").otherwise("synthetic").alias("kind"),
+            F.when(is_("SOURCE_PATH_OUTSIDE_ROOT"), "../s.pdf").when(is_("SOURCE_FILE_MISSING"), "none.pdf").when(is_("WORD_SOURCE_UNAVAILABLE"), "none.docx").when(is_(*WORD), _named("s")).otherwise("s.pdf").alias("locator"), null.alias("snapshot_path"),
+        ).alias("origin"),
         F.struct(on("DATE_INVALID", s("2024-02-30"), s("2024-02-28")).alias("issued"), null.alias("published"), null.alias("effective"), null.alias("accessed")).alias("dates"), pages.alias("pages"),
     )
     other = F.struct(s("T").alias("id"), s("Other").alias("title"), s("other").alias("kind"), F.sha2(s(""), 256).alias("sha256"), s("full").alias("coverage"), F.struct(s("synthetic").alias("kind"), s("t.pdf").alias("locator"), null.alias("snapshot_path")).alias("origin"), F.struct(*[null.alias(k) for k in ("issued", "published", "effective", "accessed")]).alias("dates"), F.expr("cast(array() as " + ledger_rules.SOURCE.split("pages:")[1][:-1] + ")").alias("pages"))
     docx_type = "struct<manuscript_sha256:string,block_id:string,location:" + ledger_rules.LOCATION + ">"
     span = F.struct(on("SEGMENT_UNKNOWN", s("zz"), s("p1.s2")).alias("segment_id"), F.lit(0).cast("long").alias("start"), (F.length("one") + on("SPAN_INVALID", F.lit(1), F.lit(0))).cast("long").alias("end"))
+    second_span = F.struct(s("p2.s1").alias("segment_id"), F.lit(1).cast("long").alias("start"), F.length("all").cast("long").alias("end"))
     evidence = F.struct(
         s("E").alias("id"), on("SOURCE_UNKNOWN", s("Z"), s("S")).alias("source_id"), on("EVIDENCE_VERSION_MISMATCH", s("1" * 64), on("SOURCE_DIGEST_MISMATCH", s("0" * 64), F.col("sum"))).alias("source_sha256"),
-        F.concat("one", on("QUOTE_MISMATCH", s("!"), s(""))).alias("quote"), on("SECTION_MISMATCH", s("Other"), s("Body")).alias("section"),
-        F.when(is_("PDF_PAGE_MISMATCH"), F.array(F.lit(2).cast("long"))).when(is_("PDF_BINDING_MISSING"), F.expr("cast(array() as array<bigint>)")).otherwise(F.array(F.lit(1).cast("long"))).alias("pdf_pages"),
-        on("PRINT_PAGE_MISMATCH", F.array(s("iv")), F.array(s("i"))).alias("print_pages"), F.array(span).alias("spans"), on("EVIDENCE_REVIEW_PENDING", s("pending"), s("verified")).alias("completeness_review"), s("verified").alias("context_review"),
-        F.lit(None).cast("struct<block_id:string,location:" + ledger_rules.LOCATION + ">").alias("docx_location"),
+        F.concat("one", on("QUOTE_MISMATCH", s("!"), on("NONCONTIGUOUS_QUOTE", F.substr(F.col("all"), F.lit(2)), s("")))).alias("quote"), on("SECTION_MISMATCH", s("Other"), s("Body")).alias("section"),
+        F.when(is_("PDF_PAGE_MISMATCH"), F.array(F.lit(2).cast("long"))).when(is_("NONCONTIGUOUS_QUOTE"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).when(is_("PDF_BINDING_MISSING") | is_(*WORD) & ~is_("WORD_SOURCE_PAGE_INFERRED"), F.expr("cast(array() as array<bigint>)")).otherwise(F.array(F.lit(1).cast("long"))).alias("pdf_pages"),
+        F.when(is_("PRINT_PAGE_MISMATCH"), F.array(s("iv"))).when(is_("NONCONTIGUOUS_QUOTE"), F.array(s("i"), s("ii"))).when(is_(*WORD), F.expr("cast(array() as array<string>)")).otherwise(F.array(s("i"))).alias("print_pages"),
+        F.when(is_("NONCONTIGUOUS_QUOTE"), F.array(span, second_span)).when(is_(*WORD), F.array().cast("array<struct<segment_id:string,start:bigint,end:bigint>>")).otherwise(F.array(span)).alias("spans"), on("EVIDENCE_REVIEW_PENDING", s("pending"), s("verified")).alias("completeness_review"), s("verified").alias("context_review"),
+        F.when(is_(*WORD), F.struct(s("P000002").alias("block_id"), _place(2).alias("location"))).alias("docx_location"),
     )
     none = F.expr(f"cast(array() as array<{ledger_rules.EVIDENCE}>)")
     bare = is_("NOT_FOUND_COVERAGE_INCOMPLETE", "VERDICT_WITHOUT_EVIDENCE")
@@ -156,12 +213,12 @@ def ledgers(spark, sf_dir: str) -> DataFrame:
         F.struct(on("POLICY_LEVEL_MISMATCH", s("secondary"), level).alias("claimed_level"), level.alias("evidence_level"), F.lit(None).cast("boolean").alias("quotation_verified"), on("POLICY_DATES_PENDING", F.lit(False), F.lit(True)).alias("dates_reviewed"), on("SECONDARY_AS_ORIGINAL", F.lit(True), F.lit(False)).alias("claims_originals_verified"), s("v").alias("version_note")),
     )
     verbatim = is_("VERBATIM_TEXT_MISSING", "VERBATIM_NOT_CONTINUOUS", "POLICY_VERBATIM_UNVERIFIED")
-    docx = F.when(is_("DOCX_PAGE_INFERRED"), F.struct(s("2" * 64).alias("manuscript_sha256"), s("P000001").alias("block_id"), F.lit(None).cast(ledger_rules.LOCATION).alias("location")))
+    docx = F.when(is_("DOCX_PAGE_INFERRED", *BOUND), F.struct(on("DOCX_PAGE_INFERRED", s("2" * 64), _paper_sha()).alias("manuscript_sha256"), s("P000001").alias("block_id"), F.when(is_(*BOUND), _place(1)).alias("location")))
     claim = F.struct(
-        s("C").alias("id"), null.alias("heading"), F.struct(F.col("one").alias("text"), F.lit(1).cast("long").alias("pdf_page"), null.alias("print_page"), s("Body").alias("section"), docx.cast(docx_type).alias("docx_location")).alias("target"),
+        s("C").alias("id"), null.alias("heading"), F.struct(F.col("one").alias("text"), F.when(~is_(*BOUND), F.lit(1).cast("long")).alias("pdf_page"), null.alias("print_page"), s("Body").alias("section"), docx.cast(docx_type).alias("docx_location")).alias("target"),
         F.when(is_(*policy_codes, "POLICY_CHECKS_MISSING"), "policy").otherwise("explicit").alias("citation_role"), F.when(is_("EVIDENCE_ATTRIBUTION_MISMATCH"), F.array(s("T"))).when(is_("SOURCE_UNKNOWN"), F.array(s("Z"))).otherwise(F.array(s("S"))).alias("attributed_source_ids"),
         F.array(F.struct(s("x").alias("id"), s("t").alias("text"))).alias("subclaims"), F.when(is_("NOT_FOUND_UNJUSTIFIED", "NOT_FOUND_COVERAGE_INCOMPLETE"), "not_found").when(is_("UNABLE_TO_VERIFY"), "unable").otherwise("direct").alias("status"),
-        s("r").alias("reason"), s("r").alias("recommendation"), F.when(bare, none).otherwise(F.array(evidence)).alias("evidence"), F.when(is_("SUPPORT_WITHOUT_EVIDENCE"), F.array(assessment.withField("subclaim_id", s("x")), second.withField("subclaim_id", s("w")))).otherwise(F.array(assessment)).alias("assessments"),
+        s("r").alias("reason"), s("r").alias("recommendation"), F.when(bare, none).when(is_("ORPHAN_EVIDENCE"), F.array(evidence, evidence.withField("id", s("G")))).otherwise(F.array(evidence)).alias("evidence"), F.when(is_("SUPPORT_WITHOUT_EVIDENCE"), F.array(assessment.withField("subclaim_id", s("x")), second.withField("subclaim_id", s("w")))).otherwise(F.array(assessment)).alias("assessments"),
         F.struct(s("complete").alias("status"), F.array(s("S")).alias("source_ids"), F.array(s("body")).alias("regions"), F.array(s("q")).alias("queries"), s("n").alias("note")).alias("search"),
         F.when(verbatim, "verbatim").otherwise("paraphrase").alias("quotation_mode"), F.when(is_("VERBATIM_NOT_CONTINUOUS"), F.concat("one", s("~"))).when(is_("POLICY_VERBATIM_UNVERIFIED"), F.col("one")).alias("verbatim_text"),
         on("CLAIM_REVIEW_PENDING", s("pending"), s("reviewed")).alias("review_status"), checks.alias("policy_checks"),
@@ -179,4 +236,24 @@ EXTRA = {
     "SOURCE_UNKNOWN": [], "DOCX_PAGE_INFERRED": [("blocker", "MANUSCRIPT_UNVERIFIED", "C")], "SEGMENT_UNKNOWN": [("error", "QUOTE_MISMATCH", "E")], "SPAN_INVALID": [("error", "QUOTE_MISMATCH", "E")],
     "SUPPORT_WITHOUT_EVIDENCE": [("error", "SUBCLAIM_COVERAGE", "C")], "VERBATIM_NOT_CONTINUOUS": [], "VERDICT_WITHOUT_EVIDENCE": [("error", "SUPPORT_WITHOUT_EVIDENCE", "C")],
     "DUPLICATE_ID": [("error", "VERDICT_CONFLICT", "C")], "PDF_BINDING_MISSING": [("error", "PDF_PAGE_MISMATCH", "E")],
+    "WORD_SOURCE_PAGE_INFERRED": [("blocker", "WORD_SOURCE_UNVERIFIED", "E")],
 }
+#: Changes that only show where roots are given, with what follows from them where none are.
+ROOTED = {
+    **dict.fromkeys(["SOURCE_SNAPSHOT_MISSING", "SOURCE_PATH_OUTSIDE_ROOT", "SOURCE_FILE_MISSING"], [("blocker", "SOURCE_FILE_UNVERIFIED", "S")]), "DOCX_LOCATION_MISSING": [], **dict.fromkeys(BOUND, [("blocker", "MANUSCRIPT_UNVERIFIED", "C")]),
+    **dict.fromkeys(["WORD_SOURCE_UNAVAILABLE", "WORD_SOURCE_LOCATION_MISMATCH"], [("blocker", "WORD_SOURCE_UNVERIFIED", "E")]), "TRANSCRIPTION_IMAGE_UNAVAILABLE": [("blocker", "TRANSCRIPTION_IMAGE_UNVERIFIED", "E")],
+}
+#: Changes of which something else shows where roots are given.
+WITH_ROOTS = {"SOURCE_FILE_UNVERIFIED": [("error", "SOURCE_DIGEST_MISMATCH", "S")], "TRANSCRIPTION_IMAGE_UNVERIFIED": [], "WORD_SOURCE_UNVERIFIED": [], "DOCX_PAGE_INFERRED": [("error", "DOCX_PAGE_INFERRED", "C")], "WORD_SOURCE_PAGE_INFERRED": [("error", "WORD_SOURCE_PAGE_INFERRED", "E")]}
+
+
+def expected(scopes: dict[str, set[str]], rooted: bool = False) -> list[tuple[int, str, str, str]]:
+    """number of the change, severity, code, scope of all findings."""
+    rows = []
+    for k, code in enumerate(MUTATIONS):
+        if code:
+            scope = next((s for s, codes in scopes.items() if code in codes), "C")
+            own = [(ledger_rules.RULES[code][0], code, scope), *EXTRA.get(code, [])]
+            rows += [(k, *x) for x in (WITH_ROOTS.get(code, own) if rooted else ROOTED.get(code, own))]
+    return rows
+
