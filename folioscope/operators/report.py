@@ -20,11 +20,6 @@ def report_rows(ledgers: DataFrame) -> DataFrame:
     return e.select("ledger_id", "claim_pos", F.col("c.id").alias("claim_id"), F.coalesce("c.heading", F.substring("c.target.text", 1, HEADING)).alias("heading"), F.col("c.target.section").alias("section"), place.alias("block_id"), T.mapped(F.col("c.status"), T.STATUS_LABELS).alias("status"), F.col("c.citation_role").alias("citation_role"), "evidence_pos", F.col("e.source_id").alias("source_id"), F.col("e.quote").alias("quote"), F.when(paged, F.try_element_at("e.pdf_pages", F.lit(1))).alias("pdf_page"), F.when(paged, printed).alias("print_page"))
 
 
-def source_formats(ledgers: DataFrame) -> DataFrame:
-    s = ledgers.select("ledger_id", F.explode("sources").alias("s"))
-    return s.select("ledger_id", F.col("s.id").alias("source_id"), F.when(F.lower("s.origin.locator").endswith(".docx"), "docx").otherwise("pdf").alias("format"))
-
-
 def source_labels(claims: DataFrame, report: str = "ledger_id", pos: str = "claim_pos", sources: str = "source_ids") -> DataFrame:
     """R01, R02, ... by the order in which claims first use a source."""
     used = claims.select(report, pos, F.posexplode(sources).alias("n", "source_id")).groupBy(report, "source_id").agg(F.min(F.struct(pos, "n")).alias("first"))
@@ -95,6 +90,16 @@ def payload_findings(claims: DataFrame, evidence: DataFrame, sources: DataFrame,
     return made
 
 
+def payload_file_findings(listed: DataFrame, files: DataFrame, what: str) -> DataFrame:
+    """Faults of a payload's files (report_id, source_id, sha256, locator) against those under a root (path, sha256): gone, outside of it, or changed."""
+    path = F.coalesce("locator", F.lit(""))
+    safe = listed.where(~T.path_escapes(path) & (path != ""))
+    met = safe.join(files.select(F.col("path").alias("locator"), F.col("sha256").alias("own")), "locator", "left")
+    said = lambda df, code: df.select("report_id", F.lit(f"{what} {code}").alias("code"), F.col("source_id").alias("scope_id"))
+    lost = listed.where(T.path_escapes(path) | (path == "")).select("report_id", "source_id").unionByName(met.where("own IS NULL").select("report_id", "source_id"))
+    return said(lost, "unavailable or unsafe path").unionByName(said(met.where("own <> sha256"), "changed"))
+
+
 def exportable(ledgers: DataFrame, found: DataFrame) -> DataFrame:
     """Ledgers that neither an error nor a blocker holds back."""
     return ledgers.join(found.where(F.col("severity").isin("error", "blocker")).select("ledger_id").distinct(), "ledger_id", "left_anti")

@@ -72,12 +72,12 @@ LEDGER = obj({"schema_version": one_of("0.1", "0.2"), "sources": arr(SOURCE, 1),
 
 #: What a value's type is called, by the head of its variant type; anything else is a number that is not whole.
 KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer"}
-ENTRY = "array<struct<path:string,node:int,value:variant>>"
+ENTRY = "array<struct<path:string,node:int,value:variant,kind:string>>"
 FAULT = "array<struct<path:string,fault:string>>"
 
 
 class Compiled:
-    """A schema as numbered nodes, of which equal ones are one, and as Column expressions over (path, node, value)."""
+    """A schema as numbered nodes, of which equal ones are one, and as Column expressions over (path, node, value, kind)."""
 
     def __init__(self, schema: dict):
         self.nodes: list[dict] = []
@@ -117,8 +117,7 @@ class Compiled:
 
     def faults(self, x: Column) -> Column:
         """All that is wrong with an entry itself."""
-        path, node, value = x["path"], x["node"], x["value"]
-        kind = kind_of(value)
+        path, node, value, kind = x["path"], x["node"], x["value"], x["kind"]
         fault = lambda when, text, at=path: F.when(when, F.array(F.struct(at.alias("path"), F.lit(text).alias("fault"))))
         none = F.lit(None).cast("boolean")
         allowed = lambda key, test, usable=lambda v: v is not None: F.coalesce(*[F.when(there, test(v)) for there, v in self._having(node, key, usable)], none) if self._having(node, key, usable) else none
@@ -144,17 +143,16 @@ class Compiled:
 
     def children(self, x: Column) -> Column:
         """The entries below one; none below a value of the wrong type."""
-        path, node, value = x["path"], x["node"], x["value"]
+        path, node, value, kind = x["path"], x["node"], x["value"], x["kind"]
         child = F.create_map(*[F.lit(y) for n, own in enumerate(self.nodes) for k, c in own["children"].items() for y in (f"{n}.{k}", c)]) if any(own["children"] for own in self.nodes) else F.create_map().cast("map<string,int>")
         of = lambda k: F.try_element_at(child, F.concat(node.cast("string"), F.lit("."), k))
         entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-        fields = F.transform(F.filter(entries, lambda e: of(e["key"]).isNotNull()), lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), of(e["key"]).alias("node"), e["value"].alias("value")))
+        fields = F.transform(F.filter(entries, lambda e: of(e["key"]).isNotNull()), lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), of(e["key"]).alias("node"), e["value"].alias("value"), kind_of(e["value"]).alias("kind")))
         item = F.lit(None).cast("int")
         for n, own in enumerate(self.nodes):
             if "item" in own:
                 item = F.when(node == n, own["item"]).otherwise(item)
-        items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda e, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), item.alias("node"), e.alias("value")))
-        kind = kind_of(value)
+        items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda e, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), item.alias("node"), e.alias("value"), kind_of(e).alias("kind")))
         typed = F.array_contains(self._table(node, "type"), kind)
         return F.when(typed & (kind == "object"), fields).when(typed & (kind == "array") & item.isNotNull(), items).otherwise(F.array().cast(ENTRY))
 
@@ -178,7 +176,7 @@ def schema_findings(documents: DataFrame, key: str = "ledger_id", text_column: s
     made = Compiled(schema)
     rows = documents.select(F.col(key).alias("__key"), F.try_parse_json(F.coalesce(F.col(text_column), F.lit(""))).alias("__0"))
     broken = rows.where("__0 IS NULL").select("__key", F.lit("$").alias("path"), F.lit("unparseable").alias("fault"))
-    level = rows.where("__0 IS NOT NULL").select("__key", F.struct(F.lit("$").alias("path"), F.lit(made.root).alias("node"), F.col("__0").alias("value")).alias("x"))
+    level = rows.where("__0 IS NOT NULL").select("__key", F.struct(F.lit("$").alias("path"), F.lit(made.root).alias("node"), F.col("__0").alias("value"), kind_of(F.col("__0")).alias("kind")).alias("x"))
     # each level's values as rows beside the faults of all levels above: one pass over the documents
     out = level.select("__key", "x", F.lit(None).cast(FAULT).alias("f"))
     for _ in range(made.depth):

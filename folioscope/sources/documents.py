@@ -171,22 +171,43 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return spark.read.option("wholetext", True).text(path).selectExpr("_metadata.file_path as ledger_id", "value as json")
 
 
-def ocr(pages: DataFrame, recognise: Callable[[bytes], str] | None = None) -> DataFrame:
-    """pages (…, image) with text_ocr and issue, by a plug-in; without one every page has the issue unavailable."""
-    from pyspark.sql import functions as F
-
-    if recognise is None:
-        return pages.withColumn("text_ocr", F.lit(None).cast("string")).withColumn("issue", F.lit("unavailable"))
-    import pandas as pd
-
-    @F.pandas_udf("struct<text_ocr:string,issue:string>")
-    def run(images: pd.Series) -> pd.DataFrame:
-        rows = []
-        for image in images:
-            try:
-                rows.append((recognise(bytes(image)), None))
-            except Exception as error:  # noqa: BLE001
-                rows.append((None, str(error)[:200] or type(error).__name__))
-        return pd.DataFrame(rows, columns=["text_ocr", "issue"])
-
-    return pages.withColumn("__o", run("image")).select(*pages.columns, "__o.*")
+def read_diagnostics(files: DataFrame) -> DataFrame:
+    """doc_id, revisions, nested_tables, drawings of files (relative_path, content); null where a file cannot be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["revisions", "nested_tables", "drawings"]
+        for batch in batches:
+            rows = []
+            for content in batch.column(1):
+                try:
+                    rows.append(docx_diagnostics(content.as_py()))
+                except Exception:  # noqa: BLE001  a bad file is a row, not a failed task
+                    rows.append(dict.fromkeys(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[n] for r in rows], pa.int64()) for n in names]], names=["doc_id", *names])
+
+    return files.select("relative_path", "content").mapInArrow(run, "doc_id string, revisions long, nested_tables long, drawings long")
+
+
+def read_texts(files: DataFrame, read: Callable[[bytes], Iterator[tuple[int, str]]]) -> DataFrame:
+    """source_id, pdf_page, text, issue of files by a plug-in that yields (page, text): another reader of the text layer, or OCR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    rows += [(name, page, text, None) for page, text in read(content.as_py())]
+                except Exception as error:  # noqa: BLE001
+                    rows.append((name, None, None, str(error)[:200] or type(error).__name__))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["source_id", "pdf_page", "text", "issue"])
+
+    return files.select("relative_path", "content").mapInArrow(run, "source_id string, pdf_page int, text string, issue string")
+
+
+def plain_text(content: bytes) -> Iterator[tuple[int, str]]:
+    """Page texts as pypdf has them."""
+    import pypdf
+
+    for number, page in enumerate(pypdf.PdfReader(io.BytesIO(content)).pages, 1):
+        yield number, page.extract_text() or ""

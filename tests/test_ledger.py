@@ -136,3 +136,15 @@ def test_payload(spark):
 def test_rules_have_queries(code):
     assert "rule_" + code.lower() in catalog.QUERIES
     assert len(ledger.RULES) == 59
+
+
+def test_every_rule_fires(spark, tmp_path):
+    """Ledgers of all changes, with roots: the findings expected; every rule is among these or those without roots."""
+    rows = [(i, f"Line {i} of some length.\nMore of it.", "en", "s", 9) for i in range(64)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    r = ledger.relations(views.ledgers(spark, str(tmp_path)), **views.roots(spark, str(tmp_path)), persist=True)
+    got = sorted(map(tuple, ledger.findings(r).collect()))
+    with_roots, without = (views.expected(catalog.SCOPES, x) for x in (True, False))
+    assert got == sorted((str(k), s, c, x) for k, s, c, x in with_roots)
+    ledger.release(r)
+    assert {c for _, _, c, _ in with_roots + without} == set(ledger.RULES)

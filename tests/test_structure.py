@@ -128,3 +128,20 @@ def test_two_columns_and_notes(spark):
     assert roles["7"] == ("number", "7") and roles["H"][0] == "head" and roles["asmallnoteatthefoot"][0] == "note"
     text = layout.layout_text(glyphs, dims).first().text.split("\n")
     assert text.index("L19abcdefgh") < text.index("R00abcdefgh")
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("ab\U0001f600", max_size=9), min_size=1, max_size=6), st.lists(st.text("ab\U0001f600", max_size=4), max_size=5))
+def test_containing(spark, texts, needles):
+    from folioscope.operators import containment
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    found = containment.containing(rows, ["k"], "text", spark.createDataFrame([(n,) for n in needles], "n string"), "n", gram=2)
+    assert sorted(map(tuple, found.collect())) == sorted((i, n) for i, t in enumerate(texts) for n in set(needles) if n and n in t)
+
+
+def test_places_of_odd_quotes(spark):
+    """Letters of regular expressions in a quotation, beyond the basic plane, and spaces around its places."""
+    rows = [seg(1, 1, " a \\E(b) \U0001f600 a\\E(b)")]
+    assert quotes(spark, rows, "\\E(b)") == [[("p1.s1", 3, 8)], [("p1.s1", 12, 17)]]
+    assert quotes(spark, rows, "\U0001f600a") == [[("p1.s1", 9, 12)]]
