@@ -26,13 +26,13 @@ def test_manuscript_to_groups(spark, tmp_path):
 def test_validate_and_export(spark, tmp_path):
     good, bad = document(), document()
     bad["claims"][0]["evidence"][0]["quote"] = "Rates fell."
-    (tmp_path / "good.json").write_text(json.dumps(good))
-    (tmp_path / "bad.json").write_text(json.dumps(bad))
-    (tmp_path / "odd.json").write_text("{")
-    run = lambda name, *more: cli.main([more[0] if more else "validate", str(tmp_path / name), *more[1:]])
-    assert [run("good.json"), run("bad.json"), run("odd.json")] == [0, 2, 2]
-    assert run("good.json", "export-report", "--output", str(tmp_path / "r.docx")) == 0 and (tmp_path / "r.docx").stat().st_size > 500
-    assert run("bad.json", "export-report", "--output", str(tmp_path / "no.docx")) == 2 and not (tmp_path / "no.docx").exists()
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l/good.json").write_text(json.dumps(good))
+    (tmp_path / "l/bad.json").write_text(json.dumps(bad))
+    (tmp_path / "l/odd.json").write_text("{")
+    assert cli.main(["validate", str(tmp_path / "l"), "--output", str(tmp_path / "out")]) == 2
+    assert {(r["ledger_id"].rsplit("/", 1)[1], r["code"]) for r in rows(tmp_path / "out/findings")} == {("bad.json", "QUOTE_MISMATCH"), ("odd.json", "SCHEMA")}
+    assert cli.main(["export-report", str(tmp_path / "l/good.json"), "--output", str(tmp_path / "r.docx")]) == 0 and (tmp_path / "r.docx").stat().st_size > 500
 
 
 def test_glyphs_to_segments_and_search(spark, tmp_path):
