@@ -6,7 +6,9 @@ a value) and dimension, a posting list of the vectors that have such a value
 there.  Queries are dealt into sets of about ``query_rows``; a set meets a group
 in one task, which builds the group's index once and then takes the set's
 queries as they come, CHUNK at a time.  Posting lists are processed by
-descending impact.  After an impact the unprocessed rest of vector v cannot
+descending impact; where an impact's lists are long, they are laid into a slab
+of rows and dimensions and added for all queries of a chunk by one product, and
+list by list else.  After an impact the unprocessed rest of vector v cannot
 change a query's score by more than |q| * |rest(v)|; a query stops once its k-th
 best lower bound leaves few enough vectors whose upper bound reaches it, and
 those are rescored exactly from the whole vectors, in Python's integers where
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.blocks import lean, small_batches
 
 CHUNK = 128
+SLAB_ROWS = 2048
 LONG = np.iinfo(np.int64)
 
 
@@ -68,6 +71,22 @@ class Postings:
         self.order = np.argsort(vid, kind="stable")
         self.sorted = vid[self.order]
 
+    def add(self, score: np.ndarray, lists: list[tuple[int, int, int]], part: np.ndarray) -> None:
+        """Adds an impact's lists to the scores (vector, query); by list where most places of a slab would be empty."""
+        m = len(score)
+        if sum(b - a for _, a, b in lists) * 32 < m * len(lists):
+            for dim, a, b in lists:
+                score[self.row[a:b]] += self.value[a:b, None] * part[None, :, dim]
+            return
+        by_dim = np.ascontiguousarray(part[:, [dim for dim, _, _ in lists]].T)
+        for lo in range(0, m, SLAB_ROWS):
+            hi = min(lo + SLAB_ROWS, m)
+            slab = np.zeros((hi - lo, len(lists)))
+            for i, (_, a, b) in enumerate(lists):
+                c, e = a + np.searchsorted(self.row[a:b], [lo, hi])
+                slab[self.row[c:e] - lo, i] = self.value[c:e]
+            score[lo:hi] += slab @ by_dim
+
     def own(self, x: int) -> np.ndarray:
         """Rows of that id."""
         return self.order[np.searchsorted(self.sorted, x, "left") : np.searchsorted(self.sorted, x, "right")]
@@ -103,8 +122,7 @@ def search(index: Postings, q: np.ndarray, qid: np.ndarray, k: int, few: float =
         for i, j in enumerate(live.tolist()):
             score[index.own(int(qid[at + j])), i] = -np.inf
         for n, (left, lists) in enumerate(index.impacts, 1):
-            for dim, a, b in lists:
-                score[index.row[a:b]] += index.value[a:b, None] * part[None, :, dim]
+            index.add(score, lists, part)
             last = n == len(index.impacts)
             if not last and left.mean() > 0.2 * usual:
                 continue

@@ -196,6 +196,22 @@ def test_top_k(spark):
         assert sorted(map(tuple, got)) == sorted(want), group
 
 
+def test_top_k_of_thin_and_full_impacts():
+    """Impacts with few entries go list by list, full ones by slabs of rows; both, and several slabs, agree with plain products."""
+    rng = np.random.default_rng(33)
+    v = np.floor(rng.normal(0, 60, (2 * topk.SLAB_ROWS + 700, 20)))
+    v[:, 10:] *= rng.random((len(v), 10)) < 0.01
+    v[:, 15:] *= 1000
+    ids = rng.permutation(len(v))
+    index, asked = topk.Postings(v, ids), np.arange(0, len(v), 30)
+    thin = [sum(b - a for _, a, b in lists) * 32 < len(v) * len(lists) for _, lists in index.impacts]
+    assert any(thin) and not all(thin)
+    for (rows, scores), i in zip(topk.search(index, v[asked], ids[asked], 5), asked.tolist(), strict=True):
+        all_scores = (v @ v[i]).astype(int).tolist()
+        want = sorted((-s, x) for j, (s, x) in enumerate(zip(all_scores, ids.tolist(), strict=True)) if j != i)[:5]
+        assert [(-s, x) for s, x in zip(scores, ids[rows].tolist(), strict=True)] == want
+
+
 def test_top_k_of_large_components(spark):
     """Exact beyond 53 and 64 bits, with ties, a null id, and repeated rows."""
     rng = random.Random(31)
