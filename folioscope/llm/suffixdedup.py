@@ -13,19 +13,24 @@ shard with shard, so the text is first cut where equal strings must agree:
     sends each distinct context once, with its smallest document and its place
     in the block, to the bucket of its pick, so a passage that everyone has
     arrives once from each block.  Picks of very many contexts are found
-    beforehand on a sample of documents and dealt to buckets by context.
+    beforehand on a sample of documents and dealt to buckets by context.  All
+    contexts at once need more disk than their texts, so PASSES turns take a
+    part of the picks each; of many blocks, several send together, as rows
+    grow with senders times buckets.
 3.  Contexts of one pick that differ can share strings only if they agree in
     SIDE bytes on one side of the pick.  One copy of each such context is cut
     from its block, at the place sent, and goes to a shard.  The shard builds
     the suffix array of its contexts (Larsson-Sadakane refinement: groups that
     are not yet single are sorted by the ranks h bytes on), the common prefixes
     by Kasai's rule, and so the distinct strings with their smallest documents.
-    Where a pick's contexts may lie in several shards, each shard sends its
-    distinct strings, in suffix order and dealt by their hash into ranges; a
-    range merges the shards' runs by binary search on the strings' bytes, and
-    tells shards where another one has a smaller document.
-4.  Blocks take back the smallest document of each context and the strings found
-    in shards, both by place, mark the bytes, and cut them out.
+    A pick's contexts stay in one shard; if they are too many, those that agree
+    on the left side do, and those that agree on the right one.  Where even
+    these fill several shards, each shard sends its distinct strings, in suffix
+    order and dealt by their hash into ranges; a range merges the shards' runs
+    by binary search on the strings' bytes, and tells shards where another one
+    has a smaller document.
+4.  Blocks take back the contexts that a smaller document elsewhere has and the
+    strings found in shards, both by place, mark the bytes, and cut them out.
 
 Equality of whole contexts is that of 96 bits of hash (pick and content); all
 else is decided on bytes.
@@ -39,6 +44,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +58,20 @@ from folioscope.llm.groups import map_groups
 LENGTH = 50
 GRAM = 18
 SIDE = (LENGTH - GRAM) // 2
-SHARD = 1 << 12  # contexts that a shard takes of one bucket
-TOGETHER = 3  # a shard takes those of 2 ** TOGETHER buckets
+PASSES = 2  # turns that contexts are sent in, by pick
+SHARD = 1 << 12  # contexts that a shard takes of one bucket, and what a pick has beyond them
+TOGETHER = 2  # a shard takes those of 2 ** TOGETHER buckets
+GANG = 3  # at most 2 ** GANG blocks send together
 PART = 1 << 18  # bytes of text that are hashed at once
 CELL = 512  # strings, or places of strings, in one row on the way
 SAMPLE = 64  # picks of very many contexts are looked for in one document of so many
 HOT = 1 << 16  # contexts that make a pick one of these
 TOP = 4096  # picks that a partition of the sample reports
-LAST = np.iinfo(np.int64).max
+FIRST, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 PLACES = np.uint64(0xFFFFFFFF)
-#: A context as blocks and buckets know it: hashes of pick and content (48 bits each), smallest document, place in the block, number of strings, hashes of the sides (0: not within the context).
+AT = np.uint64(40)  # bits of a place in a block; above them, the block's number in its gang
+#: A context as blocks and buckets know it: hashes of pick and content (48 bits each), smallest document, place, number of strings, hashes of the sides (0: not within the context).
 KEY = np.dtype([("fp", "<u8"), ("ch", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("n", "u1"), ("left", "u1"), ("right", "u1")])
 #: A context as shards know it.
 PIECE = np.dtype([("at", "<u8"), ("doc", "<i8"), ("n", "u1")])
@@ -71,8 +80,8 @@ PLACE = np.dtype([("sid", "<i4"), ("blk", "<i4"), ("at", "<u8"), ("doc", "<i8"),
 #: A distinct string of a shard.
 MEMBER = np.dtype([("sid", "<i4"), ("doc", "<i8")])
 FP_BITS, CH_BITS = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0x0000FFFFFFFFFFFF)
-# bytes of KEY that hold anything: the upper six of fp, the lower six of ch, all of doc, the lower five of at, and the rest
-_HELD = [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, *range(16, 24), *range(24, 29), 32, 33, 34]
+# bytes of KEY that hold anything: the upper six of fp, the lower six of ch, all of doc, the lower six of at, and the rest
+_HELD = [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, *range(16, 24), *range(24, 30), 32, 33, 34]
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -87,8 +96,8 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view(KEY).reshape(-1)
 
 
-def contexts(block: Block, sides: bool = True) -> dict[str, np.ndarray]:
-    """The contexts of a block's texts, by place: text, start (in the block), n, off, fp, ch, and if wanted left, right."""
+def contexts(block: Block, sides: bool = True, turn: int | None = None) -> dict[str, np.ndarray]:
+    """The contexts of a block's texts (or those of a turn's picks), by place: text, start (in the block), n, off, fp, ch, and if wanted left, right."""
     data, offs = block.data, block.offs
     n, w = len(data), LENGTH - GRAM + 1
     empty = {k: np.empty(0, t) for k, t in (("text", np.int64), ("start", np.int64), ("n", np.int64), ("off", np.int64), ("fp", np.uint64), ("ch", np.uint64), ("left", np.uint8), ("right", np.uint8))}
@@ -115,13 +124,17 @@ def contexts(block: Block, sides: bool = True) -> dict[str, np.ndarray]:
     if done < w:
         low = np.minimum(low[: len(low) - (w - done)], low[w - done :])
     pick = (low & PLACES).astype(np.int64)
-    turn = pick[1:] != pick[:-1]
+    moved = pick[1:] != pick[:-1]
     new, stop = good.copy(), good.copy()
-    new[1:] &= ~good[:-1] | turn
-    stop[:-1] &= ~good[1:] | turn
+    new[1:] &= ~good[:-1] | moved
+    stop[:-1] &= ~good[1:] | moved
     start = np.flatnonzero(new)
     count = np.flatnonzero(stop) - start + 1
     p = pick[start]
+    fp = mix(gram[p]) & FP_BITS
+    if turn is not None:
+        some = np.flatnonzero((fp >> np.uint64(16)) % np.uint64(PASSES) == np.uint64(turn))
+        start, count, p, fp = start[some], count[some], p[some], fp[some]
     off = p - start
     end = start + count - 1 + LENGTH
     ch = mix(span_hash(prefix, start, end) + off.astype(np.uint64) * GOLD) & CH_BITS
@@ -131,7 +144,7 @@ def contexts(block: Block, sides: bool = True) -> dict[str, np.ndarray]:
         return np.where((lo >= start) & (hi <= end), value, np.uint64(0)).astype(np.uint8)
 
     text = np.searchsorted(offs, start, "right") - 1
-    out = {"text": text, "start": start, "n": count, "off": off, "fp": mix(gram[p]) & FP_BITS, "ch": ch}
+    out = {"text": text, "start": start, "n": count, "off": off, "fp": fp, "ch": ch}
     return out | {"left": side(p - SIDE, p), "right": side(p + GRAM, p + GRAM + SIDE)} if sides else out
 
 
@@ -334,6 +347,18 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a.astype(np.uint64), b.view(np.uint64)], 1).view("V16").reshape(-1)
 
 
+def _places(at: np.ndarray) -> np.ndarray:
+    """Places in a block, five bytes each."""
+    return np.ascontiguousarray(at.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").reshape(-1)
+
+
+def _unplaced(cells: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<i8").reshape(-1)
+
+
 def _unpaired(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(cells), "<u8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
@@ -350,6 +375,47 @@ def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType
         yield _rows(names, kinds, held)
 
 
+def units(lead: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Which distinct contexts to compare: sets that need no others, of 2 * most at most, and larger ones that share no string with any of these.
+
+    Contexts of one pick that share a string agree on a side of it, and those of
+    one document remove nothing.  A pick that needs more than most contexts
+    gives a set to each value of each side, and a context is in two at most.
+    """
+    need, agree = np.zeros(len(lead), bool), []
+    by = np.argsort(lead["fp"], kind="stable")
+    edge = np.append(_changes(lead["fp"][by]), True)
+    several = by[~(edge[:-1] & edge[1:])]
+    for side in ("left", "right"):
+        own = several[lead[side][several] > 0]
+        own = own[np.lexsort((lead["doc"][own], lead[side][own], lead["fp"][own]))]
+        start = np.flatnonzero(_changes(lead["fp"][own], lead[side][own]))
+        size = np.diff(np.append(start, len(own)))
+        # contexts that agree on the side and have different smallest documents
+        mixed = np.repeat(lead["doc"][own[start]] != lead["doc"][own[start + size - 1]], size) if len(start) else np.zeros(0, bool)
+        own = own[mixed]
+        need[own] = True
+        agree.append((own, _changes(lead["fp"][own], lead[side][own])))
+    ask = by[need[by]]
+    new = _changes(lead["fp"][ask])
+    many = np.zeros(len(lead), bool)
+    many[ask] = _sizes(new) > most
+    sets = [(ask[~many[ask]], new[~many[ask]])] + [(own[many[own]], new[many[own]]) for own, new in agree]
+    member, new = (np.concatenate(x) for x in zip(*sets, strict=True))
+    size = _sizes(new)
+    large = [member[size > most][a:b] for a, b in _spans(new[size > most])] if (size > most).any() else []
+    member, new = member[size <= most], new[size <= most]
+    # a set goes where its first context does
+    home = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) // most
+    return [member[a:b] for a, b in _spans(_changes(home))] if len(member) else [], large
+
+
+def _sizes(new: np.ndarray) -> np.ndarray:
+    """For each row, how many are in its run."""
+    size = np.diff(np.append(np.flatnonzero(new), len(new)))
+    return np.repeat(size, size)
+
+
 def smallest(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted runs of distinct strings and their documents as one, with the smallest document of each: two by two, the one searched in the other."""
     while len(runs) > 1:
@@ -375,38 +441,45 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n_blocks = max(32, -(-size // block_bytes))
-    bits = int(n_blocks).bit_length() + 2
-    coarse = max(1, (1 << bits) >> TOGETHER)
+    bits = max(8, int(n_blocks).bit_length() - 1)
+    gang = min(GANG, max(0, int(n_blocks).bit_length() - 9))
     hot = hot_picks(docs, key, text, max(hot_contexts, size >> 24), sample)
     payload = F.struct(*[F.col(c) for c in keep])
     rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n_blocks)).cast("int").alias("blk"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text, F.lit("")).alias("t"), payload.alias("row"))
 
-    def send(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, found = t.column("id").to_numpy(), []
-        for lo, hi, base, block in _pieces_of(t.column("t")):
-            c = contexts(block)
-            keys = np.empty(len(c["fp"]), KEY)
-            for k in ("fp", "ch", "n", "left", "right"):
-                keys[k] = c[k]
-            keys["doc"], keys["at"] = ids[lo:hi][c["text"]], base + c["start"]
-            found.append(keys)
+    def send(t: pa.Table, turn: int) -> Iterator[pa.RecordBatch]:
+        ids, blk, found = t.column("id").to_numpy(), t.column("blk").to_numpy(), []
+        for a, b in _spans(_changes(blk)):
+            for lo, hi, base, block in _pieces_of(t.column("t").slice(a, b - a)):
+                c = contexts(block, turn=turn)
+                keys = np.empty(len(c["fp"]), KEY)
+                for k in ("fp", "ch", "n", "left", "right"):
+                    keys[k] = c[k]
+                keys["doc"] = ids[a + lo : a + hi][c["text"]]
+                keys["at"] = (base + c["start"]).astype(np.uint64) | (np.uint64(blk[a] % (1 << gang)) << AT)
+                found.append(keys)
         keys = np.concatenate(found) if found else np.empty(0, KEY)
+        del found
         home = _homes(keys["fp"], keys["ch"], bits, hot)
-        # rows are in order of id: the first of equal contexts is of the smallest document
+        # a block's rows are in order of id: the first of equal contexts is of the smallest document
         order = np.argsort(home, kind="stable")
-        keys, home = keys[order], home[order]
-        one = _changes(keys["fp"], keys["ch"])
-        keys, bucket = keys[one], (home[one] >> np.uint64(63 - bits)).astype(np.int64)
-        blk = t.column("blk")[0].as_py()
-        yield from _in_batches(((int(bucket[a]), blk, pack(keys[a:b])) for a, b in _spans(_changes(bucket))), ["bucket", "blk", "keys"], [LONG, INT, BIN])
-
-    sent = map_groups(rows.select("blk", "id", "t"), ["blk"], send, "bucket long, blk int, keys binary", order=["id", "t"])
-
-    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """To blocks: the smallest document of contexts that a smaller one has too.  To blocks as well: contexts to compare."""
+        ranked, whose = keys[order], home[order]
+        one = _changes(ranked["fp"], ranked["ch"], ranked["at"] >> AT)
+        if (one & ~_changes(whose, ranked["at"] >> AT)).any():  # a home of two contexts
+            order = np.lexsort((keys["at"] >> AT, keys["ch"], keys["fp"], home))
+            ranked, whose = keys[order], home[order]
+            one = _changes(ranked["fp"], ranked["ch"], ranked["at"] >> AT)
+        keys, bucket = ranked[one], (whose[one] >> np.uint64(63 - bits)).astype(np.int64)
+        first = int(blk[0]) >> gang << gang
+        yield from _in_batches(((int(bucket[a]), first, pack(keys[a:b])) for a, b in _spans(_changes(bucket))), ["bucket", "blk", "keys"], [LONG, INT, BIN])
+
+    def meet(t: pa.Table, turn: int) -> Iterator[pa.RecordBatch]:
+        """To blocks: the contexts that a smaller document elsewhere has.  To blocks as well: contexts to compare."""
         packs = [unpack(x.as_py()) for x in t.column("keys")]
         keys = np.concatenate(packs)
-        blk = np.repeat(t.column("blk").to_numpy(), [len(p) for p in packs])
+        blk = np.repeat(t.column("blk").to_numpy(), [len(p) for p in packs]) + (keys["at"] >> AT).astype(np.int32)
+        del packs
+        keys["at"] &= (np.uint64(1) << AT) - np.uint64(1)
         order, new = _classes(keys["fp"], keys["ch"])
         keys, blk = keys[order], blk[order]
         head = np.flatnonzero(new)
@@ -416,36 +489,43 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         mine = mine[_changes(cls[mine])]
         lead, home = keys[mine], blk[mine]
         bucket = t.column("bucket")[0].as_py()
-        if bucket < 1 << bits:
-            need = np.zeros(len(lead), bool)
-            by = np.argsort(lead["fp"], kind="stable")
-            edge = np.append(_changes(lead["fp"][by]), True)
-            several = by[~(edge[:-1] & edge[1:])]
-            for side in ("left", "right"):
-                own = several[lead[side][several] > 0]
-                own = own[np.lexsort((lead["doc"][own], lead[side][own], lead["fp"][own]))]
-                start = np.flatnonzero(_changes(lead["fp"][own], lead[side][own]))
-                end = np.append(start[1:], len(own))
-                # contexts that agree on the side and have different smallest documents
-                mixed = lead["doc"][own[start]] != lead["doc"][own[end - 1]] if len(start) else np.zeros(0, bool)
-                need[own] |= np.repeat(mixed, end - start)
-        else:  # others of the same pick are in other buckets
-            need = np.ones(len(lead), bool)
+        # a block has a context once here, with its smallest document
         late = keys["doc"] > least[cls]
-        answers = ((b, None, None, x) for b, x in _cells(blk[late], _pairs(keys["at"][late], least[cls][late]), 1 << 12))
-        yield from _in_batches(answers, ["blk", "shard", "n", "data"], [INT, LONG, INT, BIN])
-        ask = np.flatnonzero(need)
-        ask = ask[np.argsort(lead["fp"][ask], kind="stable")]
-        high = bucket >> TOGETHER if bucket < 1 << bits else coarse + bucket
-        pieces = np.empty(len(ask), PIECE)
-        for k in PIECE.names:
-            pieces[k] = lead[k][ask]
-        for c, lo in enumerate(range(0, len(ask), shard_contexts)):
-            part, whose = pieces[lo : lo + shard_contexts], home[ask[lo : lo + shard_contexts]]
-            wanted = ((b, (high << 32) + c, len(x) // PIECE.itemsize, x) for b, x in _cells(whose, part, CELL))
-            yield from _in_batches(wanted, ["blk", "shard", "n", "data"], [INT, LONG, INT, BIN])
-
-    met = stored(map_groups(sent, ["bucket"], meet, "blk int, shard long, n int, data binary"), "passages")
+        answers = ((b, None, None, x) for b, x in _cells(blk[late], _places(keys["at"][late]), 1 << 12))
+        names, kinds = ["blk", "shard", "domain", "data"], [INT, LONG, LONG, BIN]
+        yield from _in_batches(answers, names, kinds)
+        del keys, blk, cls, order, new, late
+        number = bucket * PASSES + turn
+
+        def shards() -> Iterator[tuple[int, int | None, np.ndarray]]:
+            """Number, domain (of shards that must be merged) and contexts of each shard."""
+            if bucket >= 1 << bits:  # others of the same pick are in other buckets
+                whole, large = [], [(turn, np.arange(len(lead)))]
+            else:
+                whole, large = units(lead, shard_contexts)
+                large = [((number + 1 << 20) + k, x) for k, x in enumerate(large)]
+            high = (bucket >> TOGETHER) * PASSES + turn
+            for c, part in enumerate(whole):
+                yield (high << 32) + c, None, part
+            cuts = ((domain, x[lo : lo + shard_contexts]) for domain, x in large for lo in range(0, len(x), shard_contexts))
+            for c, (domain, part) in enumerate(cuts):
+                yield -(number << 32) - c - 1, domain, part
+
+        def wanted() -> Iterator[tuple]:
+            for shard, domain, part in shards():
+                pieces = np.empty(len(part), PIECE)
+                for k in PIECE.names:
+                    pieces[k] = lead[k][part]
+                yield from ((b, shard, domain, x) for b, x in _cells(home[part], pieces, CELL))
+
+        yield from _in_batches(wanted(), names, kinds)
+
+    texts = rows.select(F.shiftright("blk", gang).alias("gang"), "blk", "id", "t")
+    met = []
+    for turn in range(PASSES):
+        sent = map_groups(texts, ["gang"], partial(send, turn=turn), "bucket long, blk int, keys binary", order=["blk", "id", "t"])
+        met.append(stored(map_groups(sent, ["bucket"], partial(meet, turn=turn), "blk int, shard long, domain long, data binary"), "passages"))
+    met = reduce(DataFrame.unionByName, met)
     back = met.where("shard is null").select("blk", "data")
     asked = met.where("shard is not null")
 
@@ -456,25 +536,24 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         if not want or want == t.num_rows:
             return
         texts = b"".join(buffers(c)[0].tobytes() for c in t.column("t").slice(want).chunks)
-        shards, data = t.column("shard").slice(0, want).to_pylist(), t.column("data").slice(0, want)
+        shards, domains, data = t.column("shard").slice(0, want).to_pylist(), t.column("domain").slice(0, want).to_pylist(), t.column("data").slice(0, want)
         blk = t.column("blk")[0].as_py()
 
         def bytes_of(raw: bytes) -> bytes:
             p = np.frombuffer(raw, PIECE)
             return b"".join([texts[a : a + n] for a, n in zip(p["at"].tolist(), (p["n"].astype(int) - 1 + LENGTH).tolist(), strict=True)])
 
-        found = ((s, blk, x.as_py(), bytes_of(x.as_py())) for s, x in zip(shards, data, strict=True))
-        yield from _in_batches(found, ["shard", "blk", "keys", "raw"], [LONG, INT, BIN, BIN], 128)
+        found = ((s, d, blk, x.as_py(), bytes_of(x.as_py())) for s, d, x in zip(shards, domains, data, strict=True))
+        yield from _in_batches(found, ["shard", "domain", "blk", "keys", "raw"], [LONG, LONG, INT, BIN, BIN], 128)
 
     none = lambda kind: F.lit(None).cast(kind)
-    lent = rows.select("blk", F.lit(1).alias("kind"), "id", none("long").alias("shard"), none("binary").alias("data"), "t")
-    pieces = map_groups(asked.select("blk", F.lit(0).alias("kind"), none("long").alias("id"), "shard", "data", none("string").alias("t")).unionByName(lent), ["blk"], cut, "shard long, blk int, keys binary, raw binary", order=["kind", "id", "t"])
-    domain = F.least(F.shiftright("shard", 32), F.lit(coarse).cast("long"))
-    parts = asked.select("shard", domain.alias("domain")).distinct().groupBy("domain").agg(F.count("*").alias("parts")).where("parts > 1")
-    pieces = pieces.withColumn("domain", domain).join(parts, "domain", "left")
+    lent = rows.select("blk", F.lit(1).alias("kind"), "id", none("long").alias("shard"), none("long").alias("domain"), none("binary").alias("data"), "t")
+    pieces = map_groups(asked.select("blk", F.lit(0).alias("kind"), none("long").alias("id"), "shard", "domain", "data", none("string").alias("t")).unionByName(lent), ["blk"], cut, "shard long, domain long, blk int, keys binary, raw binary", order=["kind", "id", "t"])
+    parts = asked.where("domain is not null").select("shard", "domain").distinct().groupBy("domain").agg(F.count("*").alias("parts")).where("parts > 1")
+    pieces = pieces.join(parts, "domain", "left")
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Strings of a shard that start in a smaller document; or, if its picks have more shards, its distinct strings by range and their places."""
+        """Strings of a shard that start in a smaller document; or, if its domain has more shards, its distinct strings by range and their places."""
         packs = [np.frombuffer(x.as_py(), PIECE) for x in t.column("keys")]
         keys = np.concatenate(packs)
         blk = np.repeat(t.column("blk").to_numpy(), [len(p) for p in packs])
@@ -506,7 +585,7 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         def runs():
             by = np.argsort(goes, kind="stable")
             for a, b in _spans(_changes(goes[by])):
-                key = (t.column("domain")[0].as_py() << 32) + int(goes[by[a]])
+                key = (t.column("domain")[0].as_py() << 20) + int(goes[by[a]])
                 for seq, lo in enumerate(range(a, b, CELL)):
                     ids = by[lo : min(lo + CELL, b)]
                     yield 1, None, key, shard, seq, raw[some[ids][:, None] + np.arange(LENGTH)].tobytes(), member[ids].tobytes()
@@ -563,7 +642,8 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         ends = [int((kind <= k).sum()) for k in range(3)]
         if ends[1] == ends[2]:
             return
-        told = [_unpaired([x.as_py() for x in data[a:b]]) for a, b in ((0, ends[0]), (ends[0], ends[1]))]
+        late = _unplaced([x.as_py() for x in data[: ends[0]]])
+        place, strings = _unpaired([x.as_py() for x in data[ends[0] : ends[1]]])
         table = t.slice(ends[1])
         ids, column = table.column("id").to_numpy(), table.column("t")
         found = []
@@ -578,10 +658,8 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
         code[order] = np.cumsum(new) - 1
         first = np.full(int(new.sum()), LAST)
         np.minimum.at(first, code, doc)
-        place, least = told[0]
-        np.minimum.at(first, code[np.searchsorted(at, place.astype(np.int64))], least.view(np.int64))
+        first[code[np.searchsorted(at, late)]] = FIRST
         mask = np.zeros(len(first), np.uint64)
-        place, strings = told[1]
         spot = np.searchsorted(at, place.astype(np.int64))
         own = doc[spot] == first[code[spot]]
         np.bitwise_or.at(mask, code[spot[own]], strings[own])

@@ -538,6 +538,38 @@ def test_repeated_passages_in_long_texts(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got) and got[0].text is not None
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 22, 256])
+def test_repeated_passages_stay_in_their_shards(spark, monkeypatch, block_bytes):
+    """Buckets of many small picks: no string leaves its shard, no pass sends all contexts; of many blocks, several send together."""
+    rng = random.Random(53)
+    pool = [prose(rng, 14, 400) for _ in range(1200)]
+    use = [p[rng.randrange(12) : len(p) - rng.randrange(12)] for p in pool for _ in range(4)]
+    rng.shuffle(use)
+    texts = [" ".join(x for y in use[k : k + 12] for x in (y, prose(rng, 2, 5000))) for k in range(0, len(use), 12)]
+    ids = rng.sample(range(9000), len(texts))
+    tables, sent = [], []
+
+    def stored(df, label, write=suffixdedup.stored):
+        tables.append(write(df, label))
+        return tables[-1]
+
+    def grouped(df, keys, fn, schema, *more, run=suffixdedup.map_groups, **named):
+        out = run(df, keys, fn, schema, *more, **named)
+        if out.columns[0] == "bucket":
+            sent.append(sum(len(r["keys"]) for r in out.select("keys").collect()))
+        return out
+
+    monkeypatch.setattr(suffixdedup, "stored", stored)
+    monkeypatch.setattr(suffixdedup, "map_groups", grouped)
+    got = suffixdedup.repeated_passages(docs_of(spark, texts, ids=ids), shard_contexts=40, block_bytes=block_bytes).collect()
+    want = brute5(ids, texts)
+    assert sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted((k, x) for k, v in want.items() for x in v)
+    assert sum(x[1] for v in want.values() for x in v) > 100000
+    strings = [t for t in tables if "strings" in t.columns]
+    assert len(strings) == 1 and strings[0].where("kind = 0").count() and not strings[0].where("kind > 0").count()
+    assert max(sent) < 0.6 * sum(sent)
+
+
 def test_runs_merge_by_bytes():
     rng = np.random.default_rng(52)
     strings = np.unique(np.frombuffer(rng.integers(0, 256, 50 * 300, dtype=np.uint8).tobytes(), "S50"))
