@@ -60,9 +60,8 @@ GRAM = 18
 SIDE = (LENGTH - GRAM) // 2
 PASSES = 2  # turns that contexts are sent in, by pick
 SHARD = 1 << 12  # contexts that a shard takes of one bucket, and what a pick has beyond them
-TOGETHER = 2  # a shard takes those of 2 ** TOGETHER buckets
 GANG = 3  # at most 2 ** GANG blocks send together
-PART = 1 << 18  # bytes of text that are hashed at once
+PART = 1 << 16  # bytes of text that are hashed at once: few enough that their arrays stay in the cache, and on the heap
 CELL = 512  # strings, or places of strings, in one row on the way
 SAMPLE = 64  # picks of very many contexts are looked for in one document of so many
 HOT = 1 << 16  # contexts that make a pick one of these
@@ -314,7 +313,7 @@ def hot_picks(docs: DataFrame, key: str, text: str, least: int, sample: int = SA
         lean()
         fps, n = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
-            for _, _, block in blocks(batch.column(0), PART):
+            for _, _, block in blocks(batch.column(0), 4 * PART):
                 found = contexts(block, sides=False)
                 order, new = _classes(found["fp"], found["ch"])
                 fps, back = np.unique(np.concatenate([fps, found["fp"][order][new]]), return_inverse=True)
@@ -504,9 +503,8 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key:
             else:
                 whole, large = units(lead, shard_contexts)
                 large = [((number + 1 << 20) + k, x) for k, x in enumerate(large)]
-            high = (bucket >> TOGETHER) * PASSES + turn
             for c, part in enumerate(whole):
-                yield (high << 32) + c, None, part
+                yield (number << 32) + c, None, part
             cuts = ((domain, x[lo : lo + shard_contexts]) for domain, x in large for lo in range(0, len(x), shard_contexts))
             for c, (domain, part) in enumerate(cuts):
                 yield -(number << 32) - c - 1, domain, part

@@ -4,7 +4,7 @@ import math
 import random
 
 import corpus_pipeline
-from folioscope.llm import queries
+from folioscope.llm import queries, suffixdedup
 from tests.llm.test_operators import WORD, brute5, brute6, lower, windows
 
 
@@ -152,6 +152,32 @@ def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
     assert got[3] == {i: t for i, t in fourth.items() if t is not None} and None in fourth.values()
 
 
+def test_suffix_stage_keeps_strings_in_shards(spark, tmp_path, monkeypatch):
+    """The third stage: small picks fill buckets beyond a shard, and no string travels; what is left is that of brute force."""
+    rng = random.Random(54)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(700)}"
+    pool = [" ".join(word() for _ in range(14)) for _ in range(1200)]
+    use = [p[rng.randrange(12) : len(p) - rng.randrange(12)] for p in pool for _ in range(4)]
+    rng.shuffle(use)
+    texts = [None, *(" ".join(x for y in use[k : k + 12] for x in (y, word())) for k in range(0, len(use), 12))]
+    docs = spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars long")
+    tables = []
+
+    def stored(df, label, write=suffixdedup.stored):
+        tables.append(write(df, label))
+        return tables[-1]
+
+    monkeypatch.setattr(suffixdedup, "stored", stored)
+    monkeypatch.setattr(corpus_pipeline, "repeated_passages", functools.partial(suffixdedup.repeated_passages, shard_contexts=40))
+    got = {r.doc_id: r for r in corpus_pipeline.suffix_dedup(spark, docs, str(tmp_path)).collect()}
+    want = {k: v[0] for k, v in brute5(list(range(len(texts))), texts).items()}
+    assert all(hashlib.sha256((got[i].text or "").encode()).hexdigest() == want[i][3] for i in got)
+    assert set(got) | {i for i, x in want.items() if x[1]} == set(want)
+    strings = [t for t in tables if "strings" in t.columns]
+    assert len(strings) == 1 and not strings[0].where("kind > 0").count()
+    assert sum("shard" in t.columns for t in tables) > 1
+
+
 def test_language_without_labels(spark, tmp_path):
     """Stage 1 with nothing to learn from: null and letterless texts go, all others stay."""
     docs = spark.createDataFrame([(0, "plain text", None), (1, "123 !!!", None), (2, None, None), (3, "", None), (4, "\n\u4e2d", None), (5, "12 \u00df", None)], "doc_id long, text string, lang string")
