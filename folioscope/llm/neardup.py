@@ -334,9 +334,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
     edges = stored(_pivot_edges(members, reps, percent), "edges")
     sets = sets_of(edges.select("id").union(edges.select("p")).distinct())
-    links = stored(links.unionByName(_confirmed(edges, sets, percent)), "links")
+    # links are few beside what finds them: dealt anew, they fill one file where the tasks would write one each
+    few = lambda links: stored(links.repartition("a", "b"), "links")
+    links = few(links.unionByName(_confirmed(edges, sets, percent)))
     labels = components(links)
-    links = stored(links.unionByName(_tiled_links(members, labels, reps, sets_of, percent)), "links")
+    links = few(links.unionByName(_tiled_links(members, labels, reps, sets_of, percent)))
     labels = components(links)
     dropped_since(before, made, member, labels)
     placed = member.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))

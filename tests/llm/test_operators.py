@@ -465,6 +465,27 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_links_fill_few_files(spark, monkeypatch):
+    """Links come from many tasks, but few links make few files; no link is lost."""
+    rng = random.Random(66)
+    texts = []
+    for _ in range(40):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(80)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:-3], "less"])]
+    files, keep = [], neardup.stored
+
+    def counted(df, label):
+        out = keep(df, label)
+        if label == "links":
+            files.append((len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts).repartition(8)).collect()}
+    assert got == {i: i - i % 3 for i in range(120)}
+    assert len(files) == 2 and all(n == 1 and rows >= 80 for n, rows in files), files
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(60)
     both = rng.integers(1, 2**63, 900, dtype=np.uint64)
