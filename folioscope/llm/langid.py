@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.blocks import ALNUM, LOWER, Block, blocks, dropped, lean, map_blocks, mix, powers, raw_prefix, stored
+from folioscope.llm.blocks import ALNUM, LOWER, Block, blocks, lean, map_blocks, mix, powers, raw_prefix, small_batches
 
 SIZES = (2, 3, 4, 5)
 SLOT_BITS = 18
@@ -177,6 +177,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Filters of the max_langs languages of most rows, each from about max_docs of its rows, texts of at most max_bytes; rows without language or text take no part."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes)).select(F.xxhash64(key, text).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     spark = rows.sparkSession
+    small_batches(spark)
     rows_of = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     # a language's rows are those of the smallest hashes, by a bound on these; of equal rows one
     shares = spark.createDataFrame([(name, min(1 << 30, int((1 << 30) * max_docs / n))) for name, n in rows_of.items()], "l string, share long")
@@ -193,15 +194,13 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     h, c = np.unique(hashes[own[owner]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["l", "h", "c"])
 
-    counted = sample.select("t", "l").mapInArrow(count, "l string, h long, c long")
-    grams = stored(counted.groupBy("l", "h").agg(F.sum("c").alias("c")), "grams")
-    # the most frequent of each language: how many n-grams have each count tells from which count on they are few enough
-    rank = grams.groupBy("l", "c").agg(F.count("*").alias("n")).toPandas().sort_values(["l", "c"], ascending=[True, False])
-    rank["upto"] = rank.groupby("l")["n"].cumsum()
-    least = rank[(rank["upto"] <= max_grams) | (rank["upto"] == rank["n"])].groupby("l")["c"].min()
-    cuts = spark.createDataFrame([(str(k), int(c)) for k, c in least.items()], "l string, least long")
+    grams = sample.select("t", "l").mapInArrow(count, "l string, h long, c long").groupBy("l", "h").agg(F.sum("c").alias("c"))
+    # the most frequent of each language: how many n-grams have each count tells from which count on they are few enough.
+    # No table between: both sides read one exchange, and each file of a table starts processes beside the executor that writes it
+    upto = F.sum("n").over(Window.partitionBy("l").orderBy(F.desc("c")))
+    rank = grams.groupBy("l", "c").agg(F.count("*").alias("n")).select("l", "c", "n", upto.alias("upto"))
+    cuts = rank.where((F.col("upto") <= max_grams) | (F.col("upto") == F.col("n"))).groupBy("l").agg(F.min("c").alias("least"))
     got = grams.join(F.broadcast(cuts), "l").where("c >= least").select("l", "h", "c").toPandas()  # max_grams a language, and as many languages as max_langs
-    dropped(grams)
     often = (got["c"] >= MIN_COUNT).groupby(got["l"]).sum()
     few = set(often.index[often < FEW])
     got = got[(got["c"] >= MIN_COUNT) | got["l"].isin(few)].copy()

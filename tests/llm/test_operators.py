@@ -6,7 +6,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -144,6 +144,28 @@ def test_languages_of_few_rows(spark):
     assert got[0].lang_pred == "qq" and np.mean([r.lang_pred == lang for r, lang in zip(got[1:], ["aa", "bb"] * 80, strict=True)]) > 0.97
 
 
+def test_fit_writes_no_table_and_bounds_its_batches(spark, monkeypatch):
+    """Learning writes nothing to the shared folder, hands at most 1000 texts at once to Python, and keeps the n-grams that counting finds."""
+    from folioscope.llm import blocks
+
+    rng = random.Random(91)
+    texts = [" ".join("".join(rng.choice(["ka", "lo", "mi", "ru"]) for _ in range(3)) for _ in range(20)) for _ in range(60)]
+    found = Counter(np.concatenate([langid.gram_hashes(blocks.block_of([t.encode()]))[0] for t in texts]).tolist())
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    monkeypatch.setattr(blocks, "shared_dir", lambda spark: pytest.fail("a table was written"))
+    spark.conf.set(rows, "10000")
+    try:
+        for most in (40, 10**6):
+            filters = langid.fit(docs_of(spark, texts, langs=["aa"] * 60), max_grams=most)
+            least = min(c for c in found.values() if sum(x >= c for x in found.values()) <= most)
+            kept = np.array([h for h, c in found.items() if c >= max(least, langid.MIN_COUNT)], np.uint64)
+            assert len(kept) and np.array_equal(filters.table, langid.Filters({"aa": kept}, {"aa": 60}).table)
+        assert int(spark.conf.get(rows)) <= 1000
+    finally:
+        spark.conf.set(rows, before)
+
+
 def test_filters_have_no_false_negatives():
     grams = {"a": np.arange(1, 900, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), "b": np.arange(5000, 5400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)}
     filters = langid.Filters(grams, {"a": 2, "b": 1})
