@@ -6,6 +6,8 @@ array<struct<kind,id,offset>>), pos numbering all of a document in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +24,21 @@ def _order(doc: str, pos: str):
     return Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def heading_sections(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos", level: str = "level", text: str = "text", main: Column | None = None) -> DataFrame:
-    """blocks with section.  A heading of a level holds until one of its level or a lower one: so level k counts if it came after all lower ones."""
+def heading_sections(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos", level: str = "level", text: str = "text", main: Column | None = None, trim: Callable[[Column], Column] = T.strip) -> DataFrame:
+    """blocks with section.  A heading of a level holds until one of its level or a lower one: so level k counts if it came after all lower ones.
+
+    trim makes a heading's name of its text; headings that have no name leave none."""
     main = F.lit(True) if main is None else main
     w = _order(doc, pos)
-    seen = {k: F.last(F.when(main & (F.col(level) == k), F.struct(F.col(pos).alias("p"), T.strip(F.col(text)).alias("t"))), ignorenulls=True).over(w) for k in range(1, MAX_LEVEL + 1)}
+    seen = {k: F.last(F.when(main & (F.col(level) == k), F.struct(F.col(pos).alias("p"), trim(F.col(text)).alias("t"))), ignorenulls=True).over(w) for k in range(1, MAX_LEVEL + 1)}
     out = blocks.withColumns({f"__h{k}": c for k, c in seen.items()})
     parts = []
     for k in range(1, MAX_LEVEL + 1):
         lower = [F.coalesce(F.col(f"__h{j}.p"), F.lit(-1)) for j in range(1, k)]
         top = F.greatest(*lower) if len(lower) > 1 else lower[0] if lower else F.lit(-1)
         parts.append(F.when(F.col(f"__h{k}.p") > top, F.col(f"__h{k}.t")))
-    names = F.array_compact(F.array(*parts))
-    return out.withColumn("section", F.when(F.size(names) > 0, F.array_join(names, " / ")).otherwise(NO_SECTION)).drop(*[f"__h{k}" for k in seen])
+    names = F.array_join(F.array_compact(F.array(*parts)), " / ")
+    return out.withColumn("section", F.when(names != "", names).otherwise(NO_SECTION)).drop(*[f"__h{k}" for k in seen])
 
 
 def bibliography_region(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos", level: str = "level", text: str = "text", kind: str = "kind") -> DataFrame:
@@ -56,10 +60,10 @@ def untitled_bibliography(blocks: DataFrame, doc: str = "doc_id", pos: str = "po
     return blocks.join(first, doc, "left").withColumn("region", F.when(late, "bibliography").otherwise(F.col("region"))).withColumn("section", F.when(late, UNTITLED).otherwise(F.col("section"))).withColumn("untitled", late).drop("__from")
 
 
-def structure(paragraphs: DataFrame) -> DataFrame:
-    """Blocks of manuscripts: blank paragraphs gone, with section, region and review_status."""
-    kept = paragraphs.where(T.strip(F.col("text")) != "").withColumnRenamed("style_level", "level")
-    sections = heading_sections(kept, main=F.col("kind") == "paragraph")
+def structure(paragraphs: DataFrame, blank: bool = False, trim: Callable[[Column], Column] = T.strip) -> DataFrame:
+    """Blocks of manuscripts: blank paragraphs gone unless blank, with section, region and review_status."""
+    kept = (paragraphs if blank else paragraphs.where(T.strip(F.col("text")) != "")).withColumnRenamed("style_level", "level")
+    sections = heading_sections(kept, main=F.col("kind") == "paragraph", trim=trim)
     return untitled_bibliography(bibliography_region(sections)).withColumn("review_status", F.lit("unverified"))
 
 
