@@ -11,6 +11,7 @@ from folioscope.operators.containment import containing
 # Fixed values of the score.
 TF_CAP, LENGTH_POWER, DIGITS, TOP = 3, 0.3, 4, 8
 MAX_TERMS = 10_000  # of queries, that a segment's own are held against before they leave its row
+MAX_ROW_TERMS = 200  # of queries and terms together, up to which a segment is scored within its row
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -27,16 +28,43 @@ def search(segments: DataFrame, queries: DataFrame, limit: int = TOP) -> DataFra
     """
     keys = ["source_id", "pdf_page", "segment_id"]
     asked = query_terms(queries)
-    known = [r[0] for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
     eligible = segments.where(F.col("region").isin("body", "unknown")).select(*keys, T.terms(F.col("text")).alias("__all"))
-    each = eligible.select(*keys, F.size(F.array_distinct("__all")).alias("n_terms"), F.explode(F.filter("__all", lambda x: x.isin(known)) if len(known) <= MAX_TERMS else F.col("__all")).alias("term"))
-    hits = each.join(asked, "term").groupBy("query_id", *keys, "term").agg(F.count("*").alias("tf"), F.first("weight").alias("weight"), F.first("n_terms").alias("n_terms"))
-    scored = hits.groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.least("tf", F.lit(TF_CAP))).alias("s"), F.first("n_terms").alias("n"), F.array_join(F.sort_array(F.collect_set("term")), " ").alias("matched_terms"))
+    weights = asked.limit(MAX_ROW_TERMS + 1).collect()
+    if weights and len(weights) <= MAX_ROW_TERMS:
+        scored = _scored_in_rows(eligible, keys, [tuple(r) for r in weights], asked.schema["query_id"].dataType)
+    else:
+        scored = _scored_by_term(eligible, keys, asked)
     score = F.bround(F.col("s") / F.greatest(F.lit(1.0), F.pow(F.col("n").cast("double"), F.lit(LENGTH_POWER))), DIGITS)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id", "pdf_page", F.col("segment_id").cast("string"))
     return scored.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", *keys, "score", "matched_terms", F.lit(True).alias("candidate_only"))
 
 
+def _scored_in_rows(eligible: DataFrame, keys: list[str], weights: list[tuple], id_type) -> DataFrame:
+    """query_id, keys, s, n, matched_terms of few queries: nothing is shuffled, so a task's memory goes by its split and not by the table."""
+    terms = sorted({t for _, t, _ in weights})
+    rows = eligible.select(*keys, F.size(F.array_distinct("__all")).alias("n"), F.filter("__all", lambda x: x.isin(terms)).alias("__hits")).where(F.size("__hits") > 0)
+    rows = rows.select(*keys, "n", *[(F.size("__hits") - F.size(F.array_remove("__hits", t))).alias(f"__t{i}") for i, t in enumerate(terms)])
+    per_query: dict = {}
+    for query, term, weight in weights:
+        per_query.setdefault(query, []).append((term, weight))
+
+    def scored(query, own):
+        counts = [(F.col(f"__t{terms.index(t)}"), t, w) for t, w in sorted(own)]
+        s = sum((F.lit(w).cast("long") * F.least(c, F.lit(TF_CAP)) for c, _, w in counts), F.lit(0).cast("long"))
+        return F.struct(F.lit(query).cast(id_type).alias("query_id"), s.alias("s"), F.concat_ws(" ", *[F.when(c > 0, F.lit(t)) for c, t, _ in counts]).alias("matched_terms"))
+
+    each = rows.select(*keys, "n", F.explode(F.array(*[scored(q, own) for q, own in per_query.items()])).alias("q"))
+    return each.where("q.s > 0").select("q.query_id", *keys, "q.s", "n", "q.matched_terms")
+
+
+def _scored_by_term(eligible: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
+    """The same of many queries, by a join of terms."""
+    known = [r[0] for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    each = eligible.select(*keys, F.size(F.array_distinct("__all")).alias("n_terms"), F.explode(F.filter("__all", lambda x: x.isin(known)) if len(known) <= MAX_TERMS else F.col("__all")).alias("term"))
+    hits = each.join(asked, "term").groupBy("query_id", *keys, "term").agg(F.count("*").alias("tf"), F.first("weight").alias("weight"), F.first("n_terms").alias("n_terms"))
+    return hits.groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.least("tf", F.lit(TF_CAP))).alias("s"), F.first("n_terms").alias("n"), F.array_join(F.sort_array(F.collect_set("term")), " ").alias("matched_terms"))
+
+
 def contiguous_groups(segments: DataFrame, strict: bool = False) -> DataFrame:
     """Body segments with the number of their run: same section, page the same or the next, nothing between."""
     w = Window.partitionBy("source_id").orderBy("pdf_page", "seg_pos")

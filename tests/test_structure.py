@@ -145,3 +145,17 @@ def test_places_of_odd_quotes(spark):
     rows = [seg(1, 1, " a \\E(b) \U0001f600 a\\E(b)")]
     assert quotes(spark, rows, "\\E(b)") == [[("p1.s1", 3, 8)], [("p1.s1", 12, 17)]]
     assert quotes(spark, rows, "\U0001f600a") == [[("p1.s1", 9, 12)]]
+
+
+def test_search_of_few_queries_shuffles_only_its_best(spark):
+    rows = [("s", 1, i, f"p1.s{i}", "a", "body", "verified", t) for i, t in enumerate(["alpha beta beta beta beta", "beta gamma", "delta", "alpha alpha omega beta"], 1)]
+    asked = spark.createDataFrame([(1, "alpha beta beta"), (2, "gamma none")], "query_id int, query string")
+    found = retrieval.search(spark.createDataFrame(rows, SEG), asked)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    eligible = spark.createDataFrame(rows, SEG).select("source_id", "pdf_page", "segment_id", F.split("text", " ").alias("__all"))
+    keys = ["source_id", "pdf_page", "segment_id"]
+    by_term = retrieval._scored_by_term(eligible, keys, retrieval.query_terms(asked))
+    weights = [tuple(r) for r in retrieval.query_terms(asked).collect()]
+    in_rows = retrieval._scored_in_rows(eligible, keys, weights, asked.schema["query_id"].dataType)
+    assert sorted(map(tuple, in_rows.select(*by_term.columns).collect())) == sorted(map(tuple, by_term.collect()))
+    assert [(r.query_id, r.rank, r.segment_id) for r in found.orderBy("query_id", "rank").collect()][-1] == (2, 1, "p1.s2")
