@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +102,26 @@ def unmatched(references: DataFrame, matches: DataFrame) -> DataFrame:
     return references.join(matches.select("doc_id", "ref_id").distinct(), ["doc_id", "ref_id"], "left_anti")
 
 
-def discover(citations: DataFrame, blocks: DataFrame, notes: DataFrame | None, files: DataFrame) -> dict[str, DataFrame]:
-    """Groups of references for every citation candidate, their bibliography titles, file candidates and what found none."""
+class Discovered(Mapping):
+    """Relations made when they are first asked for, as file matches run jobs before they have a plan."""
+
+    def __init__(self, **makers):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name](self)
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
+def discover(citations: DataFrame, blocks: DataFrame, notes: DataFrame | None, files: DataFrame) -> Discovered:
+    """groups of references for every citation candidate, references with their bibliography titles, occurrences, bibliography, file matches and what is unmatched."""
     w = Window.partitionBy("doc_id").orderBy("pos", "pass", "n")
     marks = citations.join(blocks.select("doc_id", "block_id", "section", F.col("text").alias("target_context")), ["doc_id", "block_id"])
     marks = marks.withColumn("number", F.row_number().over(w)).withColumn("group_id", F.format_string("G%03d", "number"))
@@ -117,7 +137,11 @@ def discover(citations: DataFrame, blocks: DataFrame, notes: DataFrame | None, f
     groups = marks.withColumn("status", F.lit("candidate_group_not_semantic_verdict"))
     refs = groups.select("doc_id", "group_id", "kind", F.posexplode("refs").alias("ref_pos", "r")).select("doc_id", "group_id", "kind", F.concat("group_id", F.lit("."), "ref_pos").alias("ref_id"), "r.authors", "r.year", "r.title")
     entries = bibliography(blocks)
-    dated = with_bibliography_titles(refs.where("kind = 'author_year'"), entries).unionByName(refs.where("kind <> 'author_year'"))
-    matches = file_matches(dated, files)
-    occurrences = dated.groupBy("doc_id").agg(F.count("*").alias("reference_occurrences"))
-    return {"groups": groups, "references": dated, "occurrences": occurrences, "bibliography": entries, "matches": matches, "unmatched": unmatched(dated, matches)}
+    return Discovered(
+        groups=lambda found: groups,
+        references=lambda found: with_bibliography_titles(refs.where("kind = 'author_year'"), entries).unionByName(refs.where("kind <> 'author_year'")),
+        occurrences=lambda found: found["references"].groupBy("doc_id").agg(F.count("*").alias("reference_occurrences")),
+        bibliography=lambda found: entries,
+        matches=lambda found: file_matches(found["references"], files),
+        unmatched=lambda found: unmatched(found["references"], found["matches"]),
+    )

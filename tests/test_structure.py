@@ -159,3 +159,10 @@ def test_search_of_few_queries_shuffles_only_its_best(spark):
     in_rows = retrieval._scored_in_rows(eligible, keys, weights, asked.schema["query_id"].dataType)
     assert sorted(map(tuple, in_rows.select(*by_term.columns).collect())) == sorted(map(tuple, by_term.collect()))
     assert [(r.query_id, r.rank, r.segment_id) for r in found.orderBy("query_id", "rank").collect()][-1] == (2, 1, "p1.s2")
+
+
+def test_groups_need_no_files(spark):
+    blocks = spark.createDataFrame([("d", 1, "P1", "body", "sec", "Claim (Roe, 2011)")], "doc_id string, pos int, block_id string, region string, section string, text string")
+    found = linking.discover(manuscript.citations(blocks), blocks, None, None)
+    assert [(r.group_id, r.refs[0].authors) for r in found["groups"].collect()] == [("G001", "Roe")]
+    assert list(found) == ["groups", "references", "occurrences", "bibliography", "matches", "unmatched"]
