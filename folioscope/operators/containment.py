@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 GRAM = 12
 MAX_HEADS = 10_000  # beginnings that are looked for within a text's own row
+MAX_WHOLE, MAX_WHOLE_LETTERS = 256, 1 << 18  # strings, and letters of them, up to which they are looked for whole
+
+
+def few(needles: DataFrame, needle: str) -> list[str] | None:
+    """The distinct, non-empty needles if they are few enough to be looked for whole, one by one; else None."""
+    if needles.where(F.col(needle) != "").select(needle).distinct().limit(MAX_WHOLE + 1).agg(F.count("*").alias("n"), F.sum(F.length(needle)).alias("m")).where(f"n <= {MAX_WHOLE} AND coalesce(m, 0) <= {MAX_WHOLE_LETTERS}").isEmpty():
+        return None
+    return [r[0] for r in needles.where(F.col(needle) != "").select(needle).distinct().collect()]
+
+
+def held(text: str, needles: list[str]):
+    """array of those of few needles that a text holds."""
+    return F.filter(F.array(*map(F.lit, needles)).cast("array<string>"), lambda x: F.contains(F.col(text), x))
 
 
 def containing(texts: DataFrame, keys: list[str], text: str, needles: DataFrame, needle: str, gram: int = GRAM) -> DataFrame:

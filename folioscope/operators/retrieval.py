@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators.containment import containing
+from folioscope.operators.containment import containing, few, held
 
 # Fixed values of the score.
 TF_CAP, LENGTH_POWER, DIGITS, TOP = 3, 0.3, 4, 8
@@ -89,8 +89,12 @@ def locate_quotes(segments: DataFrame, quotes: DataFrame, strict: bool = False,
     runs = runs.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     joined = runs.groupBy("source_id", "grp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("before", "pdf_page", "seg_pos", "norm"))), lambda x: x["norm"]), "").alias("whole"))
     wanted = quotes.select("quote_id", "quote", T.squeeze(F.col("quote")).alias("target")).where("target <> ''").withColumn("m", F.length("target"))
-    met = containing(joined, ["source_id", "grp"], "whole", wanted, "target", gram)
-    pairs = met.join(joined, ["source_id", "grp"]).join(wanted, "target")
+    strings = few(wanted, "target")
+    if strings is not None:
+        # few quotations are looked for within a run's row: its text is joined with nothing
+        pairs = joined.withColumn("target", F.explode(held("whole", strings))).join(F.broadcast(wanted), "target")
+    else:
+        pairs = containing(joined, ["source_id", "grp"], "whole", wanted, "target", gram).join(joined, ["source_id", "grp"]).join(wanted, "target")
     # places that may overlap: as many as the text has, each looked for behind the one before
     literal = F.concat(F.lit("(?s)(?=\\Q"), F.replace(F.col("target"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     many = F.sequence(F.lit(1), F.regexp_count("whole", literal))

@@ -166,3 +166,15 @@ def test_groups_need_no_files(spark):
     found = linking.discover(manuscript.citations(blocks), blocks, None, None)
     assert [(r.group_id, r.refs[0].authors) for r in found["groups"].collect()] == [("G001", "Roe")]
     assert list(found) == ["groups", "references", "occurrences", "bibliography", "matches", "unmatched"]
+
+
+def test_few_strings_are_held_whole(spark):
+    from folioscope.operators.containment import containing, few, held
+
+    texts = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "")], "id int, text string")
+    needles = spark.createDataFrame([("two",), ("two",), ("one two",), ("x",), ("",), (None,)], "needle string")
+    strings = few(needles, "needle")
+    assert sorted(strings) == ["one two", "two", "x"]
+    got = texts.select("id", F.explode(held("text", strings)).alias("needle"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, containing(texts, ["id"], "text", needles, "needle").collect())) == [(1, "one two"), (1, "two"), (2, "two")]
+    assert few(spark.range(300).selectExpr("cast(id as string) AS needle"), "needle") is None and few(needles.where("false"), "needle") == []
