@@ -148,3 +148,14 @@ def test_every_rule_fires(spark, tmp_path):
     assert got == sorted((str(k), s, c, x) for k, s, c, x in with_roots)
     ledger.release(r)
     assert {c for _, _, c, _ in with_roots + without} == set(ledger.RULES)
+
+
+def test_last_sources_and_numbers_of_segments_without_a_window(spark):
+    seg = lambda i: {"id": i, "region": "body", "text": i}
+    page = lambda *ids: {"pdf_page": 1, "segments": [seg(i) for i in ids]}
+    sources = [{"id": "S", "pages": [page("old")]}, {"id": None, "pages": [page("x")]}, {"id": "S", "pages": [page("a", "b"), {"pdf_page": 2}, page("c")]}, {"id": "T", "pages": None}]
+    r = ledger.relations(spark.createDataFrame([{"ledger_id": "1", "sources": sources, "claims": []}], ledger.LEDGER))
+    assert sorted(r.sources.select("s_pos").collect()) == [(1,), (2,), (3,)] and r.all_sources.count() == 4
+    got = r.all_segments.where("source_id = 'S'").orderBy("at").select("at", "p_pos", "g_pos", "segment_id").collect()
+    assert list(map(tuple, got)) == [(1, 0, 0, "a"), (2, 0, 1, "b"), (3, 2, 0, "c")]
+    assert "Window" not in r.all_segments._jdf.queryExecution().executedPlan().toString()
